@@ -1,8 +1,8 @@
 """The registered queries of the training-data operators, and their SQL where SQL can express them."""
 
-from spindrift.llm import contamination
+from spindrift.llm import contamination, token_files
 
-MODULES = (contamination,)
+MODULES = (token_files, contamination)
 
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE = {name: sql for m in MODULES for name, sql in m.ORACLE.items()}
