@@ -8,9 +8,11 @@ are merged exactly, pair by pair, so that the lexicon decides about speed only,
 
 from __future__ import annotations
 
+import hashlib
 import io
 import json
 import re
+from array import array
 from collections import Counter
 from heapq import nlargest
 
@@ -28,6 +30,8 @@ from spindrift.llm.token_files import default_vocabulary
 LEXICON = 1 << 16
 #: Longer words are merged, not looked up.
 LONGEST = 64
+#: Words, and pieces, that a worker remembers.
+REMEMBERED = 300_000
 _NO_RANK = (1 << 30, 0)
 
 
@@ -163,8 +167,8 @@ class Lexicon:
             alive, state, number = alive[go], state[go], number[go]
         return found
 
-    def ids_of(self, number: int) -> bytes:
-        return self.ids[self.at[number] : self.at[number + 1]].tobytes()
+    def ids_of(self, number: int) -> list[int]:
+        return self.ids[self.at[number] : self.at[number + 1]].tolist()
 
 
 def save_arrays(uri: str, arrays: dict[str, np.ndarray]) -> None:
@@ -183,9 +187,13 @@ def map_arrays(uri: str, names: tuple[str, ...]) -> dict[str, np.ndarray]:
 
 
 class Coder:
-    """Encodes and decodes whole texts with a vocabulary and a lexicon of it."""
+    """Encodes and decodes whole texts with a vocabulary and a lexicon of it.
 
-    def __init__(self, path: str, lexicon: str):
+    What a worker remembers of a word is its ids, or where `digest` is set their decimal form (a comma before each) and the
+    bytes that they decode to.
+    """
+
+    def __init__(self, path: str, lexicon: str, digest: bool = False):
         from tokenizers import Tokenizer
 
         self.vocabulary = Vocabulary(path)
@@ -193,7 +201,13 @@ class Coder:
         self.lexicon = Lexicon(map_arrays(lexicon, ("classes", "to", "out", "final", "at", "ids")))
         specials = sorted(self.vocabulary.specials, key=len, reverse=True)
         self.at_specials = re.compile("(" + "|".join(map(re.escape, specials)) + ")").split if specials else lambda t: [t]
-        coder = self
+        coder, text = self, self.vocabulary.text
+        if digest:
+            self.value = lambda ids: ("".join([f",{i}" for i in ids]), b"".join([text[i] for i in ids]))
+            join = lambda values: ("".join([a for a, _ in values]), b"".join([b for _, b in values]))
+        else:
+            self.value = lambda ids: array("i", ids).tobytes()
+            join = b"".join
 
         class Words(Pieces):
             def _solve(self, pieces):
@@ -203,17 +217,18 @@ class Coder:
                     out[i] = x
                 return out
 
-        self.pieces = Words(self.of_words, self.of_texts, b"".join, self.split, tuple(specials))
+        self.pieces = Words(self.of_words, self.of_texts, join, self.split, tuple(specials), REMEMBERED)
+        self.join = join
 
     def look_up(self, words: list[str]) -> tuple[list, list[int]]:
         numbers = self.lexicon.find([w.encode() for w in words])
         of = self.lexicon.ids_of
-        return [of(n) if n >= 0 else None for n in numbers.tolist()], np.flatnonzero(numbers < 0).tolist()
+        return [self.value(of(n)) if n >= 0 else None for n in numbers.tolist()], np.flatnonzero(numbers < 0).tolist()
 
     def of_words(self, words: list[str]) -> list[bytes]:
         out, missing = self.look_up(words)
         for i in missing:
-            out[i] = np.array(self.vocabulary.merge(words[i].encode()), "<i4").tobytes()
+            out[i] = self.value(self.vocabulary.merge(words[i].encode()))
         return out
 
     def of_texts(self, texts: list[str]) -> list[bytes]:
@@ -223,17 +238,29 @@ class Coder:
             parts = [p for p in self.at_specials(text) if p]
             words = [[p] if p in self.vocabulary.specials else self.split(p) for p in parts]
             ids = self.pieces.words.values({w for p, ws in zip(parts, words, strict=True) if p not in self.vocabulary.specials for w in ws})
-            out.append(b"".join(np.array([self.vocabulary.specials[p]], "<i4").tobytes() if p in self.vocabulary.specials else b"".join([ids[w] for w in ws]) for p, ws in zip(parts, words, strict=True)))
+            out.append(self.join([v for p, ws in zip(parts, words, strict=True) for v in ([self.value([self.vocabulary.specials[p]])] if p in self.vocabulary.specials else [ids[w] for w in ws])]))
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids as little-endian 32-bit integers."""
-        return list(map(b"".join, self.pieces.parts(texts)))
+        """Ids as 32-bit integers."""
+        return list(map(self.join, self.pieces.parts(texts)))
+
+    def digests(self, texts: list[str]) -> tuple[list[int], list[str], list[str]]:
+        """Number of ids, and SHA-256 of their decimal form and of the text that they decode to."""
+        counts, ids, decoded = [], [], []
+        for decimal, data in map(self.join, self.pieces.parts(texts)):
+            counts.append(decimal.count(","))
+            ids.append(hashlib.sha256(decimal[1:].encode()).hexdigest())
+            decoded.append(hashlib.sha256(self.as_text(data)).hexdigest())
+        return counts, ids, decoded
 
     def decode(self, ids: list[int]) -> bytes:
         """Unknown ids and nulls say nothing; bytes that aren't UTF-8 become U+FFFD."""
         get = self.vocabulary.text.get
-        data = b"".join([get(i, b"") for i in ids])
+        return self.as_text(b"".join([get(i, b"") for i in ids]))
+
+    @staticmethod
+    def as_text(data: bytes) -> bytes:
         try:
             data.decode()
         except UnicodeDecodeError:
@@ -241,14 +268,14 @@ class Coder:
         return data
 
 
-_coders: dict[tuple[str, str], Coder] = {}
+_coders: dict[tuple[str, str, bool], Coder] = {}
 
 
-def coder(path: str, lexicon: str) -> Coder:
-    if (path, lexicon) not in _coders:
+def coder(path: str, lexicon: str, digest: bool = False) -> Coder:
+    if (path, lexicon, digest) not in _coders:
         _coders.clear()
-        _coders[path, lexicon] = Coder(path, lexicon)
-    return _coders[path, lexicon]
+        _coders[path, lexicon, digest] = Coder(path, lexicon, digest)
+    return _coders[path, lexicon, digest]
 
 
 def frequent_words(docs: DataFrame, text: str = "text", most: int = LEXICON, specials: tuple[str, ...] = ()) -> list[bytes]:
@@ -340,10 +367,23 @@ def decoder(path: str):
     return _decoders[path].decode
 
 
+def bpe_digests(docs: DataFrame, text: str = "text", vocabulary: str | None = None, lexicon: str | None = None) -> DataFrame:
+    """docs with n_tokens, ids_sha256 and decoded_sha256 of each whole text's ids, and of what they decode to; null as empty.
+
+    Encodes and decodes in one pass, so that no id leaves the worker.
+    """
+    path = vocabulary or default_vocabulary()
+    folder = lexicon or build_lexicon(docs, text, path)
+
+    def make():
+        tool = coder(path, folder, True)
+        return lambda texts: list(tool.digests([t.decode("utf-8", "replace") if t else "" for t in texts]))
+
+    return annotate(docs, text, make, [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir).select("doc_id", "text")
-    coded = bpe_decode(bpe_encode(docs).select("doc_id", "ids"))
-    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return bpe_digests(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 QUERIES = {"op9_bpe": op9_bpe}

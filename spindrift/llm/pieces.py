@@ -8,6 +8,8 @@ space or the end), or with a special token in it, is one piece. The pieces repea
 from __future__ import annotations
 
 import re
+from itertools import compress, repeat
+from operator import is_
 
 _UNSAFE = re.compile(r"\s (?:\s|\Z)")
 #: Pieces, and words, that a worker remembers.
@@ -72,12 +74,12 @@ class Pieces:
     several. Where `split` is None, words can't be told apart and all texts are taken whole.
     """
 
-    def __init__(self, solve, whole, join, split, specials: tuple[str, ...]):
+    def __init__(self, solve, whole, join, split, specials: tuple[str, ...], most: int = REMEMBERED):
         self.join, self.split, self.specials = join, split, specials
-        self.words = Memory(solve)
+        self.words = Memory(solve, most)
         self.whole = whole
-        self.first = Memory(lambda keys: self._solve(keys))
-        self.rest = Memory(lambda keys: self._solve([f" {k}" for k in keys]))
+        self.first = Memory(self._solve, most // 8)
+        self.rest = Memory(lambda keys: self._solve([f" {k}" for k in keys]), most)
 
     def _solve(self, pieces: list[str]) -> list:
         words = [self.split(x) for x in pieces]
@@ -90,6 +92,17 @@ class Pieces:
         other = [i for i, p in enumerate(cuts) if p is None]
         whole = dict(zip(other, self.whole([texts[i] for i in other]), strict=True)) if other else {}
         first = self.first.values({p[0] for p in cuts if p is not None})
-        rest = self.rest.values({x for p in cuts if p is not None for x in p[1:]})
-        get = rest.__getitem__
-        return [[whole[i]] if p is None else [first[p[0]], *map(get, p[1:])] for i, p in enumerate(cuts)]
+        get, missing, out = self.rest.known.get, set(), []
+        for p in cuts:
+            values = list(map(get, p)) if p is not None else None
+            if values:
+                values[0] = first[p[0]]
+                missing.update(compress(p, map(is_, values, repeat(None))))
+            out.append(values)
+        found = self.rest.values(missing) if missing else {}
+        for i, (p, values) in enumerate(zip(cuts, out, strict=True)):
+            if values is None:
+                out[i] = [whole[i]]
+            elif missing:
+                out[i] = [found[k] if v is None else v for k, v in zip(p, values, strict=True)]
+        return out

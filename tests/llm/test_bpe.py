@@ -42,6 +42,15 @@ def test_equals_library(tool, library, text):
     assert tool.decode(ids).decode() == library.decode(ids, skip_special_tokens=False) == text
 
 
+def test_digests(tool, library, tmp_path):
+    B.save_arrays(str(tmp_path), B.Lexicon.build([b" the"], B.Vocabulary(PATH), B.word_splitter(library)))
+    texts = [t or "" for t in TEXTS]
+    counts, ids, decoded = B.Coder(PATH, str(tmp_path), True).digests(texts)
+    for text, n, a, b in zip(texts, counts, ids, decoded, strict=True):
+        own = library.encode(text, add_special_tokens=False).ids
+        assert (n, a, b) == (len(own), hashlib.sha256(",".join(map(str, own)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.lists(st.integers(0, 50256), max_size=20))
 def test_decode_any_ids(tool, library, ids):
