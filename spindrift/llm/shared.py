@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -27,15 +28,20 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/spindrift-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
+def materialize(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """Write to the shared folder and read again: cuts the lineage, so that a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}"
-    writer = df.write
-    (writer.partitionBy(by) if by else writer).parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver's cleaner drop the shuffle files of plans that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def open_fs(uri: str):
     """File system and path of a URI or a plain local path."""
     from pyarrow import fs
