@@ -245,14 +245,16 @@ class Coder:
         """Ids as 32-bit integers."""
         return list(map(self.join, self.pieces.parts(texts)))
 
-    def digests(self, texts: list[str]) -> tuple[list[int], list[str], list[str]]:
-        """Number of ids, and SHA-256 of their decimal form and of the text that they decode to."""
-        counts, ids, decoded = [], [], []
+    def digests(self, texts: list[str], ids_too: bool = False) -> tuple[list, ...]:
+        """Number of ids, and SHA-256 of their decimal form and of the text that they decode to; the ids if asked for."""
+        counts, ids, decoded, numbers = [], [], [], []
         for decimal, data in map(self.join, self.pieces.parts(texts)):
             counts.append(decimal.count(","))
             ids.append(hashlib.sha256(decimal[1:].encode()).hexdigest())
             decoded.append(hashlib.sha256(self.as_text(data)).hexdigest())
-        return counts, ids, decoded
+            if ids_too:
+                numbers.append(np.fromstring(decimal[1:], np.int32, sep=",") if decimal else np.zeros(0, np.int32))
+        return (counts, ids, decoded, numbers) if ids_too else (counts, ids, decoded)
 
     def decode(self, ids: list[int]) -> bytes:
         """Unknown ids and nulls say nothing; bytes that aren't UTF-8 become U+FFFD."""
@@ -367,19 +369,20 @@ def decoder(path: str):
     return _decoders[path].decode
 
 
-def bpe_digests(docs: DataFrame, text: str = "text", vocabulary: str | None = None, lexicon: str | None = None) -> DataFrame:
+def bpe_digests(docs: DataFrame, text: str = "text", vocabulary: str | None = None, lexicon: str | None = None, ids: str | None = None) -> DataFrame:
     """docs with n_tokens, ids_sha256 and decoded_sha256 of each whole text's ids, and of what they decode to; null as empty.
 
-    Encodes and decodes in one pass, so that no id leaves the worker.
+    Encodes and decodes in one pass, so that no id leaves the worker but those that a column named by `ids` asks for.
     """
     path = vocabulary or default_vocabulary()
     folder = lexicon or build_lexicon(docs, text, path)
 
     def make():
         tool = coder(path, folder, True)
-        return lambda texts: list(tool.digests([t.decode("utf-8", "replace") if t else "" for t in texts]))
+        return lambda texts: list(tool.digests([t.decode("utf-8", "replace") if t else "" for t in texts], ids is not None))
 
-    return annotate(docs, text, make, [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+    fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
+    return annotate(docs, text, make, fields + ([T.StructField(ids, T.ArrayType(T.IntegerType()))] if ids else []))
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
