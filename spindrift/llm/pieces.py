@@ -50,10 +50,13 @@ def cut(text: str, specials: tuple[str, ...]) -> list[str] | None:
 
 
 class Memory:
-    """Values of keys, solved once; the first REMEMBERED ones stay, as frequent keys are met early, later ones for the call."""
+    """Values of keys, solved once and remembered: any key while there is much room, then those met again, up to `most`."""
+
+    MET = 1 << 22
 
     def __init__(self, solve, most: int = REMEMBERED):
         self.solve, self.most, self.known = solve, most, {}
+        self.met, self.marks = bytearray(self.MET), 0
 
     def values(self, keys: set) -> dict:
         known = self.known
@@ -62,8 +65,18 @@ class Memory:
             new = [k for k in keys if k not in here]
             found = dict(zip(new, self.solve(new), strict=True))
             here.update(found)
-            if len(known) < self.most:
+            if len(known) < self.most // 2:
                 known.update(found)
+            elif len(known) < self.most:
+                met, last = self.met, self.MET - 1
+                for k, v in found.items():
+                    if met[at := hash(k) & last]:
+                        known[k] = v
+                    else:
+                        met[at] = 1
+                        self.marks += 1
+                if self.marks > self.MET // 2:
+                    self.met, self.marks = bytearray(self.MET), 0
         return here
 
 
