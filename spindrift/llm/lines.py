@@ -82,7 +82,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", win
     the lines of the input and those removed.
     """
     marks = later_lines(docs, doc_id, text, window).select(F.col("doc_id").alias("_line_id"), F.col("starts").alias("_line_starts"))
-    joined = docs.join(marks, docs[doc_id].cast("long") == marks["_line_id"], "left")
+    joined = docs.join(marks.hint("shuffle_hash"), docs[doc_id].cast("long") == marks["_line_id"], "left")
     keep = [c for c in docs.columns if not counts or c.lower() not in {x.lower() for x in counts}]
     fields = [docs.schema[c] for c in keep] + [T.StructField(c, T.LongType()) for c in counts or ()]
 
