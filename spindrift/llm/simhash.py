@@ -364,7 +364,7 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
 def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = COPY_WORDS, least: float = COPY_SIMILARITY) -> DataFrame:
     """docs without those that near_copies() finds; the smallest doc_id of each group stays."""
     gone = near_copies(docs, doc_id, text, words, least).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[doc_id].cast("long") == gone["_gone"], "left_anti")
+    return docs.join(gone.hint("shuffle_hash"), docs[doc_id].cast("long") == gone["_gone"], "left_anti")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
