@@ -2,5 +2,499 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from spindrift.functions import text as tx
+from spindrift.operators import anomaly, assistant, evaluate, extraction, graph, profile, relational, resolution
+from spindrift.plans import views as v
+from spindrift.session import shared_folder
+from spindrift.sources import readers, store, synthetic
+
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None, views: bool = False):
+    """Registers a function under its name, with its SQL; `views` puts the entity tables in front."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = f"{v.SQL.rstrip()}\n{sql}" if views else sql
+        return f
+
+    return add
+
+
+def _dirty(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as text with gaps, garbage and repeated rows."""
+    o = v.table(spark, d, "orders")
+    key = F.col("o_orderkey")
+    return o.select(
+        F.when(key % 5 != 0, F.col("o_orderstatus")).alias("status"), F.when(key % 7 == 0, F.lit("n.a.")).when(key % 11 != 0, F.floor("o_totalprice").cast("string")).alias("price"),
+        F.when(key % 13 == 0, F.lit("someday")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("day"), (F.col("o_custkey") % 20).cast("string").alias("group"),
+    )
+
+
+_DIRTY = """WITH t AS (SELECT CASE WHEN o_orderkey % 5 <> 0 THEN o_orderstatus END AS status, CASE WHEN o_orderkey % 7 = 0 THEN 'n.a.' WHEN o_orderkey % 11 <> 0 THEN CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) END AS price,
+CASE WHEN o_orderkey % 13 = 0 THEN 'someday' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS day, CAST(o_custkey % 20 AS VARCHAR) AS "group" FROM orders)
+"""
+_NUMBER = r"regexp_matches(price, '^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?)\s*$')"
+RULES = {"price": "numeric", "day": "date"}
+
+
+@query(_DIRTY + """SELECT count(*) AS row_count, CAST(4 AS BIGINT) AS column_count, round(100.0 * CAST(sum((status IS NULL)::INT + (price IS NULL)::INT + (day IS NULL)::INT) AS BIGINT) / (count(*) * 4), 2) AS missing_value_pct,
+count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM t)) AS duplicate_row_count, round(100.0 * (count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM t))) / count(*), 2) AS duplicate_row_pct FROM t""")
+def profile_summary(spark, d):
+    return profile.summarize(_dirty(spark, d)).drop("columns", "dtypes")
+
+
+@query(_DIRTY + "SELECT 'status' AS column_name, count(*) - count(status) AS missing_count FROM t UNION ALL SELECT 'price', count(*) - count(price) FROM t UNION ALL SELECT 'day', count(*) - count(day) FROM t UNION ALL SELECT 'group', count(*) - count(\"group\") FROM t")
+def profile_missing_by_column(spark, d):
+    return profile.missing_by_column(_dirty(spark, d))
+
+
+@query("SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer ORDER BY c_custkey LIMIT 10")
+def preview_head(spark, d):
+    return profile.preview(v.table(spark, d, "customer"), ["c_custkey"], 10)
+
+
+@query(_DIRTY + "SELECT 'price' AS column_name, count(price) AS checked, count(*) FILTER (WHERE price IS NOT NULL AND NOT " + _NUMBER + ") AS invalid_count FROM t UNION ALL SELECT 'day', count(day), count(*) FILTER (WHERE day IS NOT NULL AND try_cast(day AS DATE) IS NULL) FROM t")
+def invalid_value_counts(spark, d):
+    return profile.invalid_values(_dirty(spark, d), RULES)
+
+
+@query(_DIRTY + "SELECT FALSE AS is_valid, 'Missing required columns: owner' AS issue, 'owner' AS missing_required, CAST(x AS BIGINT) AS invalid_value_count, round(100.0 * x / n, 2) AS invalid_value_pct FROM (SELECT count(price) + count(day) AS n, count(*) FILTER (WHERE price IS NOT NULL AND NOT " + _NUMBER + ") + count(*) FILTER (WHERE day = 'someday') AS x FROM t)")
+def validation_report(spark, d):
+    r = profile.validate(_dirty(spark, d), ["status", "owner"], RULES)
+    return r.select("is_valid", F.element_at("issues", 1).alias("issue"), F.array_join("missing_required_columns", ",").alias("missing_required"), "invalid_value_count", "invalid_value_pct")
+
+
+@query(_DIRTY + ", f AS (SELECT count(*) AS n, count(*) * 4 AS cells, count(*) * 3 - count(status) - count(price) - count(day) AS gaps, (SELECT count(*) FROM (SELECT DISTINCT * FROM t)) AS kinds, count(price) + count(day) AS checked, count(*) FILTER (WHERE price IS NOT NULL AND NOT " + _NUMBER + ") + count(*) FILTER (WHERE day = 'someday') AS bad FROM t), m AS (SELECT 1 - gaps / cells AS a, 1 - (n - kinds) / n AS b, 1 - bad / checked AS c, 1 - 1 / 4 AS e FROM f) SELECT round(a * 100, 2) AS completeness, round(b * 100, 2) AS uniqueness, round(c * 100, 2) AS validity, round(e * 100, 2) AS consistency, round((a * 0.40::DOUBLE + b * 0.25::DOUBLE + c * 0.20::DOUBLE + e * 0.15::DOUBLE) * 100, 2) AS overall_score FROM m")
+def quality_breakdown(spark, d):
+    return profile.quality(_dirty(spark, d), RULES).drop("explanation")
+
+
+@query(r"SELECT doc_id, trim(regexp_replace(text, '[ \t\n\r\f\v\x1c-\x1f]+', ' ', 'g'), ' ') AS cleaned FROM documents")
+def clean_whitespace_documents(spark, d):
+    return v.table(spark, d, "documents").select("doc_id", tx.normalize_whitespace(F.col("text")).alias("cleaned"))
+
+
+def _messy(spark, d):
+    return v.table(spark, d, "part").select(F.concat(F.when(F.col("p_partkey") % 3 == 0, "  ").otherwise(""), F.replace("p_name", F.lit(" "), F.when(F.col("p_partkey") % 2 == 0, F.lit(" ")).otherwise(F.lit("\t ")))).alias("name"), "p_brand", F.col("p_size").alias("size"))
+
+
+_MESSY = "WITH t AS (SELECT CASE WHEN p_partkey % 3 = 0 THEN '  ' ELSE '' END || replace(p_name, ' ', CASE WHEN p_partkey % 2 = 0 THEN ' ' ELSE chr(9) || ' ' END) AS name, p_brand, p_size AS size FROM part), c AS (SELECT trim(regexp_replace(name, '[ \\t]+', ' ', 'g'), ' ') AS name, p_brand, size, name AS old FROM t)\n"
+
+
+@query(_MESSY + "SELECT count(*) AS original_row_count, (SELECT count(*) FROM (SELECT DISTINCT name, p_brand, size FROM c)) AS cleaned_row_count, count(*) - (SELECT count(*) FROM (SELECT DISTINCT name, p_brand, size FROM c)) AS duplicate_rows_removed, count(*) FILTER (WHERE old <> name) AS whitespace_normalized_cells FROM c")
+def clean_report(spark, d):
+    return profile.clean_report(_messy(spark, d))
+
+
+@query(_MESSY + "SELECT DISTINCT name, p_brand, size FROM c")
+def clean_parts(spark, d):
+    return profile.clean(_messy(spark, d))
+
+
+@query("SELECT c_custkey, trim(regexp_replace(regexp_replace(lower(c_name), '[^a-z0-9_\\s]', '', 'g'), '\\s+', ' ', 'g'), ' ') AS name FROM customer")
+def normalize_names(spark, d):
+    return v.table(spark, d, "customer").select("c_custkey", tx.normalize_string(F.col("c_name")).alias("name"))
+
+
+@query()
+def normalize_accents_documents(spark, d):
+    return v.table(spark, d, "documents").select("doc_id", tx.normalize_string(F.col("text")).alias("normalized"))
+
+
+@query("SELECT dangling_end, count(*) AS n FROM (SELECT 'source' AS dangling_end FROM orders WHERE o_orderkey % 9 = 0 UNION ALL SELECT 'destination' FROM orders WHERE o_orderkey % 4 = 0) GROUP BY 1")
+def dangling_edges(spark, d):
+    o = v.table(spark, d, "orders")
+    edges = o.select(F.concat(F.when(F.col("o_orderkey") % 9 == 0, "X").otherwise("C"), F.col("o_custkey").cast("string")).alias("source"), F.when(F.col("o_orderkey") % 4 == 0, "nobody").otherwise("S1").alias("destination"))
+    ids = relational.entity_ids(v.persons(spark, d), v.organizations(spark, d))
+    return relational.dangling(edges, ["source", "destination"], ids).groupBy("dangling_end").agg(F.count("*").alias("n"))
+
+
+@query("SELECT person_id AS id FROM persons UNION SELECT organization_id FROM organizations", True)
+def valid_entity_ids(spark, d):
+    return relational.entity_ids(v.persons(spark, d), v.organizations(spark, d))
+
+
+@query("SELECT id, name, type FROM (SELECT * FROM (SELECT person_id AS id, name, 'Person' AS type, 0 AS r FROM persons WHERE name ILIKE '%_0001%' ORDER BY id LIMIT 25) UNION ALL SELECT * FROM (SELECT organization_id, name, 'Organization', 1 FROM organizations WHERE name ILIKE '%_0001%' ORDER BY 1 LIMIT 25)) ORDER BY r, id LIMIT 25", True)
+def search_entities(spark, d):
+    return relational.search_entities(v.persons(spark, d), v.organizations(spark, d), "_0001")
+
+
+@query("SELECT 'persons' AS table_name, count(*) AS record_count FROM persons UNION ALL SELECT 'organizations', count(*) FROM organizations UNION ALL SELECT 'locations', count(*) FROM locations UNION ALL SELECT 'events', count(*) FROM evs UNION ALL SELECT 'relationships', count(*) FROM relationships UNION ALL SELECT 'transactions', count(*) FROM transactions", True)
+def entity_counts(spark, d):
+    return relational.count_entities(v.entity_tables(spark, d))
+
+
+def _datasets(spark, d):
+    c = v.table(spark, d, "customer")
+    return c.groupBy("c_nationkey").agg(F.count("*").cast("int").alias("row_count"), F.min("c_custkey").alias("k")).select(F.concat(F.lit("D"), F.col("c_nationkey").cast("string")).alias("dataset_id"), F.concat(F.lit("nation "), (F.col("c_nationkey") % 20).cast("string")).alias("name"), "row_count", F.when(F.col("c_nationkey") % 3 != 0, F.col("c_nationkey") * 4.0).alias("quality_score"), F.timestamp_seconds(F.col("k")).alias("created_at"))
+
+
+_DATASETS = "WITH ds AS (SELECT 'D' || c_nationkey AS dataset_id, 'nation ' || (c_nationkey % 20) AS name, count(*) AS row_count, CASE WHEN c_nationkey % 3 <> 0 THEN c_nationkey * CAST(4 AS DOUBLE) END AS quality_score, min(c_custkey) AS k FROM customer GROUP BY c_nationkey)\n"
+
+
+@query(_DATASETS + "SELECT count(*) AS dataset_count, CAST(sum(row_count) AS BIGINT) AS total_rows, avg(quality_score) AS avg_quality FROM ds")
+def overview_kpis(spark, d):
+    return relational.overview(_datasets(spark, d))
+
+
+@query(_DATASETS + "SELECT dataset_id, name, k FROM ds ORDER BY k DESC LIMIT 5")
+def datasets_latest_first(spark, d):
+    return relational.latest_first(_datasets(spark, d)).limit(5).select("dataset_id", "name", F.unix_seconds("created_at").alias("k"))
+
+
+@query(_DATASETS + "SELECT name || ' (' || row_count || ' rows)' AS label, arg_max(dataset_id, k) AS dataset_id FROM ds GROUP BY 1")
+def selector_labels(spark, d):
+    return relational.selector_labels(_datasets(spark, d)).withColumn("label", F.replace("label", F.lit(","), F.lit("")))
+
+
+@query(_DATASETS + "SELECT dataset_id, name, CAST(row_count AS INTEGER) AS row_count FROM ds WHERE dataset_id = 'D7'")
+def dataset_by_id(spark, d):
+    return relational.get(_datasets(spark, d), "dataset_id", "D7").select("dataset_id", "name", "row_count")
+
+
+@query("SELECT DISTINCT event_type FROM events")
+def event_types(spark, d):
+    return relational.event_types(v.events(spark, d))
+
+
+@query("SELECT min(CAST(ts AS DATE)) AS min_date, max(CAST(ts AS DATE)) AS max_date FROM events")
+def event_date_range(spark, d):
+    return relational.date_range(v.events(spark, d))
+
+
+@query("SELECT 'E' || event_id AS event_id, event_type, CAST(ts AS DATE) AS date FROM events, (SELECT min(CAST(ts AS DATE)) AS lo FROM events) WHERE CAST(ts AS DATE) BETWEEN lo + 2 AND lo + 9 AND event_type IN ('click', 'error', 'purchase')")
+def timeline_filter(spark, d):
+    e = v.events(spark, d)
+    lo = relational.date_range(v.table(spark, d, "events").select(F.col("ts").cast("date").alias("date"))).first().min_date
+    return relational.timeline(e, F.date_add(F.lit(lo), 2), F.date_add(F.lit(lo), 9), ["click", "error", "purchase"]).select("event_id", "event_type", "date")
+
+
+@query("SELECT l.location_id, city, country, latitude, longitude, coalesce(n, 0) AS event_count, greatest(coalesce(n, 0), 1) AS marker_size FROM locations l LEFT JOIN (SELECT location_id, count(*) AS n FROM evs GROUP BY 1) e ON l.location_id = e.location_id WHERE latitude IS NOT NULL", True)
+def map_event_counts(spark, d):
+    return relational.events_on_map(v.events(spark, d), v.locations(spark, d))
+
+
+@query("SELECT id, node_type, label FROM nodes", True)
+def graph_nodes(spark, d):
+    return v.full_graph(spark, d)[0]
+
+
+@query("SELECT edge_type, count(*) AS n, round(sum(weight), 4) AS w, count(DISTINCT src) AS sources, count(DISTINCT dst) AS targets FROM edges GROUP BY edge_type", True)
+def graph_edges(spark, d):
+    return v.full_graph(spark, d)[1].groupBy("edge_type").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 4).alias("w"), F.count_distinct("src").alias("sources"), F.count_distinct("dst").alias("targets"))
+
+
+@query("SELECT DISTINCT edge_type FROM edges", True)
+def edge_types(spark, d):
+    return graph.edge_types(v.full_graph(spark, d)[1])
+
+
+@query("SELECT n AS node_count, m AS edge_count, round(m / (n * (n - 1)), 6) AS density FROM (SELECT count(*) AS n FROM nodes), (SELECT count(*) AS m FROM edges)", True)
+def graph_density(spark, d):
+    return graph.size_and_density(*v.full_graph(spark, d))
+
+
+@query("SELECT id, coalesce(k, 0) AS degree, round(coalesce(k, 0) / ((SELECT count(*) FROM nodes) - 1), 8) AS score FROM nodes LEFT JOIN (SELECT id AS i, count(*) AS k FROM (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges) GROUP BY 1) ON id = i", True)
+def degree_centrality(spark, d):
+    return graph.degree_centrality(*v.full_graph(spark, d)).select("id", "degree", F.round("score", 8).alias("score"))
+
+
+@query("SELECT id, label, score FROM (SELECT id, label, round(coalesce(k, 0) / ((SELECT count(*) FROM nodes) - 1), 4) AS score, coalesce(k, 0) AS k FROM nodes LEFT JOIN (SELECT id AS i, count(*) AS k FROM (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges) GROUP BY 1) ON id = i) ORDER BY k DESC, id LIMIT 10", True)
+def top_degree(spark, d):
+    nodes, edges = v.full_graph(spark, d)
+    return relational.top_scores(graph.degree_centrality(nodes, edges), nodes)
+
+
+def _components_graph(spark, d):
+    nodes, edges = v.small_graph(spark, d)
+    return nodes, edges.where("edge_type = 'WORKS_FOR'")
+
+
+@query(", org AS (SELECT dst, min(least(src, dst)) AS m FROM sedges WHERE edge_type = 'WORKS_FOR' GROUP BY dst) SELECT id, coalesce(a.m, b.m, id) AS component FROM snodes LEFT JOIN org a ON a.dst = id LEFT JOIN (SELECT src, dst FROM sedges WHERE edge_type = 'WORKS_FOR') e ON e.src = id LEFT JOIN org b ON b.dst = e.dst", True)
+def connected_components(spark, d):
+    return graph.components(*_components_graph(spark, d))
+
+
+_PR = ", w AS MATERIALIZED (SELECT src, dst, sum(weight) AS w FROM sedges GROUP BY 1, 2), o AS MATERIALIZED (SELECT src, sum(w) AS o FROM w GROUP BY 1), l AS MATERIALIZED (SELECT w.src, dst, w / o AS p FROM w JOIN o ON w.src = o.src), c AS MATERIALIZED (SELECT count(*) AS n FROM snodes), r0 AS MATERIALIZED (SELECT id, 1.0::DOUBLE / n AS s FROM snodes, c)" + "".join(f", r{i + 1} AS MATERIALIZED (SELECT id, 0.15::DOUBLE / n + 0.85::DOUBLE * (coalesce(f, 0) + lost / n) AS s FROM snodes LEFT JOIN (SELECT dst, sum(p * s) AS f FROM l JOIN r{i} ON l.src = r{i}.id GROUP BY 1) ON id = dst, c, (SELECT coalesce(sum(s), 0) AS lost FROM r{i} WHERE id NOT IN (SELECT src FROM o)))" for i in range(10)) + " SELECT id, round(s, 9) AS score FROM r10"
+
+
+@query(_PR, True)
+def pagerank_10_rounds(spark, d):
+    return graph.pagerank(*v.small_graph(spark, d), fixed=10).select("id", F.round("score", 9).alias("score"))
+
+
+@query()
+def pagerank_top(spark, d):
+    return graph.top_n(graph.pagerank(*v.small_graph(spark, d)))
+
+
+@query()
+def betweenness_top(spark, d):
+    nodes, edges = v.small_graph(spark, d)
+    both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *edges.columns[2:]))
+    return graph.top_n(graph.betweenness(nodes, both))
+
+
+@query()
+def communities(spark, d):
+    nodes, edges = v.small_graph(spark, d)
+    found = graph.communities(nodes, edges)
+    return nodes.sparkSession.createDataFrame([], "community long, id string") if found is None else found
+
+
+@query(", h1 AS MATERIALIZED (SELECT DISTINCT dst AS id FROM spairs WHERE src = 'C1'), h2 AS MATERIALIZED (SELECT DISTINCT dst AS id FROM spairs WHERE src IN (SELECT id FROM h1) AND dst <> 'C1' AND dst NOT IN (SELECT id FROM h1)), k AS (SELECT 'C1' AS id, 0 AS hop UNION ALL SELECT id, 1 FROM h1 UNION ALL SELECT id, 2 FROM h2 ORDER BY hop, id LIMIT 300) SELECT n.id, node_type, label, hop FROM snodes n JOIN k ON n.id = k.id", True)
+def neighborhood_k2(spark, d):
+    return graph.neighborhood(*v.small_graph(spark, d), "C1", 2)[0]
+
+
+@query(", h1 AS (SELECT DISTINCT dst AS id FROM (SELECT src, dst FROM sedges WHERE edge_type = 'KNOWS' UNION ALL SELECT dst, src FROM sedges WHERE edge_type = 'KNOWS') WHERE src = 'S1'), k AS (SELECT 'S1' AS id, 0 AS hop UNION ALL SELECT id, 1 FROM h1 ORDER BY hop, id LIMIT 300) SELECT src, dst, edge_type, weight FROM sedges WHERE src IN (SELECT id FROM k) AND dst IN (SELECT id FROM k)", True)
+def neighborhood_edges_filtered(spark, d):
+    return graph.neighborhood(*v.small_graph(spark, d), "S1", 1, ["KNOWS"])[1].select("src", "dst", "edge_type", "weight")
+
+
+@query(", RECURSIVE_MARK AS (SELECT 1) SELECT CAST(min(h) AS BIGINT) AS hops FROM (SELECT 1 AS h FROM spairs WHERE src = 'C1' AND dst = 'C2' UNION ALL SELECT 2 FROM spairs a JOIN spairs b ON a.dst = b.src WHERE a.src = 'C1' AND b.dst = 'C2' UNION ALL SELECT 4 FROM (SELECT DISTINCT c.dst AS x FROM spairs a JOIN spairs b ON a.dst = b.src JOIN spairs c ON b.dst = c.src WHERE a.src = 'C1') JOIN spairs e ON e.src = x WHERE e.dst = 'C2')".replace(", RECURSIVE_MARK AS (SELECT 1)", ""), True)
+def shortest_path_hops(spark, d):
+    return graph.render_path(graph.shortest_path(*v.small_graph(spark, d), "C1", "C2")).select("hops")
+
+
+@query("SELECT id, node_type, label FROM nodes WHERE lower(label) LIKE '%01%' ORDER BY CASE node_type WHEN 'Person' THEN 0 WHEN 'Organization' THEN 1 WHEN 'Location' THEN 2 ELSE 3 END, id LIMIT 25", True)
+def search_nodes(spark, d):
+    return graph.search_nodes(v.full_graph(spark, d)[0], " 01 ")
+
+
+@query("SELECT DISTINCT n.id, label FROM nodes n JOIN (SELECT dst AS id FROM edges WHERE src = 'C3' UNION SELECT src FROM edges WHERE dst = 'C3') e ON n.id = e.id", True)
+def neighbors_of_entity(spark, d):
+    return graph.neighbors(*v.full_graph(spark, d), "C3")
+
+
+@query("SELECT id, substr(label, 1, 40) AS label, CASE node_type WHEN 'Person' THEN '#4C78A8' WHEN 'Organization' THEN '#F58518' ELSE '#54A24B' END AS color, CASE WHEN id = 'C1' THEN 20 ELSE 12 END AS size, CASE WHEN id = 'C1' THEN 3 ELSE 1 END AS border_width FROM snodes", True)
+def node_styles(spark, d):
+    return graph.node_styles(v.small_graph(spark, d)[0], "C1").drop("title")
+
+
+_KEYS = "names AS (SELECT 'P' || lpad(CAST(min(p_partkey) AS VARCHAR), 8, '0') AS id, trim(regexp_replace(lower(p_name), '\\s+', ' ', 'g')) AS name FROM part GROUP BY p_name), keyed AS (SELECT DISTINCT id, unnest([substr(name, 1, 1), string_split(name, ' ')[-1]]) AS key FROM names)"
+
+
+def _names(spark, d):
+    own = v.part_names(spark, d)
+    return own.select("id", tx.normalize_string(F.col("name")).alias("name"))
+
+
+@query("WITH " + _KEYS + " SELECT id, key FROM keyed")
+def blocking_keys(spark, d):
+    return _names(spark, d).select("id", F.explode(resolution.blocking_keys(F.col("name"))).alias("key")).distinct()
+
+
+@query("WITH " + _KEYS + " SELECT DISTINCT a.id AS id_a, b.id AS id_b FROM keyed a JOIN keyed b ON a.key = b.key AND a.id < b.id")
+def candidate_pairs_full(spark, d):
+    return resolution.candidate_pairs(_names(spark, d))
+
+
+@query()
+def candidate_pairs_budgeted(spark, d):
+    own = v.persons(spark, d).select(F.col("person_id").alias("id"), tx.normalize_string(F.col("name")).alias("name"))
+    return resolution.candidate_pairs(own, 2000)
+
+
+_JACCARD = ", pr AS (SELECT DISTINCT a.id AS id_a, b.id AS id_b, x.name AS na, y.name AS nb FROM keyed a JOIN keyed b ON a.key = b.key AND a.id < b.id JOIN names x ON x.id = a.id JOIN names y ON y.id = b.id)"
+
+
+@query("WITH " + _KEYS + _JACCARD + ", s AS (SELECT id_a, id_b, list_distinct(string_split(na, ' ')) AS x, list_distinct(string_split(nb, ' ')) AS y FROM pr) SELECT id_a, id_b, round(len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))), 6) AS jaccard FROM s")
+def token_jaccard_pairs(spark, d):
+    own = _names(spark, d)
+    a, b = own.select(F.col("id").alias("id_a"), F.col("name").alias("na")), own.select(F.col("id").alias("id_b"), F.col("name").alias("nb"))
+    return resolution.candidate_pairs(own).join(a, "id_a").join(b, "id_b").select("id_a", "id_b", F.round(tx.token_jaccard(F.col("na"), F.col("nb")), 6).alias("jaccard"))
+
+
+@query("WITH " + _KEYS + _JACCARD + ", wd AS (SELECT id, ' ' || unnest(string_split(name, ' ')) || ' ' AS w FROM names), gr AS (SELECT id, substr(w, p, n) AS gram FROM wd, range(1, 40) r(p), (VALUES (2), (3)) t(n) WHERE p + n - 1 <= length(w)), tf AS (SELECT id, gram, count(*) AS tf FROM gr GROUP BY 1, 2), df AS (SELECT gram, count(*) AS df FROM tf GROUP BY 1), raw AS (SELECT id, tf.gram, tf * (ln((1 + (SELECT count(*) FROM names)) / (1 + df)) + 1) AS v FROM tf JOIN df ON tf.gram = df.gram), nm AS (SELECT id, sqrt(sum(v * v)) AS nm FROM raw GROUP BY 1), wt AS (SELECT raw.id, gram, v / nm AS w FROM raw JOIN nm ON raw.id = nm.id) SELECT id_a, id_b, round(sum(a.w * b.w), 6) AS cosine FROM pr JOIN wt a ON a.id = id_a JOIN wt b ON b.id = id_b AND a.gram = b.gram GROUP BY 1, 2")
+def tfidf_cosine_pairs(spark, d):
+    own = _names(spark, d)
+    return resolution.cosines(resolution.candidate_pairs(own), resolution.tfidf(own)).select("id_a", "id_b", F.round("cosine", 6).alias("cosine"))
+
+
+@query()
+def er_baseline(spark, d):
+    return resolution.resolve(v.part_names(spark, d), "baseline", 0.6)
+
+
+@query()
+def er_multi_feature(spark, d):
+    return resolution.resolve(v.part_names(spark, d), "multi_feature", 0.55)
+
+
+@query("WITH p AS (SELECT DISTINCT least(o_custkey, l_suppkey) AS x, greatest(o_custkey, l_suppkey) AS y FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_discount > 0.05), t AS (SELECT DISTINCT least(o_custkey, l_suppkey) AS x, greatest(o_custkey, l_suppkey) AS y FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_tax > 0.04), c AS (SELECT (SELECT count(*) FROM (FROM p INTERSECT FROM t)) AS tp, (SELECT count(*) FROM (FROM p EXCEPT FROM t)) AS fp, (SELECT count(*) FROM (FROM t EXCEPT FROM p)) AS fn) SELECT tp AS true_positives, fp AS false_positives, fn AS false_negatives, round(tp / (tp + fp), 4) AS precision, round(tp / (tp + fn), 4) AS recall, round(2 * (tp / (tp + fp)) * (tp / (tp + fn)) / (tp / (tp + fp) + tp / (tp + fn)), 4) AS f1_score FROM c")
+def er_evaluation(spark, d):
+    t = v.trades(spark, d)
+    found = evaluate.pairs(t.where("l_discount > 0.05"), "o_custkey", "l_suppkey")
+    return evaluate.evaluate(found, evaluate.pairs(t.where("l_tax > 0.04"), "o_custkey", "l_suppkey"))
+
+
+_Z = "WITH m AS (SELECT median(value) AS m FROM events), s AS (SELECT median(abs(value - m)) AS mad, any_value(m) AS m FROM events, m), z AS (SELECT 'V' || event_id AS transaction_id, event_type, value AS amount, abs((value - m) / CASE WHEN mad > 0 THEN mad * 1.4826::DOUBLE ELSE 1e-9 END) AS z FROM events, s)\n"
+
+
+@query(_Z + "SELECT transaction_id, amount, round(z, 4) AS anomaly_score FROM z WHERE z >= 3")
+def anomalies_robust_z(spark, d):
+    return anomaly.robust_z(v.amounts(spark, d)).select("transaction_id", "amount", "anomaly_score")
+
+
+@query()
+def anomalies_robust_z_reason(spark, d):
+    return anomaly.robust_z(v.amounts(spark, d)).select("transaction_id", "reason")
+
+
+@query()
+def anomalies_isolation_forest(spark, d):
+    return anomaly.isolation_forest(v.amounts(spark, d), 0.05)
+
+
+_EVAL = _Z + ", p AS (SELECT transaction_id AS k FROM z WHERE z >= 3), t AS (SELECT 'V' || event_id AS k FROM events WHERE event_type = 'error'), c AS (SELECT (SELECT count(*) FROM (FROM p INTERSECT FROM t)) AS tp, (SELECT count(*) FROM (FROM p EXCEPT FROM t)) AS fp, (SELECT count(*) FROM (FROM t EXCEPT FROM p)) AS fn) "
+
+
+@query(_EVAL + "SELECT tp AS true_positives, fp AS false_positives, fn AS false_negatives, round(tp / (tp + fp), 4) AS precision, round(tp / (tp + fn), 4) AS recall, CASE WHEN tp > 0 THEN round(2 * (tp / (tp + fp)) * (tp / (tp + fn)) / (tp / (tp + fp) + tp / (tp + fn)), 4) ELSE 0 END AS f1_score FROM c")
+def anomaly_evaluation(spark, d):
+    own = v.amounts(spark, d)
+    return evaluate.evaluate(anomaly.robust_z(own).select("transaction_id"), own.where("destination = 'error'").select("transaction_id"))
+
+
+@query(_EVAL + "SELECT round(fp / ((SELECT count(*) FROM events) - (SELECT count(*) FROM t)), 4) AS false_positive_rate FROM c")
+def false_positive_rate(spark, d):
+    own = v.amounts(spark, d)
+    truth = own.where("destination = 'error'").select("transaction_id")
+    return evaluate.false_positive_rate(evaluate.evaluate(anomaly.robust_z(own).select("transaction_id"), truth), own.count(), truth.count())
+
+
+_NOTES = "WITH notes AS (SELECT 'O' || o_orderkey AS source_id, upper(substr(n_name, 1, 1)) || lower(substr(n_name, 2)) AS nation, strftime(o_orderdate, '%B ') || day(o_orderdate) || strftime(o_orderdate, ', %Y') AS day FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)\n"
+
+
+def _note_mentions(spark, d):
+    return extraction.extract_for_texts(v.order_notes(spark, d), "event_id", "description")
+
+
+@query(_NOTES + "SELECT source_id, day AS entity_text FROM notes")
+def date_mentions(spark, d):
+    return _note_mentions(spark, d).where("label = 'DATE'").select("source_id", "entity_text")
+
+
+@query(_NOTES + "SELECT 'DATE' AS label, count(*) AS mention_count FROM notes UNION ALL SELECT 'PROPER_NOUN', CAST(sum(2 + len(regexp_extract_all(n_title, '\\b[A-Z][a-zA-Z]*( +[A-Z][a-zA-Z]*)*\\b'))) AS BIGINT) FROM (SELECT array_to_string([upper(substr(x, 1, 1)) || substr(x, 2) for x in string_split(lower(nation), ' ')], ' ') AS n_title FROM notes)")
+def mentions_by_label(spark, d):
+    return relational.mentions_by_label(_note_mentions(spark, d))
+
+
+@query()
+def proper_noun_mentions(spark, d):
+    return extraction.extract_for_texts(v.table(spark, d, "conversations"), "conv_id", "text")
+
+
+@query()
+def mentions_with_description(spark, d):
+    notes = v.order_notes(spark, d)
+    return relational.with_description(_note_mentions(spark, d), notes, 40)
+
+
+@query(r"SELECT doc_id, CAST(len([x for x in string_split(regexp_replace(text, '([.!?])[ \t\n\r\f\v]+', '\1' || chr(1), 'g'), chr(1)) if trim(x, ' ' || chr(9) || chr(10) || chr(13)) <> '']) AS BIGINT) AS sentences FROM documents")
+def sentence_counts(spark, d):
+    return v.table(spark, d, "documents").select("doc_id", F.size(extraction.split_sentences(F.col("text"))).cast("long").alias("sentences"))
+
+
+QUESTIONS = ["Tell me about this dataset", "Who is most connected to Alice?", "How is Alice connected to Bob?", "Are there any suspicious transactions?", "Are there any duplicate person records?", "What is the data quality score?", "Who is most central?"]
+
+
+@query("SELECT question, CASE WHEN regexp_matches(question, '(?i)\\bconnect(ed|ion)?\\b.*\\band\\b|\\bhow (is|are)\\b.*\\bconnected\\b|\\bpath between\\b') THEN 'shortest_path' WHEN regexp_matches(question, '(?i)\\bmost connected\\b|\\bcentral\\b') THEN 'most_connected' WHEN regexp_matches(question, '(?i)\\bsuspicious\\b') THEN 'anomalies' WHEN regexp_matches(question, '(?i)\\bduplicate\\w*\\b') THEN 'duplicates' WHEN regexp_matches(question, '(?i)\\bdata quality\\b') THEN 'quality' ELSE 'overview' END AS intent FROM (VALUES " + ", ".join(f"('{q}')" for q in QUESTIONS) + ") AS t(question)")
+def intent_detection(spark, d):
+    return spark.createDataFrame([(q,) for q in QUESTIONS], "question string").select("question", assistant.intent(F.col("question")).alias("intent"))
+
+
+def _data(spark, d):
+    t = v.entity_tables(spark, d)
+    t["transactions"] = v.amounts(spark, d)
+    one = profile.summarize(v.table(spark, d, "customer")).first()
+    return assistant.Dataset("star schema", one.row_count, t, 88.0, one.missing_value_pct, one.duplicate_row_pct)
+
+
+@query("SELECT 'overview' AS intent, 'Dataset ''star schema'' contains ' || format('{:,}', n) || ' total rows across its tables.' AS first_line FROM (SELECT count(*) AS n FROM customer)")
+def assistant_overview(spark, d):
+    return assistant.answer(QUESTIONS[0], _data(spark, d)).select("intent", F.element_at("evidence", 1).alias("first_line"))
+
+
+@query("SELECT 'quality' AS intent, 'Data Quality Score: 88/100.' AS first_line")
+def assistant_quality(spark, d):
+    return assistant.answer(QUESTIONS[5], _data(spark, d)).select("intent", F.element_at("evidence", 1).alias("first_line"))
+
+
+@query()
+def assistant_most_connected(spark, d):
+    return assistant.answer(QUESTIONS[6], _data(spark, d))
+
+
+@query()
+def assistant_shortest_path(spark, d):
+    return assistant.answer("How is Customer#000000001 connected to Customer#000000002?", _data(spark, d))
+
+
+@query()
+def assistant_anomalies(spark, d):
+    return assistant.answer(QUESTIONS[3], _data(spark, d))
+
+
+@query()
+def assistant_duplicates(spark, d):
+    data = _data(spark, d)
+    data.tables["persons"] = v.part_names(spark, d).select(F.col("id").alias("person_id"), "name", F.lit(None).cast("string").alias("organization_id"), F.lit("").alias("country"), F.lit("").alias("city"))
+    return assistant.answer(QUESTIONS[4], data)
+
+
+@query("SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment FROM customer")
+def csv_roundtrip(spark, d):
+    path = f"{shared_folder(spark)}/customer.csv"
+    store.write_csv(v.table(spark, d, "customer"), path)
+    return readers.load(spark, path)
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, CAST(n_regionkey AS BIGINT) AS n_regionkey FROM nation")
+def json_roundtrip(spark, d):
+    path = f"{shared_folder(spark)}/nation.json"
+    rows = v.table(spark, d, "nation").select(F.array(F.struct("*")).alias("r")).groupBy().agg(F.to_json(F.flatten(F.collect_list("r"))).alias("value"))  # 25 nations at any scale
+    rows.write.text(path)
+    return readers.load(spark, path)
+
+
+@query("SELECT CAST(s_suppkey AS BIGINT) AS s_suppkey, s_name, CAST(s_nationkey AS BIGINT) AS s_nationkey FROM supplier WHERE s_suppkey <= 10")
+def xlsx_roundtrip(spark, d):
+    import os
+
+    from spindrift.sources.xlsx import write_xlsx
+
+    place = shared_folder(spark).removeprefix("file://")
+    os.makedirs(place, exist_ok=True)
+    rows = v.table(spark, d, "supplier").where("s_suppkey <= 10").select("s_suppkey", "s_name", "s_nationkey").orderBy("s_suppkey").collect()
+    write_xlsx(path := f"{place}/supplier.xlsx", ["s_suppkey", "s_name", "s_nationkey"], [tuple(r) for r in rows])
+    return readers.load(spark, path)
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS day, CASE WHEN o_orderkey % 3 = 0 THEN CAST(1 AS DOUBLE) ELSE o_totalprice END AS confidence FROM orders")
+def typed_load_orders(spark, d):
+    raw = v.table(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 5 == 0, " ").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("day"), F.when(F.col("o_orderkey") % 3 == 0, "").otherwise(F.col("o_totalprice").cast("string")).alias("price"))
+    return raw.select("o_orderkey", readers.to_date(F.col("day")).alias("day"), readers.to_number(F.col("price"), 1.0).alias("confidence"))
+
+
+@query()
+def synthetic_dataset(spark, d):
+    t = synthetic.generate(spark, 1000)
+    return relational.count_entities(t)
+
+
+@query()
+def synthetic_persons(spark, d):
+    return synthetic.generate(spark, 1000)["persons"]
+
+
+@query()
+def graph_metrics(spark, d):
+    return graph.graph_metrics(*v.small_graph(spark, d), top=5)
