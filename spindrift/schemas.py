@@ -1,10 +1,13 @@
 """Stored tables of the engine."""
 
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DateType, DoubleType, IntegerType, StringType, StructField, StructType, TimestampType
+
+_TYPES = {"string": StringType(), "int": IntegerType(), "double": DoubleType(), "date": DateType(), "timestamp": TimestampType()}
 
 
 def _schema(text: str) -> StructType:
-    return StructType.fromDDL(text)
+    """From `name type` pairs; unlike Spark's own parser it needs no session."""
+    return StructType([StructField(name, _TYPES[kind]) for name, kind in (pair.split() for pair in text.split(","))])
 
 
 TABLES = {
