@@ -11,7 +11,7 @@ import io
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from spindrift.session import settle
@@ -84,10 +84,10 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         near = around.join(labels.select(F.col("id").alias("dst"), "component"), "dst").groupBy("src").agg(F.min("component").alias("m"))
         step = labels.join(near, labels["id"] == near["src"], "left").select("id", F.least("component", F.coalesce("m", "component")).alias("c"), F.col("component").alias("old"))
         jump = labels.select(F.col("id").alias("c"), F.col("component").alias("j"))
-        new = settle(step.join(jump, "c", "left").select("id", F.least("c", F.coalesce("j", "c")).alias("component"), "old"), "labels")
-        changed = new.where("component < old").limit(1).count()
-        labels = new.select("id", "component")
-        if not changed:
+        seen = Observation()
+        new = step.join(jump, "c", "left").select("id", F.least("c", F.coalesce("j", "c")).alias("component"), "old")
+        labels = settle(new.observe(seen, F.count(F.when(F.col("component") < F.col("old"), 1)).alias("changed")), "labels").select("id", "component")
+        if not seen.get["changed"]:
             return labels
 
 
@@ -102,15 +102,17 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, max_iter
     merged = edges.groupBy("src", "dst").agg(F.sum("weight").alias("w"))
     out = merged.groupBy("src").agg(F.sum("w").alias("_out")).where("_out > 0")
     links = settle(merged.join(out, "src").select("src", "dst", (F.col("w") / F.col("_out")).alias("p")), "links")
-    state = settle(nodes.select("id").join(out.select(F.col("src").alias("id"), F.lit(True).alias("has")), "id", "left").select("id", F.lit(1.0 / n).alias("score"), F.coalesce("has", F.lit(False)).alias("has")), "ranks")
-    for round_ in range(fixed or max_iterations):
-        lost = state.where("NOT has").agg(F.coalesce(F.sum("score"), F.lit(0.0))).first()[0]
+    lost = F.coalesce(F.sum(F.when(~F.col("has"), F.col("score"))), F.lit(0.0)).alias("lost")
+    seen = Observation()
+    start = nodes.select("id").join(out.select(F.col("src").alias("id"), F.lit(True).alias("has")), "id", "left")
+    state = settle(start.select("id", F.lit(1.0 / n).alias("score"), F.coalesce("has", F.lit(False)).alias("has")).observe(seen, lost), "ranks")
+    for _ in range(fixed or max_iterations):
+        spread = seen.get["lost"] / n
         flow = links.join(state.select(F.col("id").alias("src"), "score"), "src").groupBy("dst").agg(F.sum(F.col("p") * F.col("score")).alias("f"))
-        new = state.join(flow, state["id"] == flow["dst"], "left").select("id", ((1 - damping) / n + damping * (F.coalesce("f", F.lit(0.0)) + lost / n)).alias("score"), "has", F.col("score").alias("old"))
-        new = settle(new, "ranks")
-        moved = 1.0 if fixed else new.agg(F.sum(F.abs(F.col("score") - F.col("old")))).first()[0]
-        state = new.drop("old")
-        if not fixed and moved < n * tolerance:
+        new = state.join(flow, state["id"] == flow["dst"], "left").select("id", ((1 - damping) / n + damping * (F.coalesce("f", F.lit(0.0)) + spread)).alias("score"), "has", F.col("score").alias("old"))
+        seen = Observation()  # what each round loses and moves is summed while it is written
+        state = settle(new.observe(seen, lost, F.sum(F.abs(F.col("score") - F.col("old"))).alias("moved")), "ranks").drop("old")
+        if not fixed and seen.get["moved"] < n * tolerance:
             break
     else:
         if not fixed:
