@@ -15,7 +15,7 @@ def components(edges: DataFrame) -> DataFrame:
     shared folder, so that a lost executor costs one round at most. Loops (a = b) and repeated edges do no harm; an empty
     table gives an empty result.
     """
-    both = materialize(edges.select("a", "b").union(edges.select("b", "a")).where("a IS NOT NULL AND b IS NOT NULL").toDF("a", "b"), "edges")
+    both = materialize(edges.select("a", "b").union(edges.select("b", "a")).toDF("a", "b").where("a IS NOT NULL AND b IS NOT NULL").distinct(), "edges")
     labels = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("component")), "labels")
     while True:
         around = both.join(labels.select(F.col("id").alias("b"), "component"), "b").groupBy("a").agg(F.min("component").alias("m"))

@@ -34,7 +34,9 @@ BLOCK_ROWS = 1 << 20
 SPLIT_BITS = 6
 #: Code pairs under which a pair of nodes is compared at once, and compared in one step.
 LEAF = 128
-STEP = 1 << 21
+STEP = 1 << 18
+#: Rows that a task holds at once, unless one group has more.
+HELD_ROWS = 1 << 16
 
 #: For near copies: words of a shingle, their similarity, and the codes in which they are sought: tables of so many bits each.
 COPY_WORDS = 5
@@ -173,7 +175,7 @@ class Sets:
 
     def get(self, part: int, at: int, n: int) -> np.ndarray:
         if (part, at) not in self.known:
-            if len(self.known) > 50_000:
+            if len(self.known) > 20_000:
                 self.known.clear()
             if part not in self.files:
                 if len(self.files) > 200:
@@ -199,7 +201,7 @@ class Sets:
         return shared >= least * (len(both) - shared)
 
 
-def trie_links(rows: DataFrame, bits: int = BITS, budget: int = BUDGET, block_rows: int = BLOCK_ROWS, split_bits: int = SPLIT_BITS, sets: str | None = None, least: float = COPY_SIMILARITY) -> DataFrame:
+def trie_links(rows: DataFrame, bits: int = BITS, budget: int = BUDGET, block_rows: int = BLOCK_ROWS, split_bits: int = SPLIT_BITS, sets: str | None = None, least: float = COPY_SIMILARITY, held_rows: int = HELD_ROWS) -> DataFrame:
     """A spanning forest (a, b) of the links between rows (node, table, code) of one table whose codes differ in at most budget bits.
 
     A table's codes are distinct or nearly so; codes fill the highest `bits` bits. With `sets`, rows also have part, at and n, and a
@@ -221,49 +223,71 @@ def trie_links(rows: DataFrame, bits: int = BITS, budget: int = BUDGET, block_ro
     keep = ["table", "turn", "block", "pair", "node", "code"] + (["part", "at", "n"] if sets else [])
     schema = "a long, b long"
 
-    def run(batches):
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        whole = pa.Table.from_batches(held)
-        got = {k: whole.column(k).to_numpy() for k in keep}
+    group = ["table", "turn", "block", "pair"]
+
+    def forest_of(got: dict[str, np.ndarray], lookup: Sets | None) -> pa.RecordBatch | None:
         key = (got["table"].astype(np.int64) << 48) | (got["turn"].astype(np.int64) << 40) | got["block"].astype(np.int64)
-        codes = got["code"].view(np.uint64) if got["code"].dtype == np.int64 else got["code"].astype(np.int64).view(np.uint64)
+        codes = got["code"].view(np.uint64)
         order = np.lexsort((got["node"], codes, got["pair"], key))
-        got = {k: v[order] for k, v in got.items()}
+        got = {k: v[order] for k, v in got.items() if k in ("pair", "node", "part", "at", "n")}
         key, codes = key[order], codes[order]
         names, local = np.unique(got["node"], return_inverse=True)
         forest = np.arange(len(names))
-        group = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (got["pair"][1:] != got["pair"][:-1])]))
-        ends = np.append(group[1:], len(key))
-        pair = got["pair"][group]
+        starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (got["pair"][1:] != got["pair"][:-1])]))
+        ends = np.append(starts[1:], len(key))
+        pair = got["pair"][starts]
         plain = pair < 0
         p, q = np.where(plain, 0, pair >> split_bits), np.where(plain, 0, pair & (1 << split_bits) - 1)
-        alo, ahi, blo, bhi = group.copy(), ends.copy(), group.copy(), ends.copy()
+        alo, ahi, blo, bhi = starts.copy(), ends.copy(), starts.copy(), ends.copy()
         for i in np.flatnonzero(~plain & (p != q)):
-            inner = codes[group[i] : ends[i]] << np.uint64(width) >> np.uint64(64 - split_bits)
-            cut = group[i] + int(np.searchsorted(inner, q[i]))
+            inner = codes[starts[i] : ends[i]] << np.uint64(width) >> np.uint64(64 - split_bits)
+            cut = starts[i] + int(np.searchsorted(inner, q[i]))
             ahi[i], blo[i] = cut, cut
         apart = np.bitwise_count(p ^ q).astype(np.int64)
         depth = np.where(plain, width, width + split_bits)
         fit = (alo < ahi) & (blo < bhi)
-        lookup = Sets(sets) if sets else None
         for i, j in walk_any(codes, tuple(x[fit] for x in (alo, ahi, blo, bhi, apart, depth)), bits, budget):
             a, b = local[i], local[j]
-            apart_now = np.flatnonzero(forest[a] != forest[b])
             if lookup is None:
                 forest = join_labels(forest, a, b)
-            else:
-                for x in apart_now.tolist():
-                    u, v = a[x], b[x]
-                    if forest[u] != forest[v] and lookup.similar(*((int(got["part"][y]), int(got["at"][y]), int(got["n"][y])) for y in (i[x], j[x])), least):
-                        low, high = sorted((forest[u], forest[v]))
-                        forest[forest == high] = low
+                continue
+            for x in np.flatnonzero(forest[a] != forest[b]).tolist():
+                u, v = a[x], b[x]
+                if forest[u] != forest[v] and lookup.similar(*((int(got["part"][y]), int(got["at"][y]), int(got["n"][y])) for y in (i[x], j[x])), least):
+                    low, high = sorted((forest[u], forest[v]))
+                    forest[forest == high] = low
         linked = np.flatnonzero(forest != np.arange(len(forest)))
-        if len(linked):
-            yield pa.RecordBatch.from_arrays([pa.array(names[linked]), pa.array(names[forest[linked]])], names=["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(names[linked]), pa.array(names[forest[linked]])], names=["a", "b"]) if len(linked) else None
 
-    return dealt.select(keep).repartition("table", "turn", "block", "pair").mapInArrow(run, schema)
+    def run(batches):
+        """Whole groups, as they come sorted, some at a time."""
+        lookup = Sets(sets) if sets else None
+        held: list[dict[str, np.ndarray]] = []
+        size = 0
+
+        def joined() -> dict[str, np.ndarray]:
+            return {k: np.concatenate([h[k] for h in held]) for k in keep}
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append({k: batch.column(k).to_numpy() for k in keep})
+                size += batch.num_rows
+            if size >= held_rows:
+                got = joined()
+                changes = np.flatnonzero(np.any([got[k][1:] != got[k][:-1] for k in group], axis=0))
+                if len(changes):
+                    at = int(changes[-1]) + 1
+                    found = forest_of({k: v[:at] for k, v in got.items()}, lookup)
+                    if found is not None:
+                        yield found
+                    got = {k: v[at:] for k, v in got.items()}
+                held, size = [got], len(got["node"])
+        if size:
+            found = forest_of(joined(), lookup)
+            if found is not None:
+                yield found
+
+    return dealt.select(keep).repartition(*group).sortWithinPartitions(*group).mapInArrow(run, schema)
 
 
 def walk_any(codes: np.ndarray, frontier: tuple[np.ndarray, ...], bits: int, budget: int):

@@ -39,7 +39,7 @@ def test_trie_links(spark, bits, budget, block_rows):
     rows = list(enumerate(codes))
     to_long = lambda c: int(np.uint64(c << (64 - bits)).view(np.int64))
     df = spark.createDataFrame([(i, 0, to_long(c)) for i, c in rows], "node long, table int, code long")
-    edges = S.trie_links(df, bits, budget, block_rows, 4)
+    edges = S.trie_links(df.repartition(7), bits, budget, block_rows, 4, held_rows=30)
     found = {r.id: r.component for r in components(edges).collect()}
     want = brute_components(rows, lambda x, y: (x ^ y).bit_count() <= budget)
     assert {i: found.get(i, i) for i, _ in rows} == want
