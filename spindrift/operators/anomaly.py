@@ -119,7 +119,9 @@ def isolation_forest(transactions: DataFrame, contamination: float = CONTAMINATI
     """
     own = transactions.withColumn("amount", F.col("amount").cast("double")).where("amount IS NOT NULL AND amount > -1")
     feature = F.log1p("amount")
-    pool = [r.f for r in own.orderBy(F.xxhash64("transaction_id"), "transaction_id", "amount").limit(TREES * SAMPLE).select(feature.alias("f")).collect()]
+    total, wanted, h = own.count(), TREES * SAMPLE, F.pmod(F.xxhash64("transaction_id"), F.lit(1 << 40))
+    few = own.where(h < int(1.5 * wanted / total * (1 << 40)) + 1) if total > 2 * wanted else own  # no task hands over more than its part
+    pool = [r.f for r in few.orderBy(h, "transaction_id", "amount").limit(wanted).select(feature.alias("f")).collect()]
     if not pool:
         return own.withColumns({"anomaly_score": F.lit(0.0), "method": F.lit("isolation_forest"), "reason": F.lit("")}).limit(0)
     cuts, depth, size = grow_forest(np.array(pool), seed=seed)

@@ -23,4 +23,3 @@ TABLES = {
     "anomalies": _schema("anomaly_id string, run_id string, entity_type string, entity_id string, anomaly_score double, reason string, detected_at timestamp"),
 }
 ENTITIES = ("persons", "organizations", "locations", "events", "relationships", "transactions")
-KEYS = {"datasets": "dataset_id", "data_sources": "source_id", "organizations": "organization_id", "persons": "person_id", "locations": "location_id", "events": "event_id", "relationships": "relationship_id", "transactions": "transaction_id", "analysis_runs": "run_id", "anomalies": "anomaly_id"}

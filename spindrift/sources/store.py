@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spindrift.operators.profile import quality, summarize
-from spindrift.schemas import ENTITIES, KEYS, TABLES
+from spindrift.schemas import ENTITIES, TABLES
 from spindrift.sources.readers import exists, load_csv, to_date, to_number, to_text, to_time
 
 
@@ -140,10 +140,3 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
-
-
-def new_store(spark: SparkSession, folder: str) -> Store:
-    return Store(spark, folder)
-
-
-assert set(KEYS) == set(TABLES)
