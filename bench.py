@@ -31,6 +31,7 @@ def timed(run, times: int) -> float:
         took.append(time.perf_counter() - start)
     return round(statistics.median(took), 3)
 
+
 def experiments(spark, size: int, folder: str) -> dict[str, float]:
     """The stages of the published workload on a synthetic data set of `size` persons."""
     out: dict[str, float] = {}
@@ -48,6 +49,7 @@ def experiments(spark, size: int, folder: str) -> dict[str, float]:
     out["anomaly_isolation_forest"] = timed(lambda: anomaly.isolation_forest(t["transactions"]).count(), 1)
     return {f"published_{size}_{k}": v for k, v in out.items()}
 
+
 def main() -> None:
     spark = session("bench", f"local[{CPUS}]", **{"spark.sql.shuffle.partitions": CPUS, "spark.ui.enabled": "false", "spark.driver.memory": "8g", "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
