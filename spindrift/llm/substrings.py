@@ -139,15 +139,16 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window
                 yield pa.RecordBatch.from_arrays([batch.column("did").take(rows), batch.column("th").take(rows), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(h), pa.array(d)], names=["did", "th", "at", "n", "h", "d"])
 
     every = materialize(source.select("did", "th", "text").mapInArrow(cut, schema), "segments")
-    often = every.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
+    # the counts are written first: a join straight above their aggregation could not have its hot partitions split
+    often = materialize(every.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"), "hashes")
     found = materialize(every.join(often, "h", "left_semi"), "often")
     distinct = materialize(found.groupBy("h", "d").agg(F.count("*").alias("c"), F.min(F.struct("did", "th", "at", "n")).alias("one")), "distinct")
     release(spark)
-    kinds = distinct.groupBy("h").agg(F.count("*").alias("k")).where("k > 1")
+    kinds = materialize(distinct.groupBy("h").agg(F.count("*").alias("k")).where("k > 1"), "kinds")
     wanted = distinct.join(kinds, "h").select("h", "d", "c", "one.*", (F.col("k") > shard_most).alias("hot"))
     lists = wanted.groupBy("did", "th").agg(F.collect_list(F.struct("at", "n", "h", "d", "c", "hot")).alias("parts"))
     packed = _packed(source)
-    one_row = packed.select("did", "th", "packed").join(lists, ["did", "th"])
+    one_row = packed.select("did", "th", "packed").join(lists.hint("shuffle_hash"), ["did", "th"])  # the texts needn't be sorted
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The words of segments for the shards, the windows' digests of the others; once for each document's text."""
@@ -245,7 +246,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     kept.append(b" ".join([w for w, x in zip(words, hit.tolist(), strict=True) if not x] if own else words))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=schema.names)
 
-    return packed.join(spans, ["did", "th"], "left").select("doc_id", "packed", "spans").mapInArrow(run, schema)
+    return packed.join(spans.hint("shuffle_hash"), ["did", "th"], "left").select("doc_id", "packed", "spans").mapInArrow(run, schema)
 
 
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
