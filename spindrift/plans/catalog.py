@@ -467,14 +467,10 @@ def json_roundtrip(spark, d):
 
 @query("SELECT CAST(s_suppkey AS BIGINT) AS s_suppkey, s_name, CAST(s_nationkey AS BIGINT) AS s_nationkey FROM supplier WHERE s_suppkey <= 10")
 def xlsx_roundtrip(spark, d):
-    import os
-
     from spindrift.sources.xlsx import write_xlsx
 
-    place = shared_folder(spark).removeprefix("file://")
-    os.makedirs(place, exist_ok=True)
     rows = v.table(spark, d, "supplier").where("s_suppkey <= 10").select("s_suppkey", "s_name", "s_nationkey").orderBy("s_suppkey").collect()
-    write_xlsx(path := f"{place}/supplier.xlsx", ["s_suppkey", "s_name", "s_nationkey"], [tuple(r) for r in rows])
+    write_xlsx(path := f"{shared_folder(spark)}/supplier.xlsx", ["s_suppkey", "s_name", "s_nationkey"], [tuple(r) for r in rows])
     return readers.load(spark, path)
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import io
+import os
 import re
 import zipfile
 from xml.etree import ElementTree
 
+from pyarrow import fs
 from pyspark.sql.datasource import DataSource, DataSourceReader
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -16,10 +19,6 @@ _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 def _local(path: str):
     """The file's bytes, through Arrow's file systems for other than local paths."""
     if "://" in path:
-        import io
-
-        from pyarrow import fs
-
         files, place = fs.FileSystem.from_uri(path)
         with files.open_input_file(place) as f:
             return io.BytesIO(f.read())
@@ -107,7 +106,8 @@ def write_xlsx(path: str, header: list[str], rows, sheet: str = "Sheet1") -> Non
         return f'<c t="inlineStr"><is><t xml:space="preserve">{escape(str(v))}</t></is></c>'
 
     space = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as book:
+    whole = io.BytesIO()
+    with zipfile.ZipFile(whole, "w", zipfile.ZIP_DEFLATED) as book:
         book.writestr("[Content_Types].xml", '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/></Types>')
         book.writestr("_rels/.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="xl/workbook.xml"/></Relationships>')
         book.writestr("xl/workbook.xml", f'<workbook {space} xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="{escape(sheet)}" sheetId="1" r:id="rId1"/></sheets></workbook>')
@@ -117,3 +117,7 @@ def write_xlsx(path: str, header: list[str], rows, sheet: str = "Sheet1") -> Non
             for row in (header, *rows):
                 f.write(("<row>" + "".join(map(cell, row)) + "</row>").encode())
             f.write(b"</sheetData></worksheet>")
+    files, place = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    files.create_dir(os.path.dirname(place), recursive=True)
+    with files.open_output_stream(place) as out:
+        out.write(whole.getvalue())
