@@ -61,7 +61,8 @@ def windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window:
 def later_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """doc_id and starts: where later occurrences of repeated windows begin in it."""
     found = materialize(windows(docs, doc_id, text, window), "windows")
-    first = found.groupBy("h1", "h2").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "line")).alias("first")).where("c > 1").drop("c")
+    # written first: a join straight above an aggregation could not have its hot partitions split
+    first = materialize(found.groupBy("h1", "h2").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "line")).alias("first")).where("c > 1").drop("c"), "first")
     later = found.join(first, ["h1", "h2"]).where(F.struct("doc_id", "line") != F.col("first"))
     return later.groupBy("doc_id").agg(F.collect_set("line").alias("starts"))
 
