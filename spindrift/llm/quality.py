@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spindrift.llm.shared import annotate, documents, get_bytes, keep_rows, put_bytes, shared_dir
+from spindrift.llm.shared import annotate, by_hash, documents, get_bytes, keep_rows, put_bytes, shared_dir
 
 VECTOR = 8
 WIDTH = 16
@@ -149,7 +149,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id",
     """
     marks = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(doc_id).agg((F.avg(F.col(label).cast("double")) >= 0.5).cast("int").alias("_label"))
     ids = docs.select(doc_id).where(F.col(doc_id).isNotNull()).distinct().join(marks, doc_id)
-    chosen = ids.orderBy(F.xxhash64(F.col(doc_id).cast("string")), doc_id).limit(sample_docs).collect()
+    chosen = by_hash(ids, doc_id, sample_docs).collect()
     if not chosen:
         return []
     few = docs.sparkSession.createDataFrame([(r[0], r[1]) for r in chosen], T.StructType([T.StructField(doc_id, docs.schema[doc_id].dataType), T.StructField("_label", T.IntegerType())]))

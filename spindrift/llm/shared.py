@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Text bytes that one call of a batch function gets at most, unless one text alone is longer.
@@ -131,5 +132,17 @@ def replace_text(df: DataFrame, text: str, make: Callable[[], Callable[[list], l
     return df.mapInArrow(run, df.schema)
 
 
+def by_hash(df: DataFrame, key: str, most: int) -> DataFrame:
+    """The `most` rows with the smallest hashes of their keys.
+
+    A threshold a half above the wanted share of the hashes goes first, so that no task hands over more than its part of them.
+    """
+    total = df.count()
+    h = F.xxhash64(F.col(key).cast("string"))
+    if total > 2 * most:
+        df = df.where(F.pmod(h, F.lit(1 << 40)) < int(1.5 * most / total * (1 << 40)) + 1)
+    return df.orderBy(F.pmod(h, F.lit(1 << 40)), h, key).limit(most)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
