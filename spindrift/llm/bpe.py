@@ -23,16 +23,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spindrift.llm.pieces import BYTE_CHARS, Pieces, cut, word_splitter
-from spindrift.llm.shared import annotate, chunks, documents, get_bytes, open_fs, put_bytes, shared_dir
+from spindrift.llm.shared import annotate, chunks, documents, get_bytes, materialize, open_fs, put_bytes, shared_dir
 from spindrift.llm.token_files import default_vocabulary
 
 #: Words in the lexicon, and counters that a task keeps (Misra-Gries: all words that are frequent enough survive).
 LEXICON = 1 << 16
 #: Longer words are merged, not looked up.
 LONGEST = 64
-#: Words, and pieces, that a worker remembers.
-REMEMBERED = 300_000
-_NO_RANK = (1 << 30, 0)
+#: Pieces, and words in them, that a worker remembers.
+REMEMBERED = 800_000
+REMEMBERED_WORDS = 450_000
+_NO_RANK = 1 << 62
+_LOW = (1 << 32) - 1
 
 
 class Vocabulary:
@@ -46,25 +48,27 @@ class Vocabulary:
         self.ranks = {}
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.ranks[ids[a] << 32 | ids[b]] = (rank, ids[a + b])
+            self.ranks[ids[a] << 32 | ids[b]] = rank << 32 | ids[a + b]  # numbers compare faster than pairs
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.text = {i: bytes(chars[c] for c in token) for token, i in ids.items()} | {i: t.encode() for t, i in self.specials.items()}
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of one word: the pair of the lowest rank, the leftmost of equal ones, is merged until none is left."""
-        ids = [self.first[b] for b in word]
-        rank = self.ranks.get
-        pairs = [rank(a << 32 | b, _NO_RANK) for a, b in zip(ids, ids[1:])]
+        first = self.first
+        ids = [first[b] for b in word]
+        rank, none = self.ranks.get, _NO_RANK
+        pairs = [rank(a << 32 | b, none) for a, b in zip(ids, ids[1:])]
         if len(pairs) > 200:
             return self._merge_long(ids)
-        while pairs and (best := min(pairs)) is not _NO_RANK:
+        while pairs and (best := min(pairs)) < none:
             i = pairs.index(best)
-            ids[i : i + 2] = [best[1]]
+            new = best & _LOW
+            ids[i : i + 2] = (new,)
             del pairs[i]
             if i:
-                pairs[i - 1] = rank(ids[i - 1] << 32 | ids[i], _NO_RANK)
+                pairs[i - 1] = rank(ids[i - 1] << 32 | new, none)
             if i < len(pairs):
-                pairs[i] = rank(ids[i] << 32 | ids[i + 1], _NO_RANK)
+                pairs[i] = rank(new << 32 | ids[i + 1], none)
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
@@ -73,7 +77,7 @@ class Vocabulary:
 
         n, rank = len(ids), self.ranks.get
         after, before = [*range(1, n), -1], [*range(-1, n - 1)]
-        heap = [(r[0], i, ids[i], ids[i + 1], r[1]) for i in range(n - 1) if (r := rank(ids[i] << 32 | ids[i + 1]))]
+        heap = [(r >> 32, i, ids[i], ids[i + 1], r & _LOW) for i in range(n - 1) if (r := rank(ids[i] << 32 | ids[i + 1])) is not None]
         heapify(heap)
         while heap:
             _, i, a, b, new = heappop(heap)
@@ -85,8 +89,8 @@ class Vocabulary:
             if after[j] >= 0:
                 before[after[j]] = i
             for left, right in ((before[i], i), (i, after[i])):
-                if left >= 0 and right >= 0 and (r := rank(ids[left] << 32 | ids[right])):
-                    heappush(heap, (r[0], left, ids[left], ids[right], r[1]))
+                if left >= 0 and right >= 0 and (r := rank(ids[left] << 32 | ids[right])) is not None:
+                    heappush(heap, (r >> 32, left, ids[left], ids[right], r & _LOW))
         return [i for i in ids if i >= 0]
 
 
@@ -217,7 +221,7 @@ class Coder:
                     out[i] = x
                 return out
 
-        self.pieces = Words(self.of_words, self.of_texts, join, self.split, tuple(specials), REMEMBERED)
+        self.pieces = Words(self.of_words, self.of_texts, join, self.split, tuple(specials), REMEMBERED, REMEMBERED_WORDS)
         self.join = join
 
     def look_up(self, words: list[str]) -> tuple[list, list[int]]:
@@ -281,7 +285,7 @@ def coder(path: str, lexicon: str, digest: bool = False) -> Coder:
 
 
 def frequent_words(docs: DataFrame, text: str = "text", most: int = LEXICON, specials: tuple[str, ...] = ()) -> list[bytes]:
-    """The most frequent space-delimited words (with their space) of all documents; the driver gets `most` rows.
+    """The most frequent space-delimited words (with their space) of all documents, as far as an approximate threshold tells; the driver gets `most` rows.
 
     Each task keeps at most twice as many counters as it returns: beyond that it takes the count of the first one that it
     can't keep from all of them and drops those that reach zero.
@@ -307,7 +311,12 @@ def frequent_words(docs: DataFrame, text: str = "text", most: int = LEXICON, spe
             yield pa.RecordBatch.from_arrays([pa.array([f" {w}".encode() for w in words], pa.binary()), pa.array(numbers, pa.int64())], names=["word", "n"])
 
     rows = docs.select(text).mapInArrow(run, schema).groupBy("word").agg(F.sum("n").alias("n")).where(F.length("word") <= LONGEST)
-    return [bytes(r.word) for r in rows.orderBy(F.desc("n"), "word").limit(most).collect()]
+    counted = materialize(rows, "words")
+    total = counted.count()
+    if total > most:  # a threshold first, so that no task hands over more than its part of the words
+        least = counted.agg(F.percentile_approx("n", F.lit(1 - most / total), F.lit(10_000))).first()[0]
+        counted = counted.where(F.col("n") > least)
+    return [bytes(r.word) for r in counted.limit(most).collect()]
 
 
 def build_lexicon(docs: DataFrame, text: str = "text", vocabulary: str | None = None, most: int = LEXICON) -> str:

@@ -65,7 +65,7 @@ class Memory:
             new = [k for k in keys if k not in here]
             found = dict(zip(new, self.solve(new), strict=True))
             here.update(found)
-            if len(known) < self.most // 2:
+            if len(known) < self.most * 3 // 4:
                 known.update(found)
             elif len(known) < self.most:
                 met, last = self.met, self.MET - 1
@@ -87,9 +87,9 @@ class Pieces:
     several. Where `split` is None, words can't be told apart and all texts are taken whole.
     """
 
-    def __init__(self, solve, whole, join, split, specials: tuple[str, ...], most: int = REMEMBERED):
+    def __init__(self, solve, whole, join, split, specials: tuple[str, ...], most: int = REMEMBERED, most_words: int | None = None):
         self.join, self.split, self.specials = join, split, specials
-        self.words = Memory(solve, most)
+        self.words = Memory(solve, most_words or most)
         self.whole = whole
         self.first = Memory(self._solve, most // 8)
         self.rest = Memory(lambda keys: self._solve([f" {k}" for k in keys]), most)
