@@ -55,7 +55,7 @@ class Encoder:
         self.cuts = spec.get("normalizer") is None and kind.get("type") == "ByteLevel" and kind.get("use_regex", True) and not kind.get("add_prefix_space") and not any(t["lstrip"] or t["rstrip"] or t["normalized"] for t in spec["added_tokens"])
         self.specials = tuple(t["content"] for t in spec["added_tokens"])
         self.model = self.library.model
-        self.pieces = Pieces(self.of_words, self.direct, b"".join, word_splitter(self.library) if self.cuts else None, self.specials)
+        self.pieces = Pieces(self.of_words, self.direct, b"".join, word_splitter(self.library) if self.cuts else None, self.specials, most_words=500_000)
 
     def direct(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
