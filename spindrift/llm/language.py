@@ -152,8 +152,11 @@ def samples_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang
     cut to a tenth of sample_bytes; if few documents make the sample too short, it is just shorter.
     """
     labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(doc_id).isNotNull())
-    rank = F.row_number().over(Window.partitionBy(lang).orderBy(F.xxhash64(F.col(doc_id).cast("string")), F.col(doc_id)))
-    chosen = [r[0] for r in labelled.select(doc_id, lang).withColumn("_rank", rank).where(F.col("_rank") <= sample_docs).select(doc_id).distinct().collect()]
+    h = F.pmod(F.xxhash64(F.col(doc_id).cast("string")), F.lit(1 << 40))
+    sizes = labelled.groupBy(F.col(lang).alias("k")).agg(F.count("*").alias("n"))  # one row a language, as every worker holds their automata anyway
+    few = labelled.select(F.col(doc_id).alias("i"), F.col(lang).alias("k"), h.alias("h")).join(F.broadcast(sizes), "k").where(F.col("h") < F.lit(1.5 * sample_docs) / F.col("n") * (1 << 40) + 1)
+    rank = F.row_number().over(Window.partitionBy("k").orderBy("h", "i"))  # over about one and a half samples, not over a language
+    chosen = [r[0] for r in few.withColumn("r", rank).where(F.col("r") <= sample_docs).select("i").distinct().collect()]
     kinds = labelled.schema[doc_id].dataType
     picked = labelled.join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in chosen], T.StructType([T.StructField(doc_id, kinds)]))), doc_id, "left_semi")
     rows = picked.select(F.col(lang).alias("k"), F.col(doc_id).cast("string").alias("i"), F.substring(text, 1, max(1, sample_bytes // 10)).alias("t")).orderBy("k", F.xxhash64("i"), "t").collect()
