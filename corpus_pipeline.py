@@ -54,8 +54,11 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 @_stage
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each text, and digests of them and of the text that they decode to."""
-    return bpe_digests(docs.select("doc_id", "lang", "source", "text"), ids="ids").drop("text")
+    """Token ids of each text, and digests of them and of the text that they decode to.
+
+    The workers, which serve other stages too, remember fewer words than where they do nothing else.
+    """
+    return bpe_digests(docs.select("doc_id", "lang", "source", "text"), ids="ids", remembered=250_000).drop("text")
 
 
 STAGES = [("quality_classifier", quality), ("line_dedup", line_dedup), ("simhash_near_dedup", near_dedup), ("benchmark_decontamination", decontamination), ("bpe_encoding_decoding", bpe)]

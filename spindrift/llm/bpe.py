@@ -197,7 +197,7 @@ class Coder:
     bytes that they decode to.
     """
 
-    def __init__(self, path: str, lexicon: str, digest: bool = False):
+    def __init__(self, path: str, lexicon: str, digest: bool = False, remembered: int = REMEMBERED):
         from tokenizers import Tokenizer
 
         self.vocabulary = Vocabulary(path)
@@ -221,7 +221,7 @@ class Coder:
                     out[i] = x
                 return out
 
-        self.pieces = Words(self.of_words, self.of_texts, join, self.split, tuple(specials), REMEMBERED, REMEMBERED_WORDS)
+        self.pieces = Words(self.of_words, self.of_texts, join, self.split, tuple(specials), remembered, min(remembered, REMEMBERED_WORDS))
         self.join = join
 
     def look_up(self, words: list[str]) -> tuple[list, list[int]]:
@@ -274,14 +274,15 @@ class Coder:
         return data
 
 
-_coders: dict[tuple[str, str, bool], Coder] = {}
+_coders: dict[tuple, Coder] = {}
 
 
-def coder(path: str, lexicon: str, digest: bool = False) -> Coder:
-    if (path, lexicon, digest) not in _coders:
+def coder(*key) -> Coder:
+    """Coder(*key); a worker keeps one."""
+    if key not in _coders:
         _coders.clear()
-        _coders[path, lexicon, digest] = Coder(path, lexicon, digest)
-    return _coders[path, lexicon, digest]
+        _coders[key] = Coder(*key)
+    return _coders[key]
 
 
 def frequent_words(docs: DataFrame, text: str = "text", most: int = LEXICON, specials: tuple[str, ...] = ()) -> list[bytes]:
@@ -378,7 +379,7 @@ def decoder(path: str):
     return _decoders[path].decode
 
 
-def bpe_digests(docs: DataFrame, text: str = "text", vocabulary: str | None = None, lexicon: str | None = None, ids: str | None = None) -> DataFrame:
+def bpe_digests(docs: DataFrame, text: str = "text", vocabulary: str | None = None, lexicon: str | None = None, ids: str | None = None, remembered: int = REMEMBERED) -> DataFrame:
     """docs with n_tokens, ids_sha256 and decoded_sha256 of each whole text's ids, and of what they decode to; null as empty.
 
     Encodes and decodes in one pass, so that no id leaves the worker but those that a column named by `ids` asks for.
@@ -387,7 +388,7 @@ def bpe_digests(docs: DataFrame, text: str = "text", vocabulary: str | None = No
     folder = lexicon or build_lexicon(docs, text, path)
 
     def make():
-        tool = coder(path, folder, True)
+        tool = coder(path, folder, True, remembered)
         return lambda texts: list(tool.digests([t.decode("utf-8", "replace") if t else "" for t in texts], ids is not None))
 
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
