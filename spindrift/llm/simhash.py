@@ -116,7 +116,10 @@ def _halves(codes: np.ndarray, lo: np.ndarray, hi: np.ndarray, depth: np.ndarray
 
 
 def walk(codes: np.ndarray, frontier: tuple[np.ndarray, ...], bits: int, budget: int):
-    """Pairs of places whose codes differ in at most budget bits, in steps; frontier: both ranges, bits that differ so far, depth."""
+    """Pairs of places whose codes differ in at most budget bits, in steps; frontier: both ranges, bits that differ so far, depth.
+
+    The codes of a range are distinct, so that a leaf has at most LEAF pairs; walk_any() is for others.
+    """
     held: list[tuple[np.ndarray, ...]] = [frontier]
     while held:
         alo, ahi, blo, bhi, diff, depth = held.pop()
@@ -129,8 +132,6 @@ def walk(codes: np.ndarray, frontier: tuple[np.ndarray, ...], bits: int, budget:
             base = ends[at - 1] if at else 0
             to = max(at + 1, int(np.searchsorted(ends, base + STEP, "right")))
             k = leaf[at:to]
-            if to == at + 1 and size[k[0]] > STEP:  # equal codes down to the last bit cannot be here, as codes are distinct in a group
-                raise ValueError("codes of a group repeat")
             n = size[k]
             within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
             wide = np.repeat(bhi[k] - blo[k], n)
@@ -204,7 +205,7 @@ class Sets:
 def trie_links(rows: DataFrame, bits: int = BITS, budget: int = BUDGET, block_rows: int = BLOCK_ROWS, split_bits: int = SPLIT_BITS, sets: str | None = None, least: float = COPY_SIMILARITY, held_rows: int = HELD_ROWS) -> DataFrame:
     """A spanning forest (a, b) of the links between rows (node, table, code) of one table whose codes differ in at most budget bits.
 
-    A table's codes are distinct or nearly so; codes fill the highest `bits` bits. With `sets`, rows also have part, at and n, and a
+    Codes fill the highest `bits` bits; a table may hold a code any number of times. With `sets`, rows also have part, at and n, and a
     link holds only if the shingle sets have a similarity of `least`: that is looked up unless the two are linked already.
     """
     blocks = budget + 1
@@ -246,7 +247,8 @@ def trie_links(rows: DataFrame, bits: int = BITS, budget: int = BUDGET, block_ro
         apart = np.bitwise_count(p ^ q).astype(np.int64)
         depth = np.where(plain, width, width + split_bits)
         fit = (alo < ahi) & (blo < bhi)
-        for i, j in walk_any(codes, tuple(x[fit] for x in (alo, ahi, blo, bhi, apart, depth)), bits, budget):
+        label = None if lookup is None else lambda i: forest[local[i]]
+        for i, j in walk_any(codes, tuple(x[fit] for x in (alo, ahi, blo, bhi, apart, depth)), bits, budget, label):
             a, b = local[i], local[j]
             if lookup is None:
                 forest = join_labels(forest, a, b)
@@ -290,15 +292,64 @@ def trie_links(rows: DataFrame, bits: int = BITS, budget: int = BUDGET, block_ro
     return dealt.select(keep).repartition(*group).sortWithinPartitions(*group).mapInArrow(run, schema)
 
 
-def walk_any(codes: np.ndarray, frontier: tuple[np.ndarray, ...], bits: int, budget: int):
-    """walk(), where a group may hold a code several times: those chain up first, and one place of each goes on."""
-    same = np.flatnonzero(codes[1:] == codes[:-1]) if len(codes) else np.zeros(0, np.int64)
-    if len(same):
-        starts = np.sort(frontier[0])
-        inside = same[np.searchsorted(starts, same, "right") == np.searchsorted(starts, same + 1, "right")]
+def member_pairs(first: np.ndarray, size: np.ndarray, u: np.ndarray, v: np.ndarray, label):
+    """Places of members of the buckets u and v, pair by pair, at most STEP at a time; of u = v each pair once.
+
+    Large buckets are gone through member by member, and only by pairs whose labels still differ.
+    """
+    n = size[u] * size[v]
+    few = n <= STEP
+    ends = np.cumsum(n[few])
+    for at in range(0, int(ends[-1]) if len(ends) else 0, STEP):
+        number = np.arange(at, min(at + STEP, int(ends[-1])))
+        k = np.searchsorted(ends, number, "right")
+        within, p, q = number - (ends - n[few])[k], u[few][k], v[few][k]
+        i, j = first[p] + within // size[q], first[q] + within % size[q]
+        keep = (p != q) | (i < j)
+        yield i[keep], j[keep]
+    for p, q in zip(u[~few].tolist(), v[~few].tolist(), strict=True):
+        for i in range(int(first[p]), int(first[p] + size[p])):
+            for at in range(i + 1 if p == q else int(first[q]), int(first[q] + size[q]), STEP):
+                j = np.arange(at, min(at + STEP, int(first[q] + size[q])))
+                j = j[label(j) != label(np.array([i]))]
+                if len(j):
+                    yield np.full(len(j), i), j
+
+
+def walk_any(codes: np.ndarray, frontier: tuple[np.ndarray, ...], bits: int, budget: int, label=None):
+    """walk(), where a group may hold a code several times: the places of a code are a bucket, which goes on as one.
+
+    Without `label` near codes are links: buckets chain up, and one place of each goes on. With it (from places to what they are
+    linked to by now), a near code is only a candidate: all pairs of members follow, of a bucket and of two near ones.
+    """
+    alo, ahi, blo, bhi = frontier[:4]
+    if not len(codes) or not len(alo):
+        return
+    new = np.concatenate([[True], codes[1:] != codes[:-1]])
+    bounds = np.concatenate([alo, ahi, blo, bhi])
+    new[bounds[bounds < len(codes)]] = True
+    first = np.flatnonzero(new)
+    size = np.diff(np.append(first, len(codes)))
+    ranges = [np.searchsorted(first, x) for x in (alo, ahi, blo, bhi)]
+    many = np.flatnonzero(size > 1)
+    if len(many):
+        own = np.flatnonzero((alo == blo) & (ahi == bhi))
+        own = own[np.argsort(ranges[0][own], kind="stable")]
+        if len(own):
+            k = np.searchsorted(ranges[0][own], many, "right") - 1
+            many = many[(k >= 0) & (many < ranges[1][own][k])]
+        else:
+            many = many[:0]
+        inside = np.repeat(first[many], size[many] - 1) + np.arange(int((size[many] - 1).sum())) - np.repeat(np.cumsum(size[many] - 1) - (size[many] - 1), size[many] - 1)
         if len(inside):
             yield inside, inside + 1
-    yield from walk(codes, frontier, bits, budget)
+            if label is not None:
+                yield from member_pairs(first, size, many, many, label)
+    for u, v in walk(codes[first], (*ranges, *frontier[4:]), bits, budget):
+        if label is None:
+            yield first[u], first[v]
+        else:
+            yield from member_pairs(first, size, u, v, label)
 
 
 def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, budget: int = BUDGET, block_rows: int = BLOCK_ROWS) -> DataFrame:

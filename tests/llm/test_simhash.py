@@ -45,6 +45,37 @@ def test_trie_links(spark, bits, budget, block_rows):
     assert {i: found.get(i, i) for i, _ in rows} == want
 
 
+@pytest.mark.parametrize("step", [S.STEP, 50])
+def test_repeated_codes(monkeypatch, step):
+    """Every pair of members of equal and near codes comes once at least, also of more pairs than a step has; of others none."""
+    monkeypatch.setattr(S, "STEP", step)
+    codes = np.sort(np.array([5] * 30 + [7] * 20 + [6] + [1 << 20] * 600 + [1 << 30] * 2, np.uint64) << np.uint64(24))
+    places = np.arange(len(codes))
+    frontier = tuple(np.array([x]) for x in (0, len(codes), 0, len(codes), 0, 0))
+    near = {(i, j) for i in places.tolist() for j in range(i + 1, len(codes)) if (int(codes[i]) ^ int(codes[j])).bit_count() <= 1}
+    got = set()
+    for i, j in S.walk_any(codes, frontier, 40, 1, lambda i: i):
+        assert len(i) <= max(step, len(codes))
+        got |= {(min(x), max(x)) for x in zip(i.tolist(), j.tolist(), strict=True)}
+    assert got == near
+    labels = places.copy()
+    for i, j in S.walk_any(codes, frontier, 40, 1):
+        labels = S.join_labels(labels, i, j)
+    want = places.copy()
+    for i, j in [tuple(map(np.array, zip(*near, strict=True)))]:
+        want = S.join_labels(want, i, j)
+    assert (labels == want).all()
+
+
+def test_many_texts_of_one_code(spark):
+    """700 different texts that share over half of their shingles with repeats, and two near copies among them."""
+    rng = np.random.default_rng(4)
+    texts = {i: " ".join(["0"] * 120 + [f"w{x}" for x in rng.integers(0, 1 << 30, 40)]) for i in range(700)}
+    texts[700] = texts[350] + " end"
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert [(r.doc_id, r.component_id) for r in S.near_copies(docs).collect()] == [(700, 350)]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 100), (7, 7), (200, 201), (201, 150), (None, 4)]
     found = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
