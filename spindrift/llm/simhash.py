@@ -45,6 +45,11 @@ COPY_TABLES = 16
 COPY_BITS = 40
 COPY_BUDGET = 3
 COPY_HASHES = 4
+#: For pairs that no table finds: shingles known as frequent, the part of the documents they are counted in (one in so many; both only
+#: order the shingles), and rows that a task holds at once, unless one shingle has more.
+FREQUENT = 1 << 16
+FREQUENT_IN = 16
+PREFIX_ROWS = 1 << 16
 
 _LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 
@@ -171,25 +176,29 @@ def join_labels(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 class Sets:
     """Sorted shingle hashes of documents, read from the files that sketches() wrote."""
 
-    def __init__(self, folder: str):
-        self.folder, self.files, self.known = folder, {}, {}
+    def __init__(self, folder: str, remembered: int = 20_000):
+        self.folder, self.remembered, self.files, self.known = folder, remembered, {}, {}
 
     def get(self, part: int, at: int, n: int) -> np.ndarray:
         if (part, at) not in self.known:
-            if len(self.known) > 20_000:
+            if len(self.known) > self.remembered:
                 self.known.clear()
-            if part not in self.files:
-                if len(self.files) > 200:
-                    self.files.clear()
-                from pyarrow import fs
-
-                files, path = open_fs(f"{self.folder}/{part:07d}")
-                self.files[part] = pa.memory_map(path) if isinstance(files, fs.LocalFileSystem) else files.open_input_file(path)
-            f = self.files[part]
-            f.seek(at * 4)
-            self.known[part, at] = np.frombuffer(f.read(n * 4), "<u4")
+            self.known[part, at] = self.read(part, at, n)
         return self.known[part, at]
 
+    def read(self, part: int, at: int, n: int) -> np.ndarray:
+        """get() without remembering the set."""
+        if part not in self.files:
+            if len(self.files) > 200:
+                self.files.clear()
+            from pyarrow import fs
+
+            files, path = open_fs(f"{self.folder}/{part:07d}")
+            self.files[part] = pa.memory_map(path) if isinstance(files, fs.LocalFileSystem) else files.open_input_file(path)
+        f = self.files[part]
+        f.seek(at * 4)
+        return np.frombuffer(f.read(n * 4), "<u4")
+
     def similar(self, a: tuple[int, int, int], b: tuple[int, int, int], least: float) -> bool:
         if min(a[2], b[2]) < least * max(a[2], b[2]):
             return False
@@ -370,7 +379,7 @@ def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
 
 def sketches(docs: DataFrame, doc_id: str, text: str, words: int, hashes: int) -> tuple[DataFrame, str]:
-    """doc_id, whole (a hash of the shingle set), n, part, at (where its sorted 32-bit hashes lie) and codes of each document."""
+    """doc_id, whole (a hash of the shingle set), n, part, at (where its sorted 32-bit hashes lie) and codes (SimHashes of the distinct shingles) of each document."""
     folder = f"{shared_dir(docs.sparkSession)}/sets"
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("whole", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("part", T.IntegerType()), T.StructField("at", T.LongType()), T.StructField("codes", T.ArrayType(T.LongType()))])
 
@@ -382,7 +391,7 @@ def sketches(docs: DataFrame, doc_id: str, text: str, words: int, hashes: int) -
                 files, path = open_fs(partial)
                 files.create_dir(os.path.dirname(path), recursive=True)
                 out = files.open_output_stream(path)
-            found = [shingle_hashes(t, words) for t in texts]
+            found = [np.unique(shingle_hashes(t, words)) for t in texts]
             sets = [np.unique((h >> np.uint64(32)).astype("<u4")) for h in found]
             out.write(b"".join(x.tobytes() for x in sets))
             sizes = np.array([len(x) for x in sets], np.int64)
@@ -405,11 +414,104 @@ def table_bits(table: int, hashes: int = COPY_HASHES, bits: int = COPY_BITS) ->
     return sorted(np.random.default_rng(1000 + table).choice(64 * hashes, bits, replace=False).tolist())
 
 
+def frequent_shingles(nodes: DataFrame, folder: str) -> np.ndarray:
+    """The shingles with most sets among a part of the nodes (part, at, n), rising; at most FREQUENT of them, in two sets at least."""
+
+    def run(batches):
+        lookup = Sets(folder)
+        for batch in batches:
+            for part, at, n in zip(*(batch.column(k).to_pylist() for k in ("part", "at", "n")), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(lookup.read(part, at, n).view(np.int32))], names=["key"])
+
+    sample = nodes.where(F.pmod(F.xxhash64("doc_id"), F.lit(FREQUENT_IN)) == 0).select("part", "at", "n").mapInArrow(run, "key int")
+    counted = sample.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").orderBy(F.desc("c"), "key").limit(FREQUENT)
+    return np.array([r.key for r in counted.collect()][::-1], np.int32).view("<u4")
+
+
+def prefix_links(nodes: DataFrame, folder: str, least: float) -> DataFrame:
+    """A forest (a, b) of all links between nodes (doc_id, label, part, at, n) of different labels, whose sets have a similarity of `least`.
+
+    In one order of all shingles, frequent ones last, two such sets share one of their first n - least * n + 1 shingles each. Sets meet
+    by those; pairs of the same label, and those whose sizes or remaining shingles don't allow the similarity, aren't compared.
+    """
+    frequent = frequent_shingles(nodes, folder)
+    names = ["key", "pos", "node", "part", "at", "n"]
+    schema = "key int, pos int, node long, part int, at long, n int"
+    rank = np.argsort(frequent, kind="stable")
+    known = frequent[rank]
+
+    def deal(batches):
+        lookup = Sets(folder)
+        for batch in batches:
+            rows = [batch.column(k).to_numpy() for k in ("label", "part", "at", "n")]
+            for s in range(0, batch.num_rows, 64):
+                keys, sizes = [], []
+                for part, at, n in zip(*(r[s : s + 64].tolist() for r in rows[1:]), strict=True):
+                    x = lookup.read(part, at, n)
+                    late = np.zeros(n, np.int64)
+                    if len(known):
+                        spot = np.minimum(np.searchsorted(known, x), len(known) - 1)
+                        late = np.where(known[spot] == x, rank[spot] + 1, 0)
+                    keys.append(x[np.argsort(late, kind="stable")[: n - int(np.ceil(least * n - 1e-9)) + 1]])
+                    sizes.append(len(keys[-1]))
+                pos = np.concatenate([np.arange(k, dtype=np.int32) for k in sizes])
+                label, part, at, n = (np.repeat(r[s : s + 64], sizes) for r in rows)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int32)), pa.array(pos), pa.array(label), pa.array(part), pa.array(at), pa.array(n)], names=names)
+
+    def forest_of(got: dict[str, np.ndarray], lookup: Sets) -> pa.RecordBatch | None:
+        order = np.lexsort((got["node"], got["n"], got["key"]))
+        got = {k: v[order] for k, v in got.items()}
+        starts = np.flatnonzero(np.concatenate([[True], got["key"][1:] != got["key"][:-1]]))
+        mixed_ = np.minimum.reduceat(got["node"], starts) != np.maximum.reduceat(got["node"], starts)
+        use = np.repeat(mixed_, np.diff(np.append(starts, len(order))))
+        if not use.any():
+            return None
+        got = {k: v[use] for k, v in got.items()}
+        group = np.cumsum(np.concatenate([[0], got["key"][1:] != got["key"][:-1]])).astype(np.int64) << 32
+        n, pos = got["n"].astype(np.int64), got["pos"].astype(np.int64)
+        c = np.searchsorted(group | n, group | np.floor(n / least + 1e-9).astype(np.int64), "right") - np.arange(len(n)) - 1
+        ends = np.cumsum(c)
+        labels, local = np.unique(got["node"], return_inverse=True)
+        forest = np.arange(len(labels))
+        for s in range(0, int(ends[-1]), STEP):
+            number = np.arange(s, min(s + STEP, int(ends[-1])))
+            i = np.searchsorted(ends, number, "right")
+            j = i + 1 + number - (ends - c)[i]
+            shared = np.minimum(n[i] - pos[i], n[j] - pos[j])
+            fit = np.flatnonzero((forest[local[i]] != forest[local[j]]) & (shared >= least / (1 + least) * (n[i] + n[j]) - 1e-9))
+            for i_, j_ in zip(i[fit].tolist(), j[fit].tolist(), strict=True):
+                u, v = forest[local[i_]], forest[local[j_]]
+                if u != v and lookup.similar(*((int(got["part"][y]), int(got["at"][y]), int(got["n"][y])) for y in (i_, j_)), least):
+                    forest[forest == max(u, v)] = min(u, v)
+        linked = np.flatnonzero(forest != np.arange(len(forest)))
+        return pa.RecordBatch.from_arrays([pa.array(labels[linked]), pa.array(labels[forest[linked]])], names=["a", "b"]) if len(linked) else None
+
+    def run(batches):
+        """All rows of a shingle, as they come sorted, of some shingles at a time."""
+        lookup, held, size = Sets(folder, 2_000), [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append({k: batch.column(k).to_numpy() for k in names})
+                size += batch.num_rows
+            if size >= PREFIX_ROWS:
+                got = {k: np.concatenate([h[k] for h in held]) for k in names}
+                at = int(np.searchsorted(got["key"], got["key"][-1]))
+                if at and (found := forest_of({k: v[:at] for k, v in got.items()}, lookup)) is not None:
+                    yield found
+                held = [{k: v[at:] for k, v in got.items()}]
+                size = len(held[0]["key"])
+        if size and (found := forest_of({k: np.concatenate([h[k] for h in held]) for k in names}, lookup)) is not None:
+            yield found
+
+    dealt = nodes.select("label", "part", "at", "n").mapInArrow(deal, schema)
+    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+
+
 def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = COPY_WORDS, least: float = COPY_SIMILARITY, tables: int = COPY_TABLES) -> DataFrame:
     """doc_id and component_id of the documents that are copies or near copies of one with a smaller doc_id, their component's smallest.
 
     Near copies share at least `least` of their sets of `words`-word shingles. Pairs are sought in `tables` tables of COPY_BITS of a
-    256-bit SimHash, each joined with itself with COPY_BUDGET errors, and compared exactly. Texts of fewer words are one shingle;
+    256-bit SimHash, each joined with itself with COPY_BUDGET errors, and compared exactly; prefix_links() finds the rest. Texts of fewer words are one shingle;
     those without words are copies of each other. Rows without a doc_id are never copies.
     """
     rows, folder = sketches(docs, doc_id, text, words, COPY_HASHES)
@@ -432,6 +534,9 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
     dealt = nodes.where("n > 0").select("doc_id", "codes", "part", "at", "n").mapInArrow(deal, schema)
     edges = trie_links(dealt, COPY_BITS, COPY_BUDGET, sets=folder, least=least)
     found = components(edges)
+    sought = nodes.where("n > 0").join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("label"), "part", "at", "n")
+    rest = prefix_links(materialize(sought, "sought"), folder, least)
+    found = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(rest))
     labelled = nodes.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("whole", "n", F.coalesce("component", "doc_id").alias("component_id"))
     return rows.select("doc_id", "whole", "n").join(labelled, ["whole", "n"]).where("doc_id > component_id").select("doc_id", "component_id")
 

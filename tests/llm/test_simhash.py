@@ -122,3 +122,24 @@ def test_near_copies(spark):
     should = {k for k in want if want[k] == k}
     assert should <= kept and len(kept - should) <= 0.05 * (len(want) - len(should))
     assert S.drop_near_copies(docs).columns == docs.columns and S.drop_near_copies(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("held", [S.PREFIX_ROWS, 30])
+def test_all_near_copies(spark, monkeypatch, held):
+    """Short texts, and texts whose repeats differ: none may be lost."""
+    monkeypatch.setattr(S, "PREFIX_ROWS", held)
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 6))
+    texts = {}
+    for k in range(60):
+        base = [word() for _ in range(8)]
+        texts[k], texts[100 + k] = " ".join(base), " ".join([*base, word()])
+        base = [word() for _ in range(200)]
+        texts[200 + k], texts[300 + k] = " ".join(base), " ".join(base[:20] * int(rng.integers(3, 12)) + base)
+        few = [f"w{x}" for x in rng.integers(0, 3, rng.integers(5, 14))]  # of many common shingles
+        texts[400 + k] = " ".join(few)
+    sets = {k: frozenset(S.shingle_hashes(t.encode(), 5).tolist()) for k, t in texts.items()}
+    want = brute_components(list(sets.items()), lambda x, y: len(x & y) >= 0.8 * len(x | y))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in S.near_copies(docs).collect()}
+    assert got == {k: c for k, c in want.items() if c != k} and len(got) >= 120
