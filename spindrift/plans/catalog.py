@@ -222,6 +222,11 @@ def connected_components(spark, d):
     return graph.components(*_components_graph(spark, d))
 
 
+@query()
+def connected_components_full(spark, d):
+    return graph.components(*v.full_graph(spark, d))
+
+
 _PR = ", w AS MATERIALIZED (SELECT src, dst, sum(weight) AS w FROM sedges GROUP BY 1, 2), o AS MATERIALIZED (SELECT src, sum(w) AS o FROM w GROUP BY 1), l AS MATERIALIZED (SELECT w.src, dst, w / o AS p FROM w JOIN o ON w.src = o.src), c AS MATERIALIZED (SELECT count(*) AS n FROM snodes), r0 AS MATERIALIZED (SELECT id, 1.0::DOUBLE / n AS s FROM snodes, c)" + "".join(f", r{i + 1} AS MATERIALIZED (SELECT id, 0.15::DOUBLE / n + 0.85::DOUBLE * (coalesce(f, 0) + lost / n) AS s FROM snodes LEFT JOIN (SELECT dst, sum(p * s) AS f FROM l JOIN r{i} ON l.src = r{i}.id GROUP BY 1) ON id = dst, c, (SELECT coalesce(sum(s), 0) AS lost FROM r{i} WHERE id NOT IN (SELECT src FROM o)))" for i in range(10)) + " SELECT id, round(s, 9) AS score FROM r10"
 
 
@@ -230,28 +235,33 @@ def pagerank_10_rounds(spark, d):
     return graph.pagerank(*v.small_graph(spark, d), fixed=10).select("id", F.round("score", 9).alias("score"))
 
 
+@query(_PR.replace("sedges", "edges").replace("snodes", "nodes"), True)
+def pagerank_10_rounds_full(spark, d):
+    return graph.pagerank(*v.full_graph(spark, d), fixed=10).select("id", F.round("score", 9).alias("score"))
+
+
 @query()
 def pagerank_top(spark, d):
-    return graph.top_n(graph.pagerank(*v.small_graph(spark, d)))
+    return graph.top_n(graph.pagerank(*v.full_graph(spark, d)))
 
 
 @query()
 def betweenness_top(spark, d):
-    nodes, edges = v.small_graph(spark, d)
+    nodes, edges = v.full_graph(spark, d)
     both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *edges.columns[2:]))
     return graph.top_n(graph.betweenness(nodes, both))
 
 
 @query()
 def communities(spark, d):
-    nodes, edges = v.small_graph(spark, d)
+    nodes, edges = v.full_graph(spark, d)
     found = graph.communities(nodes, edges)
     return nodes.sparkSession.createDataFrame([], "community long, id string") if found is None else found
 
 
 @query(", h1 AS MATERIALIZED (SELECT DISTINCT dst AS id FROM spairs WHERE src = 'C1'), h2 AS MATERIALIZED (SELECT DISTINCT dst AS id FROM spairs WHERE src IN (SELECT id FROM h1) AND dst <> 'C1' AND dst NOT IN (SELECT id FROM h1)), k AS (SELECT 'C1' AS id, 0 AS hop UNION ALL SELECT id, 1 FROM h1 UNION ALL SELECT id, 2 FROM h2 ORDER BY hop, id LIMIT 300) SELECT n.id, node_type, label, hop FROM snodes n JOIN k ON n.id = k.id", True)
 def neighborhood_k2(spark, d):
-    return graph.neighborhood(*v.small_graph(spark, d), "C1", 2)[0]
+    return graph.neighborhood(*v.full_graph(spark, d), "C1", 2)[0]
 
 
 @query(", h1 AS (SELECT DISTINCT dst AS id FROM (SELECT src, dst FROM sedges WHERE edge_type = 'KNOWS' UNION ALL SELECT dst, src FROM sedges WHERE edge_type = 'KNOWS') WHERE src = 'S1'), k AS (SELECT 'S1' AS id, 0 AS hop UNION ALL SELECT id, 1 FROM h1 ORDER BY hop, id LIMIT 300) SELECT src, dst, edge_type, weight FROM sedges WHERE src IN (SELECT id FROM k) AND dst IN (SELECT id FROM k)", True)
@@ -259,9 +269,14 @@ def neighborhood_edges_filtered(spark, d):
     return graph.neighborhood(*v.small_graph(spark, d), "S1", 1, ["KNOWS"])[1].select("src", "dst", "edge_type", "weight")
 
 
+@query(", h1 AS (SELECT DISTINCT dst AS id FROM (SELECT src, dst FROM edges WHERE edge_type = 'KNOWS' UNION ALL SELECT dst, src FROM edges WHERE edge_type = 'KNOWS') WHERE src = 'S1'), k AS (SELECT 'S1' AS id, 0 AS hop UNION ALL SELECT id, 1 FROM h1 ORDER BY hop, id LIMIT 300) SELECT src, dst, edge_type, weight FROM edges WHERE src IN (SELECT id FROM k) AND dst IN (SELECT id FROM k)", True)
+def neighborhood_edges_filtered_full(spark, d):
+    return graph.neighborhood(*v.full_graph(spark, d), "S1", 1, ["KNOWS"])[1].select("src", "dst", "edge_type", "weight")
+
+
 @query(", RECURSIVE_MARK AS (SELECT 1) SELECT CAST(min(h) AS BIGINT) AS hops FROM (SELECT 1 AS h FROM spairs WHERE src = 'C1' AND dst = 'C2' UNION ALL SELECT 2 FROM spairs a JOIN spairs b ON a.dst = b.src WHERE a.src = 'C1' AND b.dst = 'C2' UNION ALL SELECT 4 FROM (SELECT DISTINCT c.dst AS x FROM spairs a JOIN spairs b ON a.dst = b.src JOIN spairs c ON b.dst = c.src WHERE a.src = 'C1') JOIN spairs e ON e.src = x WHERE e.dst = 'C2')".replace(", RECURSIVE_MARK AS (SELECT 1)", ""), True)
 def shortest_path_hops(spark, d):
-    return graph.render_path(graph.shortest_path(*v.small_graph(spark, d), "C1", "C2")).select("hops")
+    return graph.render_path(graph.shortest_path(*v.full_graph(spark, d), "C1", "C2")).select("hops")
 
 
 @query("SELECT id, node_type, label FROM nodes WHERE lower(label) LIKE '%01%' ORDER BY CASE node_type WHEN 'Person' THEN 0 WHEN 'Organization' THEN 1 WHEN 'Location' THEN 2 ELSE 3 END, id LIMIT 25", True)
@@ -279,6 +294,11 @@ def node_styles(spark, d):
     return graph.node_styles(v.small_graph(spark, d)[0], "C1").drop("title")
 
 
+@query("SELECT id, substr(label, 1, 40) AS label, CASE node_type WHEN 'Person' THEN '#4C78A8' WHEN 'Organization' THEN '#F58518' WHEN 'Location' THEN '#54A24B' ELSE '#E45756' END AS color, CASE WHEN id = 'C1' THEN 20 ELSE 12 END AS size, CASE WHEN id = 'C1' THEN 3 ELSE 1 END AS border_width FROM nodes", True)
+def node_styles_full(spark, d):
+    return graph.node_styles(v.full_graph(spark, d)[0], "C1").drop("title")
+
+
 _KEYS = "names AS (SELECT 'P' || lpad(CAST(min(p_partkey) AS VARCHAR), 8, '0') AS id, trim(regexp_replace(lower(p_name), '\\s+', ' ', 'g')) AS name FROM part GROUP BY p_name), keyed AS (SELECT DISTINCT id, unnest([substr(name, 1, 1), string_split(name, ' ')[-1]]) AS key FROM names)"
 
 
@@ -493,4 +513,4 @@ def synthetic_persons(spark, d):
 
 @query()
 def graph_metrics(spark, d):
-    return graph.graph_metrics(*v.small_graph(spark, d), top=5)
+    return graph.graph_metrics(*v.full_graph(spark, d), top=5)

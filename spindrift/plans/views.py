@@ -61,7 +61,7 @@ def entity_tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
 
 
 def small_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Persons, organizations and locations with the relationships: few enough nodes for the exact methods on small scales."""
+    """Persons, organizations and locations with the relationships, without events and transactions: for queries whose SQL knows no others."""
     t = entity_tables(spark, d)
     no_events, no_moves = t["events"].limit(0), t["transactions"].limit(0)
     return graph.build_nodes(t["persons"], t["organizations"], t["locations"], no_events), graph.build_edges(t["persons"], t["organizations"], t["locations"], no_events, t["relationships"], no_moves)
