@@ -494,6 +494,13 @@ def xlsx_roundtrip(spark, d):
     return readers.load(spark, path)
 
 
+@query("SELECT CAST(s_suppkey AS BIGINT) AS s_suppkey, s_name, CAST(s_nationkey AS BIGINT) AS s_nationkey FROM supplier")
+def xlsx_roundtrip_full(spark, d):
+    from spindrift.sources.xlsx import write_workbooks
+
+    return readers.load_workbooks(spark, write_workbooks(v.table(spark, d, "supplier").select("s_suppkey", "s_name", "s_nationkey"), shared_folder(spark)))
+
+
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS day, CASE WHEN o_orderkey % 3 = 0 THEN CAST(1 AS DOUBLE) ELSE o_totalprice END AS confidence FROM orders")
 def typed_load_orders(spark, d):
     raw = v.table(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 5 == 0, " ").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("day"), F.when(F.col("o_orderkey") % 3 == 0, "").otherwise(F.col("o_totalprice").cast("string")).alias("price"))

@@ -69,6 +69,19 @@ def load_excel(spark: SparkSession, path: str, sheet: str | int = 0) -> DataFram
     return infer(spark.read.format("xlsx").option("path", path).option("sheet", str(sheet)).load())
 
 
+def load_workbooks(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The first sheets of workbooks with one header, as one table; types are inferred over all of them."""
+    from spindrift.sources.xlsx import XlsxSource
+
+    spark.dataSource.register(XlsxSource)
+    out = None
+    for path in paths:
+        _need(spark, path)
+        one = spark.read.format("xlsx").option("path", path).option("sheet", "0").load()
+        out = one if out is None else out.unionByName(one)
+    return infer(out)
+
+
 def load_parquet(spark: SparkSession, path: str) -> DataFrame:
     _need(spark, path)
     return spark.read.parquet(path)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import itertools
 import os
 import re
 import zipfile
@@ -15,6 +16,9 @@ from pyspark.sql.types import StringType, StructField, StructType
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 
+#: Rows of a workbook; a sheet can have 1 048 576 with its header.
+BOOK_ROWS = 1_000_000
+
 
 def _local(path: str):
     """The file's bytes, through Arrow's file systems for other than local paths."""
@@ -114,10 +118,19 @@ def write_xlsx(path: str, header: list[str], rows, sheet: str = "Sheet1") -> Non
         book.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/worksheet" Target="worksheets/sheet1.xml"/></Relationships>')
         with book.open("xl/worksheets/sheet1.xml", "w") as f:
             f.write(f"<worksheet {space}><sheetData>".encode())
-            for row in (header, *rows):
+            for row in itertools.chain([header], rows):
                 f.write(("<row>" + "".join(map(cell, row)) + "</row>").encode())
             f.write(b"</sheetData></worksheet>")
     files, place = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
     files.create_dir(os.path.dirname(place), recursive=True)
     with files.open_output_stream(place) as out:
         out.write(whole.getvalue())
+
+
+def write_workbooks(df, folder: str, rows_in_each: int = BOOK_ROWS) -> list[str]:
+    """The whole table in workbooks of so many rows each, in its order; one without rows for an empty table. The driver holds one workbook."""
+    rows, paths = map(tuple, df.toLocalIterator()), []
+    while (first := next(rows, None)) is not None or not paths:
+        paths.append(f"{folder}/book-{len(paths):05d}.xlsx")
+        write_xlsx(paths[-1], df.columns, [] if first is None else itertools.chain([first], itertools.islice(rows, rows_in_each - 1)))
+    return paths

@@ -119,3 +119,17 @@ def test_typed_cells(spark):
     assert row.amount == 5.5 and row.timestamp.minute == 10 and row.location_id is None
     with pytest.raises(Exception, match="without an amount"):
         store.typed("transactions", df.withColumn("amount", F.lit(""))).collect()
+
+
+def test_whole_supplier_table_in_workbooks(spark, tmp_path):
+    from spindrift.plans import catalog
+    from spindrift.sources.xlsx import write_workbooks
+
+    d = "/root/testdata/sf0.1"
+    own = spark.read.parquet(f"{d}/supplier.parquet").select("s_suppkey", "s_name", "s_nationkey")
+    want = sorted((int(a), b, int(c)) for a, b, c in own.collect())
+    assert len(want) > 10 and sorted(map(tuple, catalog.QUERIES["xlsx_roundtrip_full"](spark, d).collect())) == want
+    paths = write_workbooks(own, f"{tmp_path}/many", 300)
+    assert len(paths) == -(-len(want) // 300) and sorted(map(tuple, readers.load_workbooks(spark, paths).collect())) == want
+    none = write_workbooks(own.limit(0), f"{tmp_path}/none")
+    assert len(none) == 1 and readers.load_workbooks(spark, none).columns == own.columns
