@@ -3,7 +3,7 @@
 Each task cuts its documents into shards of a few million words and builds a suffix array of each. The words are numbered
 by the vocabulary of the test items; any other word, and the end of a document, is number 0 and ends a match. Only
 suffixes that begin like some test suffix (by two words, or by one where an item has one word) enter the array, as no
-other can match. Every test suffix is binary-searched in each shard. No document is shuffled: the test items, in blocks
+other can match in two words. hits() binary-searches the whole windows in each shard; longest_matches() searches every test suffix. No document is shuffled: the test items, in blocks
 of bounded size that lie in the shared folder, visit the shards.
 """
 
@@ -61,13 +61,10 @@ class Items:
         self.per = 63 // self.bits
         self.levels = math.ceil(window / self.per)
         self.firsts = np.zeros(len(self.vocabulary) + 1, bool)
-        pairs = set()
         for w in self.windows:
             if len(w) == 1:
                 self.firsts[w[0]] = True
-            else:
-                pairs.add((int(w[0]) << self.bits) | int(w[1]))
-        self.pairs = np.array(sorted(pairs), np.int64)
+        self.pairs = np.unique(np.concatenate([np.zeros(0, np.int64), *(w[:-1] << self.bits | w[1:] for _, w in items)]))
         size = 1 << 22  # a table of one byte for each of 4M pair hashes drops most other pairs before the exact test
         self.sieve = np.zeros(size, bool)
         self.sieve[_pair_slot(self.pairs)] = True
@@ -186,7 +183,7 @@ class Shard:
                 while n < len(words) and self.ids[at + n] == words[n]:
                     n += 1
                 best = max(best, (n, -at))
-            if best[0]:
+            if best[0] > 1 or best[0] and self.items.firsts[words[0]]:
                 n, at = best[0], -best[1]
                 doc = int(self.document_of(np.array([at]))[0])
                 yield item, offset, n, doc, at - int(self.starts[doc])
@@ -269,7 +266,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
 def longest_matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
     """For each test suffix (item_id, item_offset) its longest verbatim match: n_words, doc_id and word_offset.
 
-    Matches of under two words count only where an item has a single word. The place is one of the
+    Matches of one word count only where that word is a window (the whole of an item, if windows are longer). The place is one of the
     longest ones.
     """
     paths = item_blocks(benchmark, item_id, item_text, window)

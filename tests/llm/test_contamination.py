@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 
 from spindrift.llm import contamination as C
@@ -37,6 +38,30 @@ def test_longest_match(spark):
     assert best["1", 0] == (13, 0, 1) and best["1", 1] == (13, 1, 0) and best["10", 0] == (3, 1, 13)
 
 
+def test_longest_match_of_every_offset(spark):
+    rng = np.random.default_rng(6)
+    word = lambda n: [f"v{x}" for x in rng.integers(0, 12, n)]
+    items = [(1, word(30)), (2, word(14)), (3, word(5)), (4, ["v3"]), (5, word(30))]
+    texts = [word(60), items[0][1][17:] + ["x"], ["y"] + items[4][1][20:29], word(3), ["v3"]]
+    docs, bench = rows(spark, [(k, " ".join(t)) for k, t in items], [" ".join(t) for t in texts])
+    want = {}
+    for k, t in items:
+        for i in range(len(t)):
+            best = 0
+            for d in texts:
+                for j in range(len(d)):
+                    n = 0
+                    while i + n < len(t) and j + n < len(d) and t[i + n] == d[j + n]:
+                        n += 1
+                    best = max(best, n)
+            if best > 1 or best and t[i] == "v3":
+                want[str(k), i] = best
+    found = C.longest_matches(docs, bench).collect()
+    assert {(r.item_id, r.item_offset): r.n_words for r in found} == want
+    own = dict(items)
+    assert all(texts[r.doc_id][r.word_offset : r.word_offset + r.n_words] == own[int(r.item_id)][r.item_offset : r.item_offset + r.n_words] for r in found)
+
+
 def test_empty_tables(spark):
     docs, bench = rows(spark, ITEMS, TEXTS)
     assert C.contamination(docs.limit(0), bench).count() == 0
