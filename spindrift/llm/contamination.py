@@ -3,8 +3,10 @@
 Each task cuts its documents into shards of a few million words and builds a suffix array of each. The words are numbered
 by the vocabulary of the test items; any other word, and the end of a document, is number 0 and ends a match. Only
 suffixes that begin like some test suffix (by two words, or by one where an item has one word) enter the array, as no
-other can match in two words. hits() binary-searches the whole windows in each shard; longest_matches() searches every test suffix. No document is shuffled: the test items, in blocks
-of bounded size that lie in the shared folder, visit the shards.
+other can match in two words. Every suffix of every test item is binary-searched in each shard by its first WINDOW words:
+the interval that it leads to holds all its places with so long a match, and where it is empty the neighbours show the longest
+match. Matches of a whole window are hits; longest_matches() follows them to their ends. No document is shuffled: the test
+items, in blocks of bounded size that lie in the shared folder, visit the shards.
 """
 
 from __future__ import annotations
@@ -20,11 +22,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spindrift.llm.shared import annotate, documents, get_bytes, keep_rows, put_bytes, shared_dir
+from spindrift.llm.shared import CHUNK_BYTES, annotate, chunks, documents, get_bytes, keep_rows, put_bytes, shared_dir
 
 WINDOW = 13
 #: Bytes of item text in one block of test items: what a task holds at once.
 BLOCK_BYTES = 16 << 20
+#: Pairs of a test suffix and a place that are followed to their ends at a time.
+PAIRS = 1 << 18
 #: Part of a document's words that must be hit for it to count as contaminated, as one in so many.
 ONE_IN = 20
 
@@ -37,55 +41,57 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 class Items:
-    """Suffixes of a block of test items, and their windows, over a vocabulary of their own."""
+    """All suffixes of a block of test items over a vocabulary of their own.
+
+    The items lie one after another in `words`, each ended by 0; a suffix is a place in it. Suffixes with the same first `window`
+    words (all words of a shorter one) are one prefix, which is searched once.
+    """
 
     def __init__(self, rows: list[tuple[str, bytes]], window: int = WINDOW):
         self.window = window
         self.vocabulary: dict[bytes, int] = {}
         number = self.vocabulary.setdefault
-        items = [(k, np.array([number(w, len(self.vocabulary) + 1) for w in words_of(t)], np.int64)) for k, t in rows]
-        items = [(k, w) for k, w in items if len(w)]
+        items = [(k, [number(w, len(self.vocabulary) + 1) for w in words_of(t)]) for k, t in rows]
+        items = [(k, w) for k, w in items if w]
         self.names = sorted({k for k, _ in items})
         place = {k: i for i, k in enumerate(self.names)}
-        of: dict[bytes, set[int]] = {}
-        for k, w in items:
-            n = min(window, len(w))
-            for i in range(len(w) - n + 1):
-                of.setdefault(w[i : i + n].tobytes(), set()).add(place[k])
-        self.windows = [np.frombuffer(w, np.int64) for w in of]
-        owners = [sorted(x) for x in of.values()]
-        self.owner_at = np.concatenate([[0], np.cumsum([len(x) for x in owners])]).astype(np.int64)
-        self.owners = np.array([i for x in owners for i in x], np.int64)
-        self.suffixes = [(place[k], i, w[i:]) for k, w in items for i in range(len(w))]
-        self.bits = max(1, len(self.vocabulary).bit_length())
+        self.bits = (len(self.vocabulary) + 1).bit_length()  # the greatest number fills keys up and is no word
         self.per = 63 // self.bits
         self.levels = math.ceil(window / self.per)
+        sizes = np.array([len(w) for _, w in items], np.int64)
+        self.words = np.array([x for _, w in items for x in (*w, 0)], np.int64)
+        first = np.cumsum(sizes + 1) - (sizes + 1)
+        self.offset = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        self.item = np.repeat(np.array([place[k] for k, _ in items], np.int64), sizes)
+        self.at = np.repeat(first, sizes) + self.offset
+        self.left = np.repeat(sizes, sizes) - self.offset
+        size = np.minimum(self.left, window)
+        low, high = self._keys(size)
+        both = np.concatenate([size[:, None], low], axis=1)
+        _, one, self.prefix = np.unique(both, axis=0, return_index=True, return_inverse=True)
+        self.prefix = self.prefix.reshape(-1)
+        self.low, self.high, self.size, self.begin = low[one], high[one], size[one], self.at[one]
+        window_of = (size == window) | (self.offset == 0)  # a shorter item is a window as a whole
+        owned = np.unique(np.stack([self.prefix[window_of], self.item[window_of]]), axis=1)
+        self.owners = owned[1]
+        self.owner_at = np.searchsorted(owned[0], np.arange(len(one) + 1))
         self.firsts = np.zeros(len(self.vocabulary) + 1, bool)
-        for w in self.windows:
-            if len(w) == 1:
-                self.firsts[w[0]] = True
-        self.pairs = np.unique(np.concatenate([np.zeros(0, np.int64), *(w[:-1] << self.bits | w[1:] for _, w in items)]))
+        self.firsts[self.words[self.at[(self.left == 1) & (self.offset == 0)]]] = True
+        inner = self.at[self.left > 1]
+        self.pairs = np.unique(self.words[inner] << self.bits | self.words[inner + 1])
         size = 1 << 22  # a table of one byte for each of 4M pair hashes drops most other pairs before the exact test
         self.sieve = np.zeros(size, bool)
         self.sieve[_pair_slot(self.pairs)] = True
 
-        self.window_keys = self.keys(self.windows)
-
-    def keys(self, words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        shape = (len(words), self.levels)
-        return tuple(np.array([self.pack(w, fill) for w in words], np.int64).reshape(shape) for fill in (0, (1 << self.bits) - 1))
-
-    def pack(self, words: np.ndarray, fill: int) -> list[int]:
-        """The first words as keys of `per` words each, filled up with `fill`."""
-        padded = [int(x) for x in words[: self.levels * self.per]]
-        padded += [fill] * (self.levels * self.per - len(padded))
-        keys = []
-        for at in range(0, len(padded), self.per):
-            key = 0
-            for x in padded[at : at + self.per]:
-                key = key << self.bits | x
-            keys.append(key)
-        return keys
+    def _keys(self, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The first `size` words of each suffix as keys of `per` words each, filled up with the least and with the greatest word."""
+        out = [np.zeros((len(size), self.levels), np.int64) for _ in range(2)]
+        for j in range(self.levels * self.per):
+            inside = j < size
+            word = self.words[np.where(inside, self.at + j, 0)] if len(size) else size
+            for keys, fill in zip(out, (0, (1 << self.bits) - 1), strict=True):
+                keys[:, j // self.per] = keys[:, j // self.per] << self.bits | np.where(inside, word, fill)
+        return out[0], out[1]
 
 
 def _pair_slot(pairs: np.ndarray) -> np.ndarray:
@@ -146,47 +152,71 @@ class Shard:
             hi = np.where(open_ & ~less, mid, hi)
         return lo
 
-    def interval(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The part of the array between the keys of word sequences filled up with the least and with the greatest word."""
-        if not len(low) or not len(self.array):
-            return np.zeros(len(low), np.int64), np.zeros(len(low), np.int64)
-        return self.search(low), self.search(high)
+    def matching(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each prefix of the items: the part of the array that begins with it, and how many of its words match at most."""
+        items = self.items
+        if not len(items.size) or not len(self.array):
+            none = np.zeros(len(items.size), np.int64)
+            return none, none, none
+        lo, hi = self.search(items.low), self.search(items.high)
+        best = np.where(hi > lo, items.size, 0)
+        open_ = np.flatnonzero(hi <= lo)
+        for near in (lo[open_] - 1, lo[open_]):
+            there = (near >= 0) & (near < len(self.array))
+            k = open_[there]
+            best[k] = np.maximum(best[k], self.common(items.begin[k], self.array[near[there]]))
+        return lo, hi, best
+
+    def common(self, own: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Words that each test suffix (a place in the items) shares with the text from a place of the shard on."""
+        n, going = np.zeros(len(own), np.int64), np.arange(len(own))
+        while len(going):
+            x, y = self.items.words[own[going] + n[going]], self.ids[at[going] + n[going]]
+            going = going[(x == y) & (x > 0)]
+            n[going] += 1
+        return n
 
     def document_of(self, at: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.starts, at, "right") - 1
 
     def hits(self) -> tuple[np.ndarray, list[np.ndarray]]:
         """For each document: which of the shard's words are hit (over all words), and the items with a window in it."""
+        items = self.items
         covered = np.zeros(len(self.ids) + 1, np.int64)
         found: list[np.ndarray] = []
-        lo, hi = self.interval(*self.items.window_keys)
-        for k in np.flatnonzero(hi > lo):
+        lo, hi, best = self.matching()
+        for k in np.flatnonzero((best == items.size) & (hi > lo) & (np.diff(items.owner_at) > 0)):
             at = self.array[lo[k] : hi[k]]
             np.add.at(covered, at, 1)
-            np.add.at(covered, at + len(self.items.windows[k]), -1)
+            np.add.at(covered, at + items.size[k], -1)
             docs = np.unique(self.document_of(at))
-            own = self.items.owners[self.items.owner_at[k] : self.items.owner_at[k + 1]]
+            own = items.owners[items.owner_at[k] : items.owner_at[k + 1]]
             found.append(np.stack([np.repeat(docs, len(own)), np.tile(own, len(docs))]))
         pairs = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), np.int64)
         bounds = np.searchsorted(pairs[0], np.arange(len(self.starts) + 1))
         return np.cumsum(covered)[:-1] > 0, [pairs[1][bounds[i] : bounds[i + 1]] for i in range(len(self.starts))]
 
-    def longest(self) -> Iterator[tuple[int, int, int, int, int]]:
+    def longest(self) -> tuple[np.ndarray, ...]:
         """For each test suffix with a match here: item, offset, words matched, document, word in it."""
-        suffixes = self.items.suffixes
-        lo, hi = self.interval(*self.items.keys([w for _, _, w in suffixes]))
-        for (item, offset, words), first, last in zip(suffixes, lo.tolist(), hi.tolist(), strict=True):
-            near = self.array[first:last] if last > first else self.array[max(0, first - 1) : first + 1]
-            best = (0, 0)
-            for at in near.tolist():
-                n = 0
-                while n < len(words) and self.ids[at + n] == words[n]:
-                    n += 1
-                best = max(best, (n, -at))
-            if best[0] > 1 or best[0] and self.items.firsts[words[0]]:
-                n, at = best[0], -best[1]
-                doc = int(self.document_of(np.array([at]))[0])
-                yield item, offset, n, doc, at - int(self.starts[doc])
+        items = self.items
+        lo, hi, best = (x[items.prefix] for x in self.matching())
+        whole = hi > lo
+        begin, end = np.where(whole, lo, np.maximum(lo - 1, 0)), np.where(whole, hi, np.minimum(lo + 1, len(self.array)))
+        words = items.words[items.at]
+        kept = np.flatnonzero((best > 1) | (best == 1) & items.firsts[words])
+        n, place = np.zeros(len(kept), np.int64), np.zeros(len(kept), np.int64)
+        ends = np.cumsum((end - begin)[kept])
+        for s in range(0, int(ends[-1]) if len(ends) else 0, PAIRS):  # suffixes and their places, some at a time
+            number = np.arange(s, min(s + PAIRS, int(ends[-1])))
+            k = np.searchsorted(ends, number, "right")
+            at = self.array[end[kept][k] - (ends[k] - number)]
+            got = self.common(items.at[kept[k]], at)
+            order = np.lexsort((at, -got, k))
+            first = order[np.concatenate([[True], np.diff(k[order]) > 0])]
+            better = (got[first] > n[k[first]]) | (got[first] == n[k[first]]) & (at[first] < place[k[first]])
+            n[k[first[better]]], place[k[first[better]]] = got[first[better]], at[first[better]]
+        docs = self.document_of(place)
+        return items.item[kept], items.offset[kept], n, docs, place - self.starts[docs]
 
 
 def item_blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> list[str]:
@@ -206,6 +236,11 @@ def item_blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "tex
 _loaded: dict[str, Items] = {}
 
 
+def _chunk_bytes(paths: list[str]) -> int:
+    """Text that meets the blocks at a time: the more blocks there are to load for it, the more, up to a bound."""
+    return CHUNK_BYTES * min(8, len(paths))
+
+
 def _load(path: str) -> Items:
     """One block stays loaded in a worker."""
     if path not in _loaded:
@@ -215,7 +250,7 @@ def _load(path: str) -> Items:
 
 
 def scan(texts: list[bytes | None], paths: list[str]) -> tuple[list[int], list[int], list[list[str]]]:
-    """Words, hit words and sorted item ids of each text, with all blocks."""
+    """Words, hit words and sorted item ids of each text, with all blocks one after another."""
     hit, names, shard = None, [set() for _ in texts], None
     for path in paths:
         items = _load(path)
@@ -246,47 +281,44 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
 
         return run
 
-    return annotate(docs, text, make, [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("contaminated", T.BooleanType())])
+    return annotate(docs, text, make, [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("contaminated", T.BooleanType())], _chunk_bytes(paths))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The documents that are not contaminated, with their columns as they are; null and empty texts stay."""
+    """The documents that hold no window of an item, with their columns as they are.
+
+    A document with a single window goes, however long it is: a passage of the benchmark in it is no less learned there. Null and empty
+    texts stay, repeated rows stay or go together, and nothing goes where the benchmark is empty.
+    """
     paths = item_blocks(benchmark, item_id, item_text, window, block_bytes)
 
     def make():
-        def run(texts):
-            n_words, n_hit, _ = scan(texts, paths)
-            return [not (h > 0 and ONE_IN * h >= n) for n, h in zip(n_words, n_hit, strict=True)]
-
-        return run
+        return lambda texts: [not h for h in scan(texts, paths)[1]]
 
-    return keep_rows(docs, text, make)
+    return keep_rows(docs, text, make, _chunk_bytes(paths))
 
 
-def longest_matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
+def longest_matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """For each test suffix (item_id, item_offset) its longest verbatim match: n_words, doc_id and word_offset.
 
-    Matches of one word count only where that word is a window (the whole of an item, if windows are longer). The place is one of the
-    longest ones.
+    Matches of one word count only where that word is a window (the whole of an item, if windows are longer). The place is one
+    of the longest matches'. Null and empty texts match nothing, items
+    with a null id or text have no suffix, equal items of one id are one, and empty tables give an empty result.
     """
-    paths = item_blocks(benchmark, item_id, item_text, window)
+    paths = item_blocks(benchmark, item_id, item_text, window, block_bytes)
     schema = T.StructType([T.StructField("item_id", T.StringType()), T.StructField("item_offset", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("word_offset", T.LongType())])
 
     def run(batches):
-        from spindrift.llm.shared import chunks
-
-        for batch, texts in chunks(batches, text):
-            ids = batch.column(doc_id)
+        for batch, texts in chunks(batches, "text", _chunk_bytes(paths)):
             for path in paths:
                 items = _load(path)
-                rows = list(Shard(items, texts).longest())
-                if rows:
-                    item, offset, n, doc, word = zip(*rows, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([items.names[i] for i in item]), pa.array(offset, pa.int64()), pa.array(n, pa.int64()), ids.take(pa.array(doc)), pa.array(word, pa.int64())], names=schema.names)
-
-    found = docs.select(doc_id, text).mapInArrow(run, schema)
-    best = F.max_by(F.struct("n_words", "doc_id", "word_offset"), F.struct(F.col("n_words"), -F.col("doc_id"), -F.col("word_offset")))
-    return found.groupBy("item_id", "item_offset").agg(best.alias("m")).select("item_id", "item_offset", "m.*")
+                item, offset, n, doc, word = Shard(items, texts).longest()
+                if len(item):
+                    yield pa.RecordBatch.from_arrays([pa.array([items.names[i] for i in item.tolist()]), pa.array(offset), pa.array(n), batch.column("doc_id").take(pa.array(doc)), pa.array(word)], names=schema.names)
+
+    found = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
+    best = F.min(F.struct((-F.col("n_words")).alias("n"), F.col("doc_id").isNull().alias("none"), "doc_id", "word_offset")).alias("m")
+    return found.groupBy("item_id", "item_offset").agg(best).select("item_id", "item_offset", (-F.col("m.n")).alias("n_words"), "m.doc_id", "m.word_offset")
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

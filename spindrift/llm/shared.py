@@ -90,8 +90,8 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, most: int = CHUNK_BYTES
             at = to
 
 
-def annotate(df: DataFrame, text: str, make: Callable[[], Callable[[list], list]], fields: list[T.StructField]) -> DataFrame:
-    """df and the columns that make()(texts) returns; those replace columns of df with the same name."""
+def annotate(df: DataFrame, text: str, make: Callable[[], Callable[[list], list]], fields: list[T.StructField], most: int = CHUNK_BYTES) -> DataFrame:
+    """df and the columns that make()(texts) returns; those replace columns of df with the same name. A call gets about `most` bytes of texts."""
     new = {f.name.lower() for f in fields}
     keep = [f.name for f in df.schema.fields if f.name.lower() not in new]
     source = df if text in keep else df.withColumn("_annotate_text", df[text])
@@ -99,7 +99,7 @@ def annotate(df: DataFrame, text: str, make: Callable[[], Callable[[list], list]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
-        for batch, texts in chunks(batches, column):
+        for batch, texts in chunks(batches, column, most):
             columns = [batch.column(k) for k in keep] + [pa.array(v, type=t) for v, t in zip(fn(texts), arrow, strict=True)]
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, *(f.name for f in fields)])
 
@@ -109,12 +109,12 @@ def annotate(df: DataFrame, text: str, make: Callable[[], Callable[[list], list]
     return source.mapInArrow(run, T.StructType([*(df.schema[k] for k in keep), *fields]))
 
 
-def keep_rows(df: DataFrame, text: str, make: Callable[[], Callable[[list], list]]) -> DataFrame:
+def keep_rows(df: DataFrame, text: str, make: Callable[[], Callable[[list], list]], most: int = CHUNK_BYTES) -> DataFrame:
     """The rows of df for which make()(texts) is true; no column is added, so that no name can clash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
-        for batch, texts in chunks(batches, text):
+        for batch, texts in chunks(batches, text, most):
             yield batch.filter(pa.array(np.asarray(fn(texts), dtype=bool)))
 
     return df.mapInArrow(run, df.schema)
