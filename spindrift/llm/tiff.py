@@ -3,6 +3,8 @@
 Read: both byte orders, chains of image directories, strips and tiles, samples of 8 or 16 bits, one or more samples
 a pixel (chunky or planar), compression none, LZW, deflate (both numbers) and PackBits, predictors none and horizontal
 differencing. What a page needs beyond that makes it a row with an error and no samples; the pages before it stand.
+Files may be hostile: before memory is taken for a page, its size is held against what its strips can unpack to at most
+and against a limit (MOST_BYTES), and no strip is unpacked further than it may be long.
 """
 
 from __future__ import annotations
@@ -33,6 +35,15 @@ PAGE_ROWS = 256
 STRIP_ROWS = 64
 
 
+#: Bytes that a decoded page may take; a larger one is a row with an error.
+MOST_BYTES = 1 << 28
+#: Bytes that one stored byte can become at most, as the formats allow: a 12-bit LZW code has 3 837 (the table's longest word), two
+#: bytes of PackBits have 128, and deflate needs a byte for 1 032.
+_GROWTH = {NONE: 1, LZW: 2560, DEFLATE: 1032, OLD_DEFLATE: 1032, PACKBITS: 64}
+#: Decoded bytes of a file's pages that tiff_pages() holds before it hands rows on.
+FLUSH_BYTES = 1 << 25
+
+
 def unpack_bits(data: bytes, size: int) -> bytes:
     out, at = bytearray(), 0
     while at < len(data) and len(out) < size:
@@ -148,7 +159,12 @@ def pack_lzw(data: bytes) -> bytes:
     return bytes(out)
 
 
-_UNPACK = {NONE: lambda d, n: d, LZW: unpack_lzw, DEFLATE: lambda d, n: zlib.decompress(d), OLD_DEFLATE: lambda d, n: zlib.decompress(d), PACKBITS: unpack_bits}
+def inflate(data: bytes, size: int) -> bytes:
+    """The first `size` bytes that deflate data hold."""
+    return zlib.decompressobj().decompress(data, max(1, size))
+
+
+_UNPACK = {NONE: lambda d, n: d, LZW: unpack_lzw, DEFLATE: inflate, OLD_DEFLATE: inflate, PACKBITS: unpack_bits}
 _PACK = {NONE: lambda d: d, LZW: pack_lzw, DEFLATE: lambda d: zlib.compress(d, 4), OLD_DEFLATE: lambda d: zlib.compress(d, 4)}
 
 
@@ -183,8 +199,10 @@ def _directory(data: bytes, at: int, order: str) -> tuple[dict[int, tuple], int]
     return tags, following
 
 
-def _decode(data: bytes, tags: dict[int, tuple], order: str, page: Page) -> None:
-    one = lambda tag, other=None: tags.get(tag, (other,))[0]
+def _decode(data: bytes, tags: dict[int, tuple], order: str, page: Page, most: int) -> None:
+    def one(tag: int, other: int | None = None) -> int | None:
+        return tags[tag][0] if tags.get(tag) else other
+
     width, height, bands = one(WIDTH), one(HEIGHT), one(SAMPLES, 1)
     page.width, page.height, page.compression = width, height, one(COMPRESSION, NONE)
     bits, predictor = set(tags.get(BITS, (1,))), one(PREDICTOR, 1)
@@ -196,7 +214,16 @@ def _decode(data: bytes, tags: dict[int, tuple], order: str, page: Page) -> None
         wide, high, offsets, counts = one(TILE_WIDTH), one(TILE_HEIGHT), tags[TILE_OFFSETS], tags[TILE_COUNTS]
     else:
         wide, high, offsets, counts = width, min(height, one(ROWS_PER_STRIP, height)), tags[STRIP_OFFSETS], tags[STRIP_COUNTS]
+    if not wide or not high or not bands:
+        raise ValueError("strips, tiles or samples of size zero")
     across, down = -(-width // wide), -(-height // high)
+    if len(offsets) != len(counts) or len(offsets) < planes * across * down:
+        raise ValueError(f"{len(offsets)} offsets and {len(counts)} sizes for {planes * across * down} strips or tiles")
+    offsets, counts = offsets[: planes * across * down], counts[: planes * across * down]
+    full = planes * height * width * deep * kind.itemsize
+    stored = sum(max(0, min(n, len(data) - at)) for at, n in zip(offsets, counts, strict=True))
+    if full > most or wide * high * deep * kind.itemsize > most or full > _GROWTH[page.compression] * stored:
+        raise ValueError(f"{width} x {height} pixels need {full} bytes; {stored} bytes are stored, {most} bytes are the limit")
     out = np.zeros((planes, height, width, deep), kind.newbyteorder("="))
     for k, (at, n) in enumerate(zip(offsets, counts, strict=True)):
         plane, cell = divmod(k, across * down)
@@ -213,8 +240,11 @@ def _decode(data: bytes, tags: dict[int, tuple], order: str, page: Page) -> None
     page.samples = np.concatenate(list(out), axis=-1) if planes > 1 else out[0]
 
 
-def read_pages(data: bytes | None) -> Iterator[Page]:
-    """The pages of a file, in the order of its directories; what can't be read ends with an error row."""
+def read_pages(data: bytes | None, most: int = MOST_BYTES) -> Iterator[Page]:
+    """The pages of a file, in the order of its directories; what can't be read ends with an error row.
+
+    A page of over `most` decoded bytes, or larger than its stored bytes can unpack to, has an error too.
+    """
     if not data:
         return
     order = {b"II*\0": "<", b"MM\0*": ">"}.get(bytes(data[:4]))
@@ -231,8 +261,8 @@ def read_pages(data: bytes | None) -> Iterator[Page]:
             page.error, at = "broken directory", 0
         else:
             try:
-                _decode(data, tags, order, page)
-            except (ValueError, KeyError, TypeError, IndexError, zlib.error) as e:
+                _decode(data, tags, order, page, most)
+            except (ValueError, LookupError, TypeError, ArithmeticError, MemoryError, struct.error, zlib.error) as e:
                 page.error = f"{type(e).__name__}: {e}"
         yield page
         number += 1
@@ -295,27 +325,37 @@ def page_feature(samples: np.ndarray) -> str:
 PAGE_FIELDS = [("page", T.IntegerType()), ("width", T.IntegerType()), ("height", T.IntegerType()), ("compression", T.IntegerType()), ("channels", T.IntegerType()), ("samples", T.BinaryType()), ("feature", T.StringType()), ("error", T.StringType())]
 
 
-def tiff_pages(df: DataFrame, media: str = "media") -> DataFrame:
+def tiff_pages(df: DataFrame, media: str = "media", most: int = MOST_BYTES) -> DataFrame:
     """One row for each page of each file, with df's columns (but media; columns named like the new ones are replaced).
 
-    Null and empty media have no page. Samples are row-major, the first row at the top, 16-bit ones little-endian; a page that can't be decoded has none
-    and says why in error.
+    Null and empty media have no page, repeated rows have theirs each, and an empty table gives an empty result. Samples are row-major, the first row at the top, 16-bit ones little-endian; a page that can't be decoded has none
+    (one of over `most` bytes among them) and says why in error.
     """
     names = [n for n, _ in PAGE_FIELDS]
     keep = [c for c in df.columns if c.lower() not in {*names, media.lower()}]
     schema = T.StructType([*(df.schema[k] for k in keep), *(T.StructField(n, t) for n, t in PAGE_FIELDS)])
 
+    types = (pa.int32(),) * 5 + (pa.binary(), pa.string(), pa.string())
+
     def run(batches):
         for batch in batches:
+
+            def rows_of(i: int, rows: list[tuple]) -> pa.RecordBatch:
+                columns = [pa.array(list(v), t) for v, t in zip(zip(*rows, strict=True), types, strict=True)]
+                return pa.RecordBatch.from_arrays([batch.column(k).take(pa.array([i] * len(rows))) for k in keep] + columns, names=schema.names)
+
             for i, data in enumerate(batch.column(media)):
-                rows = []
-                for p in read_pages(data.as_py()):
+                rows, size = [], 0
+                for p in read_pages(data.as_py(), most):
                     s = p.samples
                     little = None if s is None else s.astype(s.dtype.newbyteorder("<"), copy=False).tobytes()
-                    rows.append((p.number, p.width, p.height, p.compression, None if s is None else s.shape[2], little, None if s is None else page_feature(s), p.error))
+                    rows.append((p.number, *(None if x is None or x >= 1 << 31 else x for x in (p.width, p.height, p.compression)), None if s is None else s.shape[2], little, None if s is None else page_feature(s), p.error))
+                    size += len(little or b"") + 256
+                    if size >= FLUSH_BYTES:
+                        yield rows_of(i, rows)
+                        rows, size = [], 0
                 if rows:
-                    columns = [pa.array(list(v), t) for v, t in zip(zip(*rows, strict=True), (pa.int32(),) * 5 + (pa.binary(), pa.string(), pa.string()), strict=True)]
-                    yield pa.RecordBatch.from_arrays([batch.column(k).take(pa.array([i] * len(rows))) for k in keep] + columns, names=schema.names)
+                    yield rows_of(i, rows)
 
     return df.mapInArrow(run, schema)
 

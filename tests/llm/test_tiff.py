@@ -64,6 +64,45 @@ def test_colour(planar):
     assert page.error is None and (page.samples == pixels).all()
 
 
+def with_tag(data, tag, value):
+    """The file with another value of a tag of its first directory."""
+    out = bytearray(data)
+    (at,) = struct.unpack_from("<I", out, 4)
+    for i in range(struct.unpack_from("<H", out, at)[0]):
+        if struct.unpack_from("<H", out, at + 2 + 12 * i)[0] == tag:
+            struct.pack_into("<I", out, at + 10 + 12 * i, value)
+    return bytes(out)
+
+
+def test_hostile_files(spark):
+    rng = np.random.default_rng(3)
+    plain = M.write_pages([rng.integers(0, 256, (20, 30)).astype(np.uint8)], M.NONE)
+    packed = M.write_pages([np.zeros((4000, 4000), np.uint8)], strip_rows=4000)
+    tiled = M.write_pages([rng.integers(0, 256, (20, 30)).astype(np.uint8)], tile=(16, 16))
+    bad = [with_tag(plain, M.ROWS_PER_STRIP, 0), with_tag(with_tag(plain, M.WIDTH, 2_000_000), M.HEIGHT, 2_000_000), with_tag(plain, M.SAMPLES, 0), with_tag(plain, M.ROWS_PER_STRIP, 1), with_tag(tiled, M.TILE_WIDTH, 0), with_tag(plain, M.WIDTH, 0xFFFFFFFF), with_tag(plain, M.STRIP_OFFSETS, 1 << 31), with_tag(plain, M.STRIP_COUNTS, 0)]
+    for data in bad:
+        (page,) = M.read_pages(data)
+        assert page.error and page.samples is None
+    (page,) = M.read_pages(packed, most=1 << 20)
+    assert "limit" in page.error
+    (page,) = M.read_pages(packed)
+    assert page.error is None and page.samples.shape == (4000, 4000, 1)
+    bomb = with_tag(packed, M.HEIGHT, 8)  # the strip holds far more than the page
+    (page,) = M.read_pages(bomb)
+    assert page.error is None and page.samples.shape == (8, 4000, 1) and len(M.inflate(zlib.compress(b"0" * 1_000_000), 100)) == 100
+    df = spark.createDataFrame(list(enumerate([*bad, plain])), "id long, media binary")
+    assert {r.id for r in M.tiff_pages(df).where("error is null").collect()} == {len(bad)} and M.tiff_pages(df).count() == len(bad) + 1
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.data())
+def test_broken_bytes_never_crash(data):
+    good = bytearray(M.write_pages([np.arange(60, dtype=np.uint8).reshape(6, 10)], data.draw(st.sampled_from([M.NONE, M.LZW, M.DEFLATE, M.PACKBITS]))))
+    for _ in range(data.draw(st.integers(1, 4))):
+        good[data.draw(st.integers(4, len(good) - 1))] = data.draw(st.integers(0, 255))
+    assert all(p.error or p.samples is not None for p in M.read_pages(bytes(good), most=1 << 20))
+
+
 def test_pages_as_rows(spark):
     good = M.write_pages([np.zeros((2, 3), np.uint8), np.ones((4, 5), np.uint8)])
     loop = bytearray(M.write_pages([np.zeros((2, 3), np.uint8)]))
