@@ -3,6 +3,9 @@
 Each document's lines are hashed; a window is three consecutive lines. Of each window that occurs several times anywhere
 (by its 128-bit digest) the first occurrence, in order of doc_id and line, stays; a line inside a later occurrence goes.
 As the text of each line that goes stands earlier too, what remains holds every line's text at least once.
+
+A document is a doc_id with a text: rows that differ in either are different documents (of one doc_id, in the order of a hash
+of their texts), and rows that agree in both are one. Ids of any type that has an order will do.
 """
 
 from __future__ import annotations
@@ -38,9 +41,14 @@ def window_digests(lines: list[bytes], window: int = WINDOW) -> np.ndarray:
     return np.frombuffer(b"".join(both), "<i8").reshape(n, 2)
 
 
+def _hash(text: str):
+    """What tells texts with one doc_id apart, beside the id."""
+    return F.xxhash64(F.col(text))
+
+
 def windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
-    """doc_id, line (where the window begins) and the digest h1, h2 of each window."""
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("line", T.IntegerType()), T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType())])
+    """doc_id, th (a hash of the text), line (where the window begins) and the digest h1, h2 of each window."""
+    schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("th", T.LongType()), T.StructField("line", T.IntegerType()), T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in chunks(batches, "text"):
@@ -48,30 +56,29 @@ def windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window:
             counts = np.array([len(x) for x in found], np.int64)
             if not counts.sum():
                 continue
-            ids = batch.column("doc_id").take(pa.array(np.repeat(np.arange(len(texts)), counts)))
             line = np.concatenate([np.arange(n, dtype=np.int32) for n in counts])
             both = np.concatenate(found)
             there = np.flatnonzero(both.any(1))
-            keep = pa.array(there)
-            yield pa.RecordBatch.from_arrays([ids.take(keep), pa.array(line[there]), pa.array(np.ascontiguousarray(both[there, 0])), pa.array(np.ascontiguousarray(both[there, 1]))], names=schema.names)
+            owner = pa.array(np.repeat(np.arange(len(texts)), counts)[there])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(owner), batch.column("th").take(owner), pa.array(line[there]), pa.array(np.ascontiguousarray(both[there, 0])), pa.array(np.ascontiguousarray(both[there, 1]))], names=schema.names)
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(run, schema)
+    return docs.select(F.col(doc_id).alias("doc_id"), _hash(text).alias("th"), F.col(text).alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(run, schema)
 
 
 def later_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
-    """doc_id and starts: where later occurrences of repeated windows begin in it."""
+    """doc_id, th and starts: where later occurrences of repeated windows begin in a document."""
     found = materialize(windows(docs, doc_id, text, window), "windows")
     # written first: a join straight above an aggregation could not have its hot partitions split
-    first = materialize(found.groupBy("h1", "h2").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "line")).alias("first")).where("c > 1").drop("c"), "first")
-    later = found.join(first, ["h1", "h2"]).where(F.struct("doc_id", "line") != F.col("first"))
-    return later.groupBy("doc_id").agg(F.collect_set("line").alias("starts"))
+    first = materialize(found.groupBy("h1", "h2").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "th", "line")).alias("first")).where("c > 1").drop("c"), "first")
+    later = found.join(first, ["h1", "h2"]).where(F.struct("doc_id", "th", "line") != F.col("first"))
+    return later.groupBy("doc_id", "th").agg(F.collect_set("line").alias("starts"))
 
 
 def covered(n: int, starts: list[int], window: int = WINDOW) -> np.ndarray:
     """Which of n lines lie in a window that begins at one of the starts."""
-    edge = np.zeros(n + 1, np.int64)
-    np.add.at(edge, np.array(starts, np.int64), 1)
-    np.add.at(edge, np.minimum(np.array(starts, np.int64) + window, n), -1)
+    edge, at = np.zeros(n + 1, np.int64), np.array(starts, np.int64)
+    np.add.at(edge, np.minimum(at, n), 1)
+    np.add.at(edge, np.minimum(at + window, n), -1)
     return np.cumsum(edge[:-1]) > 0
 
 
@@ -79,11 +86,12 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", win
     """docs without the lines that later occurrences of a window cover; a document may be left with an empty text, but stays.
 
     Texts of under three lines, null and empty ones, and rows without a doc_id stay as they are; so do windows of blank lines
-    alone. Repeated rows with one doc_id are one document: they change alike. With `counts`, two columns of these names have
-    the lines of the input and those removed.
+    alone. Rows with one doc_id and one text are one document and change alike; of one doc_id with several texts each is a document
+    of its own. An empty table gives an empty result. With `counts`, two columns of these names have the lines of the input and
+    those removed.
     """
-    marks = later_lines(docs, doc_id, text, window).select(F.col("doc_id").alias("_line_id"), F.col("starts").alias("_line_starts"))
-    joined = docs.join(marks.hint("shuffle_hash"), docs[doc_id].cast("long") == marks["_line_id"], "left")
+    marks = later_lines(docs, doc_id, text, window).select(F.col("doc_id").alias("_line_id"), F.col("th").alias("_line_hash"), F.col("starts").alias("_line_starts"))
+    joined = docs.join(marks.hint("shuffle_hash"), (docs[doc_id] == marks["_line_id"]) & (F.xxhash64(docs[text]) == marks["_line_hash"]), "left")
     keep = [c for c in docs.columns if not counts or c.lower() not in {x.lower() for x in counts}]
     fields = [docs.schema[c] for c in keep] + [T.StructField(c, T.LongType()) for c in counts or ()]
 

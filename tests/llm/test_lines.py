@@ -1,6 +1,7 @@
 import hashlib
 
 import duckdb
+from pyspark.sql import functions as F
 
 from spindrift.llm import lines as L
 
@@ -45,6 +46,22 @@ def test_repeated_rows_change_alike(spark):
     assert sorted(r.text for r in L.dedup_lines(docs).collect()) == ["a\nb\nc", "d", "d"]
 
 
+def test_one_id_with_different_texts(spark):
+    """Marks of one text don't reach another one with the same doc_id."""
+    rows = [(1, "a\nb\nc\nd"), (2, "x\n" * 40 + "a\nb\nc"), (2, "y\nz"), (2, "a\nb\nc\nq"), (2, "one\ntwo\nthree\n" * 20), (3, "y\nz")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, t): r.text for t, r in zip([t for _, t in rows], L.dedup_lines(docs.coalesce(1).withColumn("k", F.monotonically_increasing_id())).orderBy("k").collect(), strict=True)}
+    assert got[1, rows[0][1]] == rows[0][1] and got[2, "y\nz"] == got[3, "y\nz"] == "y\nz"
+    assert got[2, rows[1][1]] == "x"
+    assert got[2, "a\nb\nc\nq"] == "q"
+    assert got[2, rows[4][1]] == "one\ntwo\nthree\n"
+
+
+def test_ids_of_another_type(spark):
+    docs = spark.createDataFrame([("b", "1\n2\n3"), ("a", "1\n2\n3\n4"), (None, "1\n2\n3")], "doc_id string, text string")
+    assert {r.doc_id: r.text for r in L.dedup_lines(docs).collect()} == {"a": "1\n2\n3\n4", "b": "", None: "1\n2\n3"}
+
+
 def test_query(spark, sf_dir):
     want = brute([(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()])
     got = sorted(tuple(r) for r in L.op4_line_dedup(spark, sf_dir).collect())
