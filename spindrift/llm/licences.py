@@ -33,6 +33,9 @@ _WARRANTY_ISC = 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL W
 _BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n\n"
 _BSD_THIRD = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n\n"
 _BSD_END = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+_ZLIB = "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.\n\nPermission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:\n\n1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.\n\n2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.\n\n3. This notice may not be removed or altered from any source distribution."
+_BOOST = 'Boost Software License - Version 1.0 - August 17th, 2003\n\nPermission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:\n\nThe copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.\n\nTHE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
+_UNLICENSE = 'This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.\n\nIn jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.\n\nTHE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.\n\nFor more information, please refer to <http://unlicense.org/>'
 KNOWN = [
     ("MIT", _MIT),
     ("MIT", f"MIT License\n\n{_MIT}"),
@@ -49,9 +52,31 @@ KNOWN = [
     ("MIT-notice", "Released under the MIT License."),
     ("GPL-3.0-notice", "This work is licensed under the GNU General Public License, version 3."),
     ("CC-BY-NC-4.0-notice", "Licensed under CC BY-NC 4.0."),
+    ("Zlib", _ZLIB),
+    ("Zlib", f"zlib License\n\n{_ZLIB}"),
+    ("BSL-1.0", _BOOST),
+    ("Unlicense", _UNLICENSE),
     ("WTFPL", "DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE\nVersion 2, December 2004\n\nEveryone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed.\n\nDO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE\nTERMS AND CONDITIONS FOR COPYING, DISTRIBUTION AND MODIFICATION\n\n0. You just DO WHAT THE FUCK YOU WANT TO."),
 ]
 
+# Digests of the canonical forms of longer licences, made from their official plain texts (test_licences.py makes them anew
+# where a system has those).
+KNOWN_DIGESTS = [
+    ("Apache-2.0", "94ab2db69513be8875470e3a4d39d5a437c91da93f172411d69d7552938f539a"),
+    ("Artistic-1.0-Perl", "08f1dc258c8f9e175155356aa1dd0dead8cfdec586bc1bb4c8b1452699a91702"),
+    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+    ("GFDL-1.2", "5379e6f33e826ba185b23fd11a414555c2161fda481478babd1e73a3ae098a71"),
+    ("GFDL-1.3", "93d6108daecdddc5f284cf8f2512fb0d72f6e9ee12381feb9704ba194b00c3e6"),
+    ("GPL-1.0", "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224"),
+    ("GPL-2.0", "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821"),
+    ("GPL-3.0", "a8cd54d6683aa630f0b8d05d56184ad91dc486756da2df61c94d3e4e8d5ecb68"),
+    ("LGPL-2.0", "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908"),
+    ("LGPL-2.1", "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891"),
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "fbe9a0b96f52e03cb474f9a7083781399c011279e85b548118563ec96e659354"),
+    ("MPL-2.0", "3dacd2c104719e7227969cbdcc7d581518827199e830b9379627eec0a32f8ab7"),
+]
+
 #: Lines that state who has the copyright, and since when.
 COPYRIGHT_LINE = r"(?m)^[ \t>*#/;-]*(copyright[^\n]*(\(c\)|©|[0-9]{4})|\(c\)|©|all rights reserved)[^\n]*$"
 #: What isn't a letter or digit, in ASCII; other characters stay.
@@ -65,15 +90,15 @@ def _ascii_lower(text: Column) -> Column:
 def canonical(text: Column) -> Column:
     """The canonical form of a text; null as empty."""
     out = F.regexp_replace(_ascii_lower(F.coalesce(text, F.lit(""))), COPYRIGHT_LINE, " ")
-    out = F.concat(F.lit(" "), F.regexp_replace(out, PUNCTUATION, " "), F.lit(" "))
+    out = F.concat(F.lit(" "), F.regexp_replace(out, PUNCTUATION, "  "), F.lit(" "))  # two spaces: each word has its own before and after it
     for given, wanted in _spellings():
         out = F.replace(out, F.lit(f" {given} "), F.lit(f" {wanted} "))
-    return F.trim(out)
+    return F.trim(F.replace(out, F.lit("  "), F.lit(" ")))
 
 
 def _spellings() -> list[tuple[str, str]]:
-    """Equivalent spellings with their punctuation as canonical() leaves it."""
-    plain = lambda s: " ".join("".join(c if c.isalnum() else " " for c in s).split())
+    """Equivalent spellings as they stand within canonical(), with two spaces for their punctuation."""
+    plain = lambda s: "  ".join("".join(c if c.isalnum() else " " for c in s).split())
     return [(plain(a), plain(b)) for a, b in EQUIVALENT]
 
 
@@ -81,7 +106,10 @@ def known_licences(spark: SparkSession, licences: list[tuple[str, str]] | DataFr
     """digest and licence: one row for each canonical text; of several names of one text the smallest. Empty texts are none."""
     rows = licences if isinstance(licences, DataFrame) else spark.createDataFrame(KNOWN if licences is None else licences, "licence string, text string")
     form = rows.select("licence", canonical(F.col("text")).alias("form")).where("form <> '' AND licence IS NOT NULL")
-    return form.groupBy(F.sha2("form", 256).alias("digest")).agg(F.min("licence").alias("licence"))
+    digests = form.select(F.sha2("form", 256).alias("digest"), "licence")
+    if licences is None:
+        digests = digests.unionByName(spark.createDataFrame(KNOWN_DIGESTS, "licence string, digest string"))
+    return digests.groupBy("digest").agg(F.min("licence").alias("licence"))
 
 
 def scan_licences(docs: DataFrame, licences: list[tuple[str, str]] | DataFrame | None = None, text: str = "text") -> DataFrame:
@@ -103,17 +131,19 @@ def _sql_form(text: str) -> str:
     """canonical() in DuckDB's SQL."""
     out = f"translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     out = rf"regexp_replace({out}, '(?m)^[ \t>*#/;-]*(copyright[^\n]*(\(c\)|©|[0-9]{4})|\(c\)|©|all rights reserved)[^\n]*$', ' ', 'g')"
-    out = rf"' ' || regexp_replace({out}, '[\x00-\x2f\x3a-\x60\x7b-\x7f]+', ' ', 'g') || ' '"
+    out = rf"' ' || regexp_replace({out}, '[\x00-\x2f\x3a-\x60\x7b-\x7f]+', '  ', 'g') || ' '"
     for given, wanted in _spellings():
         out = f"replace({out}, ' {given} ', ' {wanted} ')"
-    return f"trim({out}, ' ')"
+    return f"trim(replace({out}, '  ', ' '), ' ')"
 
 
 def _sql() -> str:
+    digests = ", ".join(f"('{n}', '{x}')" for n, x in KNOWN_DIGESTS)
     values = ", ".join(f"('{n}', '{t.replace(chr(39), chr(39) * 2)}')" for n, t in KNOWN)
     return f"""
 WITH known AS (
-  SELECT sha256(form) AS digest, min(licence) AS licence FROM (SELECT licence, {_sql_form("text")} AS form FROM (VALUES {values}) AS v(licence, text)) WHERE form <> '' GROUP BY 1
+  SELECT digest, min(licence) AS licence FROM (SELECT sha256(form) AS digest, licence FROM (SELECT licence, {_sql_form("text")} AS form FROM (VALUES {values}) AS v(licence, text)) WHERE form <> ''
+    UNION ALL SELECT digest, licence FROM (VALUES {digests}) AS w(licence, digest)) GROUP BY 1
 ), own AS (SELECT doc_id, sha256({_sql_form("text")}) AS digest FROM documents)
 SELECT doc_id, digest, licence FROM own LEFT JOIN known USING (digest)
 """
