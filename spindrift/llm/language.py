@@ -4,8 +4,10 @@ For each language a suffix automaton of a bounded sample of its labelled text is
 phrases that each occur in the sample (greedily, each the longest match); the phrases, weighted with the logarithm of the
 sample's size and divided by the text's length, estimate the cross entropy, and the language with the smallest wins.
 
-Letters are lower-cased and each run of other characters becomes one space. A text is parsed in pieces of PIECE bytes, each
-from its automaton's start, so that many pieces step through the automata at once; all bytes of all texts are parsed.
+Letters are lower-cased and each run of other characters becomes one space. All bytes of all texts are parsed. So that many
+places step through the automata at once, a text is first parsed in pieces of PIECE bytes, each as if a phrase began there; then
+each piece is parsed again from the state in which its predecessor really ends, until the two parses meet in one state. The count
+is that of the parse of the whole text.
 """
 
 from __future__ import annotations
@@ -19,12 +21,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spindrift.llm.shared import annotate, documents, get_bytes, put_bytes, shared_dir
+from spindrift.llm.shared import annotate, documents, drawn, get_bytes, put_bytes, shared_dir
 
-#: Bytes of normalised text in a language's sample at most, and documents that it may come from.
+#: Bytes of normalised text in a language's sample at most, documents that it may come from, and pieces of each document's text.
 SAMPLE_BYTES = 60_000
 SAMPLE_DOCS = 400
+SAMPLE_PIECES = 4
+#: Bytes of a piece, and pieces parsed at a time.
 PIECE = 256
+SLAB = 1 << 13
 UNKNOWN = "und"
 #: Smoothing of the score: bits a byte that make a difference of one.
 SCALE = 0.25
@@ -41,10 +46,9 @@ _LETTERS = _Letters()
 
 
 def normalise(text: str) -> bytes | None:
-    """Lower-case words between single spaces, as UTF-8; None if there is no letter."""
-    words = text.translate(_LETTERS).split()
-    out = " ".join(words)
-    return f" {out} ".encode() if words and not out.replace(" ", "").isnumeric() else None
+    """Lower-case words between single spaces, as UTF-8; None if there is no letter (digits and marks alone are none)."""
+    out = " ".join(text.translate(_LETTERS).split())
+    return f" {out} ".encode() if any(map(str.isalpha, out)) else None
 
 
 def automaton(text: bytes) -> list[dict[int, int]]:
@@ -106,7 +110,7 @@ class Automata:
         self.table = np.concatenate(tables).reshape(-1) if tables else np.zeros(0, np.int32)
 
     def phrases(self, texts: list[bytes]) -> np.ndarray:
-        """Phrases of each text, by language."""
+        """Phrases of each whole text, by language."""
         sizes = np.array([len(t) for t in texts], np.int64)
         symbols = self.classes[np.frombuffer(b"".join(texts), np.uint8)]
         pieces = -(-sizes // PIECE)
@@ -114,22 +118,59 @@ class Automata:
         within = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         start = np.repeat(np.cumsum(sizes) - sizes, pieces) + within * PIECE
         length = np.minimum(PIECE, np.repeat(sizes, pieces) - within * PIECE)
+        out = np.tile((sizes > 0).astype(np.int64), (len(self.languages), 1))  # the first phrase of each text
+        last = np.zeros(len(self.languages), np.int64)
+        for s in range(0, len(owner), SLAB):
+            ends, begun = self._parse(symbols, start[s : s + SLAB], length[s : s + SLAB], within[s : s + SLAB] > 0, last)
+            for row, new in zip(out, begun, strict=True):
+                np.add.at(row, owner[s : s + SLAB], new)
+            last = ends[:, -1]
+        return out
+
+    def _parse(self, symbols: np.ndarray, start: np.ndarray, length: np.ndarray, goes_on: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The state after each piece and the phrases that begin in it, by language; last: the states before the first piece."""
+        kinds, many = len(self.languages), len(start)
         order = np.argsort(-length, kind="stable")
-        start, owner, length = start[order], owner[order], length[order]
-        count = np.ones((len(self.languages), len(order)), np.int32)
-        state = np.repeat(np.array(self.starts, np.int64), len(order)).reshape(len(self.languages), -1)
-        live = np.searchsorted(-length, -np.arange(PIECE), "left")  # pieces longer than each step
-        for step in range(PIECE):
-            n = int(live[step])
+        place = np.empty(many, np.int64)
+        place[order] = np.arange(many)
+        begin = start[order]
+        live = np.searchsorted(-length[order], -np.arange(PIECE), "left")  # pieces longer than each step
+        states, sums = np.empty((PIECE, kinds, many), np.int32), np.empty((PIECE, kinds, many), np.int16)
+        state, total = np.repeat(np.array(self.starts, np.int64), many).reshape(kinds, many), np.zeros((kinds, many), np.int16)
+        for step, n in enumerate(live.tolist()):
             if not n:
                 break
-            value = self.table[state[:, :n] * self.width + symbols[start[:n] + step]]
-            count[:, :n] += value & 1
-            state[:, :n] = value >> 1
-        out = np.zeros((len(self.languages), len(texts)), np.int64)
-        for k in range(len(self.languages)):
-            np.add.at(out[k], owner, count[k])
-        return out
+            value = self.table[state[:, :n] * self.width + symbols[begin[:n] + step]]
+            state[:, :n] = states[step, :, :n] = value >> 1
+            total[:, :n] += (value & 1).astype(np.int16)
+            sums[step, :, :n] = total[:, :n]
+        guess_end, guess_total = state[:, place], total[:, place].astype(np.int64)
+        ends, begun = guess_end.copy(), guess_total.copy()
+        kind, piece = np.nonzero(np.broadcast_to(goes_on, (kinds, many)))
+        while len(piece):
+            now = np.where(piece > 0, ends[kind, piece - 1], last[kind])
+            count, going = np.zeros(len(piece), np.int64), np.arange(len(piece))
+            for step in range(PIECE):
+                going = going[length[piece[going]] > step]
+                if not len(going):
+                    break
+                k, p = kind[going], piece[going]
+                value = self.table[now[going] * self.width + symbols[start[p] + step]]
+                now[going] = value >> 1
+                count[going] += value & 1
+                met = states[step, k, place[p]] == now[going]
+                k, p, done = k[met], p[met], going[met]
+                count[done] += guess_total[k, p] - sums[step, k, place[p]]
+                now[done] = guess_end[k, p]
+                going = going[~met]
+            changed = now != ends[kind, piece]
+            ends[kind, piece], begun[kind, piece] = now, count
+            kind, piece = kind[changed], piece[changed] + 1
+            follows = piece < many
+            kind, piece = kind[follows], piece[follows]
+            follows = goes_on[piece]
+            kind, piece = kind[follows], piece[follows]
+        return ends, begun
 
     def judge(self, texts: list[bytes | None]) -> tuple[list[str], list[float]]:
         """Language and score of each text: the share of the best one when each bit a byte costs a factor."""
@@ -148,8 +189,8 @@ class Automata:
 def samples_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample_bytes: int = SAMPLE_BYTES, sample_docs: int = SAMPLE_DOCS) -> dict[str, bytes]:
     """A bounded sample of each language's text: the documents with the smallest hashes of their ids, cut off at sample_bytes.
 
-    Rows without a language, text or letter teach nothing. The driver gets at most sample_docs texts of each language, each
-    cut to a tenth of sample_bytes; if few documents make the sample too short, it is just shorter.
+    Rows without a language, text or letter teach nothing. The driver gets at most sample_docs texts of each language, of each
+    a tenth of sample_bytes in pieces from all over the text; if few documents make the sample too short, it is just shorter.
     """
     labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(doc_id).isNotNull())
     h = F.pmod(F.xxhash64(F.col(doc_id).cast("string")), F.lit(1 << 40))
@@ -159,7 +200,7 @@ def samples_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang
     chosen = [r[0] for r in few.withColumn("r", rank).where(F.col("r") <= sample_docs).select("i").distinct().collect()]
     kinds = labelled.schema[doc_id].dataType
     picked = labelled.join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in chosen], T.StructType([T.StructField(doc_id, kinds)]))), doc_id, "left_semi")
-    rows = picked.select(F.col(lang).alias("k"), F.col(doc_id).cast("string").alias("i"), F.substring(text, 1, max(1, sample_bytes // 10)).alias("t")).orderBy("k", F.xxhash64("i"), "t").collect()
+    rows = picked.select(F.col(lang).alias("k"), F.col(doc_id).cast("string").alias("i"), drawn(F.col(text), F.col(doc_id).cast("string"), SAMPLE_PIECES, max(1, sample_bytes // 10 // SAMPLE_PIECES)).alias("t")).orderBy("k", F.xxhash64("i"), "t").collect()
     found: dict[str, list[bytes]] = defaultdict(list)
     for r in rows:
         if sum(map(len, found[r.k])) < sample_bytes and (clean := normalise(r.t)):
@@ -217,13 +258,10 @@ ORACLE: dict[str, str] = {}
 
 def brute_phrases(text: bytes, sample: bytes) -> int:
     """What the tests hold the automata against: greedy longest matches by searching the sample."""
-    n = 0
-    for at in range(0, len(text), PIECE):
-        piece = text[at : at + PIECE]
-        i = 0
-        while i < len(piece):
-            k = 1
-            while i + k < len(piece) and piece[i : i + k + 1] in sample and piece[i : i + k] in sample:
-                k += 1
-            i, n = i + k, n + 1
+    i = n = 0
+    while i < len(text):
+        k = 1
+        while i + k < len(text) and text[i : i + k + 1] in sample and text[i : i + k] in sample:
+            k += 1
+        i, n = i + k, n + 1
     return n

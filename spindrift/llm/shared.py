@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -144,5 +144,19 @@ def by_hash(df: DataFrame, key: str, most: int) -> DataFrame:
     return df.orderBy(F.pmod(h, F.lit(1 << 40)), h, key).limit(most)
 
 
+def drawn(text: Column, key: Column, pieces: int, size: int) -> Column:
+    """At most pieces * size characters from all over a text, for a bounded sample.
+
+    Of each of so many equal parts come `size` consecutive characters from a place that a hash of the key draws, or all of a part
+    that has no more; so a text of up to pieces * size characters comes whole.
+    """
+    n, out = F.length(text), []
+    for k in range(pieces):
+        begin, end = F.floor(n * k / pieces), F.floor(n * (k + 1) / pieces)
+        at = begin + F.pmod(F.xxhash64(key, F.lit(k)), F.greatest(end - begin - size, F.lit(0)) + 1) + 1
+        out.append(F.substring(text, at.cast("int"), F.least(end - begin, F.lit(size)).cast("int")))
+    return F.concat(*out)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
