@@ -14,15 +14,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spindrift.llm.shared import annotate, by_hash, documents, get_bytes, keep_rows, put_bytes, shared_dir
+from spindrift.llm.shared import annotate, by_hash, documents, drawn, get_bytes, keep_rows, put_bytes, shared_dir
 
 VECTOR = 8
 WIDTH = 16
 STRIDE = 4
 FILTERS = 32
 PAD = 256  # what follows a document's last byte
-#: The training sample: labelled documents at most, and bytes of each (a window at another place in each round).
+#: The training sample: labelled documents at most, characters of each (in pieces from all over its text), and bytes of these that a
+#: round looks at (a window at another place in each round).
 SAMPLE_DOCS = 3600
+SAMPLE_PIECES = 4
+PIECE_CHARS = 8192
 SAMPLE_BYTES = 16_384
 ROUNDS = 14
 BATCH = 24
@@ -145,7 +148,8 @@ class Network:
 def labelled_sample(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", sample_docs: int = SAMPLE_DOCS) -> list[tuple[bytes, int]]:
     """The labelled documents with the smallest hashes of their ids, at most sample_docs; null texts as empty ones.
 
-    Of several labels of an id the mean decides (a half counts as 1). Texts are cut at 4 * SAMPLE_BYTES for training only.
+    Of several labels of an id the mean decides (a half counts as 1). Of a text of over SAMPLE_PIECES * PIECE_CHARS characters as
+    many pieces of PIECE_CHARS come, drawn from all over it; of several texts with one id the smallest counts.
     """
     marks = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(doc_id).agg((F.avg(F.col(label).cast("double")) >= 0.5).cast("int").alias("_label"))
     ids = docs.select(doc_id).where(F.col(doc_id).isNotNull()).distinct().join(marks, doc_id)
@@ -154,7 +158,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id",
         return []
     few = docs.sparkSession.createDataFrame([(r[0], r[1]) for r in chosen], T.StructType([T.StructField(doc_id, docs.schema[doc_id].dataType), T.StructField("_label", T.IntegerType())]))
     rows = docs.select(F.col(doc_id), F.col(text).alias("_text")).join(F.broadcast(few), doc_id)
-    one = rows.groupBy(doc_id).agg(F.min(F.substring(F.coalesce("_text", F.lit("")), 1, 4 * SAMPLE_BYTES)).alias("_text"), F.first("_label").alias("_label"))
+    one = rows.groupBy(doc_id).agg(F.min(drawn(F.coalesce("_text", F.lit("")), F.col(doc_id).cast("string"), SAMPLE_PIECES, PIECE_CHARS)).alias("_text"), F.first("_label").alias("_label"))
     return [(r._text.encode(), r._label) for r in one.orderBy(F.xxhash64(F.col(doc_id).cast("string")), doc_id).collect()]
 
 
