@@ -1,11 +1,12 @@
 """Substring dedup with compressed FM-indexes.
 
 Repeats of WINDOW words are sought. Each window is known by the smallest hash of its GRAM-word runs, so that equal windows
-have equal hashes, and consecutive windows with the same run make a segment. A hash that one segment alone has ends there.
-The segments of the others are told apart by digests; what stands in one segment several times repeats as a whole. Distinct
-segments with one hash meet in a shard: it builds an FM-index of them and gets each one's matching statistics, words from
-each place on that stand twice at least, by backward search; intervals of WINDOW words or more are repeats. A hash with
-over SHARD_MOST distinct segments is split by its windows' digests, which are counted instead.
+have equal hashes, and consecutive windows with the same run make a segment. A hash that one segment alone has can hold no
+repeat. Segments with one hash meet in a shard: the different ones, and of equal ones (by digest) the first and the last
+occurrence, each with the words of its own document. The shard builds an FM-index of them and gets each one's matching
+statistics, words from each place on that stand twice at least, by backward search; intervals of WINDOW words or more are
+repeats. A hash with over SHARD_MOST different segments is split by content: windows of it whose digests occur several times
+go on, the first and the last occurrence of each, to shards by those digests, and are searched there in the same way.
 """
 
 from __future__ import annotations
@@ -20,12 +21,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spindrift.llm.fm_index import FMIndex
+from spindrift.llm.fm_index import DEPTH, FMIndex
 from spindrift.llm.shared import chunks, documents, materialize, release
 
 WINDOW = 35
 GRAM = 8
-#: Distinct segments with one hash in an index at most, and words that one index holds.
+#: Different segments with one hash that one index takes, and words from which an index takes no further hash.
 SHARD_MOST = 256
 SHARD_WORDS = 400_000
 #: Word hashes that a worker remembers.
@@ -106,8 +107,8 @@ def segments(words: list[list[bytes]], window: int = WINDOW, gram: int = GRAM) -
 
 
 def _source(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """did, th (a hash of the text: rows with one doc_id and text are treated alike) and the text."""
-    return docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-1)).alias("did"), F.xxhash64(F.col(text)).alias("th"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    """did, th (hashes of id and text: rows that agree in both are treated alike), the id and the text."""
+    return docs.select(F.xxhash64(F.col(doc_id).cast("string")).alias("did"), F.xxhash64(F.col(text)).alias("th"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
 
 
 def _packed(source: DataFrame) -> DataFrame:
@@ -121,12 +122,82 @@ def _packed(source: DataFrame) -> DataFrame:
     return source.mapInArrow(run, T.StructType([source.schema["did"], source.schema["th"], source.schema["doc_id"], T.StructField("packed", T.BinaryType())]))
 
 
-def _windows(words: list[bytes], at: int, n: int, window: int) -> list[bytes]:
-    return [xxhash.xxh3_128_digest(b" ".join(words[i : i + window])) for i in range(at, at + n)]
+def _search(rows: DataFrame, window: int) -> DataFrame:
+    """h, d and bits (windows that repeat) of sequences (h, d, o, copies, words), by an FM-index of those with one h.
+
+    Sequences of one h and d are occurrences o of one text, each given once or `copies` times.
+    """
+
+    def shard(held: dict[tuple[int, int, int], tuple[int, list[bytes]]]) -> pa.RecordBatch:
+        sequences, which, names = [], [], []
+        for (h, d, _), (copies, words) in held.items():
+            if not names or names[-1] != (h, d):
+                names.append((h, d))
+                which.append(len(sequences))
+            sequences += [words] * copies
+        out = []
+        for (h, d), reach in zip(names, FMIndex(sequences).statistics(np.array(which, np.int64)), strict=True):
+            bits = sum(1 << j for j in np.flatnonzero(reach >= window).tolist())
+            if bits:
+                out.append((h, d, bits))
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(3)], names=["h", "d", "bits"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int, int], tuple[int, list[bytes]]] = {}  # an occurrence that comes several times is one
+        size, last = 0, None
+        for batch in batches:
+            for h, d, o, copies, words in zip(*(batch.column(k).to_pylist() for k in ("h", "d", "o", "copies", "words")), strict=True):
+                if size > SHARD_WORDS and h != last:
+                    yield shard(held)
+                    held, size = {}, 0
+                if (h, d, o) not in held:
+                    held[h, d, o] = copies, words.split()
+                    size += len(held[h, d, o][1]) * copies
+                last = h
+        if held:
+            yield shard(held)
+
+    dealt = rows.select("h", "d", "o", "copies", "words").repartition("h").sortWithinPartitions("h", "d", "o")
+    return dealt.mapInArrow(run, "h long, d long, bits long")
+
+
+def _search_windows(hot: DataFrame, window: int) -> DataFrame:
+    """_search() for sequences (and `many`: whether their text stands several times) whose hashes have too many: window by window."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for h, d, many, text in zip(*(batch.column(k).to_pylist() for k in ("h", "d", "many", "words")), strict=True):
+                words = text.split()
+                own = b"".join(xxhash.xxh3_128_digest(b" ".join(words[i : i + window])) for i in range(len(words) - window + 1))
+                rows += [(h, d, many, j, *w) for j, w in enumerate(np.frombuffer(own, "<i8").reshape(-1, 2).tolist())]
+            if rows:
+                kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["h", "d", "many", "j", "w1", "w2"])
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for h, d, o, copies, text, picks in zip(*(batch.column(k).to_pylist() for k in ("h", "d", "o", "copies", "words", "picks")), strict=True):
+                words = text.split()
+                rows += [(p["w1"], p["w2"], xxhash.xxh64_intdigest(f"{h} {d} {o} {p['j']}") - (1 << 63), copies, b" ".join(words[p["j"] : p["j"] + window])) for p in picks]
+            if rows:
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["h", "d", "o", "copies", "words"])
+
+    windows = materialize(hot.where("o = 0").select("h", "d", "many", "words").mapInArrow(cut, "h long, d long, many boolean, j int, w1 long, w2 long"), "windows")
+    place = F.struct("h", "d", "j")
+    often = windows.groupBy("w1", "w2").agg(F.min(place).alias("one"), F.max(place).alias("other"), F.max("many").alias("many")).where("one <> other OR many")
+    picks = often.select("w1", "w2", F.explode(F.array_distinct(F.array("one", "other"))).alias("p")).groupBy("p.h", "p.d").agg(F.collect_list(F.struct("p.j", "w1", "w2")).alias("picks"))
+    taken = hot.join(materialize(picks, "picks"), ["h", "d"]).mapInArrow(pick, "h long, d long, o long, copies int, words binary")
+    found = materialize(_search(taken, window).select(F.col("h").alias("w1"), F.col("d").alias("w2")), "found")
+    return windows.join(found, ["w1", "w2"], "left_semi").groupBy("h", "d").agg(F.bit_or(F.expr("shiftleft(1L, j)")).alias("bits"))
 
 
 def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM, shard_most: int = SHARD_MOST) -> tuple[DataFrame, DataFrame]:
     """did, th and spans (first window, bits of those that repeat) of each document with repeats, and the packed source."""
+    if not gram <= window <= DEPTH or window - gram > 61:
+        raise ValueError(f"windows have {gram} to {min(DEPTH, gram + 61)} words")
     spark = docs.sparkSession
     source = _source(docs, doc_id, text)
     schema = "did long, th long, at int, n int, h long, d long"
@@ -142,68 +213,40 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window
     # the counts are written first: a join straight above their aggregation could not have its hot partitions split
     often = materialize(every.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"), "hashes")
     found = materialize(every.join(often, "h", "left_semi"), "often")
-    distinct = materialize(found.groupBy("h", "d").agg(F.count("*").alias("c"), F.min(F.struct("did", "th", "at", "n")).alias("one")), "distinct")
+    place = F.struct("did", "th", "at", "n")
+    distinct = materialize(found.groupBy("h", "d").agg((F.count("*") > 1).alias("many"), F.min(place).alias("one"), F.max(place).alias("other")), "distinct")
     release(spark)
-    kinds = materialize(distinct.groupBy("h").agg(F.count("*").alias("k")).where("k > 1"), "kinds")
-    wanted = distinct.join(kinds, "h").select("h", "d", "c", "one.*", (F.col("k") > shard_most).alias("hot"))
-    lists = wanted.groupBy("did", "th").agg(F.collect_list(F.struct("at", "n", "h", "d", "c", "hot")).alias("parts"))
+    kinds = materialize(distinct.groupBy("h").agg(F.count("*").alias("k")).where(F.col("k") > shard_most).select("h", F.lit(True).alias("hot")), "kinds")
+    # the first and the last occurrence, or the one place of several rows that agree in id and text, as two copies
+    alone = F.col("one") == F.col("other")
+    part = lambda k, of: F.struct(F.col(of).alias("p"), F.lit(k).cast("long").alias("o"))
+    wanted = distinct.join(kinds, "h", "left").select("h", "d", "many", F.coalesce("hot", F.lit(False)).alias("hot"), F.when(alone & F.col("many"), 2).otherwise(1).alias("copies"), F.explode(F.when(alone, F.array(part(0, "one"))).otherwise(F.array(part(0, "one"), part(1, "other")))).alias("e"))
+    flat = wanted.select("e.p.did", "e.p.th", F.struct("e.p.at", "e.p.n", "h", "d", "e.o", "copies", "many", "hot").alias("part"))
+    lists = flat.groupBy("did", "th").agg(F.collect_list("part").alias("parts"))
     packed = _packed(source)
     one_row = packed.select("did", "th", "packed").join(lists.hint("shuffle_hash"), ["did", "th"])  # the texts needn't be sorted
+    kinds_ = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.bool_(), pa.binary())
+    names = ["h", "d", "o", "copies", "many", "hot", "words"]
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The words of segments for the shards, the windows' digests of the others; once for each document's text."""
+        """The words of the segments; once for each document's text, though its rows may repeat."""
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
             for i in range(batch.num_rows):
+                key = batch.column("did")[i].as_py(), batch.column("th")[i].as_py()
+                if key in seen:
+                    continue
+                seen.add(key)
                 words = zstandard.ZstdDecompressor().decompress(batch.column("packed")[i].as_py()).split()
-                rows = []
-                for p in batch.column("parts")[i].as_py():
-                    if p["hot"]:
-                        rows += [(p["h"], p["d"], p["c"], None, j, *np.frombuffer(w, "<i8").tolist()) for j, w in enumerate(_windows(words, p["at"], p["n"], window))]
-                    else:
-                        rows.append((p["h"], p["d"], p["c"], b" ".join(words[p["at"] : p["at"] + p["n"] + window - 1]), None, None, None))
-                kinds_ = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds_, strict=True)], names=["h", "d", "c", "words", "j", "w1", "w2"])
-
-    pieces = materialize(one_row.mapInArrow(fetch, "h long, d long, c long, words binary, j int, w1 long, w2 long"), "pieces", "zstd")
-    release(spark)
-    schema = "h long, d long, bits long"
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple[int, int, int, list[bytes]]] = []
-        size = 0
-
-        def shard() -> pa.RecordBatch:
-            single = {}
-            for row in rows:  # a document whose rows repeat brings its segments several times
-                single[row[0], row[1]] = row
-            own = list(single.values())
-            index = FMIndex([r[3] for r in own])
-            which = np.array([i for i, r in enumerate(own) if r[2] == 1], np.int64)
-            out = []
-            for i, reach in zip(which.tolist(), index.statistics(which) if len(which) else [], strict=True):
-                bits = sum(1 << j for j in np.flatnonzero(reach >= window).tolist())
-                if bits:
-                    out.append((own[i][0], own[i][1], bits))
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(3)], names=["h", "d", "bits"])
+                rows = [(p["h"], p["d"], p["o"], p["copies"], p["many"], p["hot"], b" ".join(words[p["at"] : p["at"] + p["n"] + window - 1])) for p in batch.column("parts")[i].as_py()]
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds_, strict=True)], names=names)
 
-        for batch in batches:
-            for h, d, c, words in zip(*(batch.column(k).to_pylist() for k in ("h", "d", "c", "words")), strict=True):
-                if size > SHARD_WORDS and h != rows[-1][0]:
-                    yield shard()
-                    rows, size = [], 0
-                rows.append((h, d, c, words.split()))
-                size += len(rows[-1][3])
-        if rows:
-            yield shard()
-
-    dealt = pieces.where("words IS NOT NULL").select("h", "d", "c", "words").repartition("h").sortWithinPartitions("h")
-    by_index = dealt.mapInArrow(search, schema)
-    hot = pieces.where("words IS NULL").select("h", "d", "c", "j", "w1", "w2").dropDuplicates(["h", "d", "j"])
-    counts = hot.groupBy("w1", "w2").agg(F.sum("c").alias("s")).where("s > 1").select("w1", "w2")
-    by_count = hot.where("c = 1").join(counts, ["w1", "w2"], "left_semi").groupBy("h", "d").agg(F.sum(F.expr("shiftleft(1L, j)")).alias("bits"))
-    single = by_index.unionByName(by_count)
-    whole = (F.expr("shiftleft(1L, one.n)") - 1).alias("bits")
-    hits = materialize(distinct.where("c > 1").select("h", "d", whole).unionByName(single), "hits")
+    pieces = materialize(one_row.mapInArrow(fetch, "h long, d long, o long, copies int, many boolean, hot boolean, words binary"), "pieces", "zstd")
+    release(spark)
+    hits = _search(pieces.where("NOT hot"), window)
+    if not kinds.isEmpty():
+        hits = hits.unionByName(_search_windows(pieces.where("hot"), window))
+    hits = materialize(hits, "hits")
     spans = found.join(hits, ["h", "d"]).groupBy("did", "th").agg(F.collect_set(F.struct("at", "bits")).alias("spans"))
     return materialize(spans, "spans"), packed
 
@@ -226,7 +269,9 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """doc_id, n_words, n_removed and kept: the words outside windows that stand several times anywhere, joined by spaces.
 
     All occurrences go. Null and empty texts have no words and keep an empty text, shorter ones than a window stay whole.
-    Repeated rows repeat each other's windows. A null doc_id is a document of its own text. Other columns are not kept.
+    Repeated rows repeat each other's windows; rows with one doc_id and different texts are different documents, and so is one without a
+    doc_id. Ids of any type will do. Other columns are not kept; an empty table gives an empty result. Windows have gram to DEPTH words,
+    else it is an error.
     """
     spans, packed = repeated(docs, doc_id, text, window, gram, shard_most)
     release(docs.sparkSession)
@@ -254,4 +299,26 @@ def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op6_substrings": op6_substrings}
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op6_substrings": r"""
+WITH cut AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents
+), windows AS (
+  SELECT doc_id, unnest(range(1, len(words) - 33)) AS pos, words FROM cut WHERE len(words) >= 35
+), hashed AS (
+  SELECT doc_id, pos, sha256(array_to_string(words[pos:pos + 34], ' ')) AS w FROM windows
+), often AS (
+  SELECT doc_id, pos FROM (SELECT doc_id, pos, count(*) OVER (PARTITION BY w) AS c FROM hashed) WHERE c > 1
+), hit AS (
+  SELECT DISTINCT doc_id, unnest(range(pos, pos + 35)) AS pos FROM often
+), gone AS (
+  SELECT doc_id, count(*) AS n FROM hit GROUP BY doc_id
+), words AS (
+  SELECT doc_id, unnest(words) AS w, generate_subscripts(words, 1) AS pos FROM cut
+), kept AS (
+  SELECT doc_id, string_agg(w, ' ' ORDER BY pos) AS kept FROM (SELECT * FROM words ANTI JOIN hit USING (doc_id, pos)) GROUP BY doc_id
+)
+SELECT cut.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(gone.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM cut LEFT JOIN gone ON gone.doc_id = cut.doc_id LEFT JOIN kept ON kept.doc_id = cut.doc_id
+""",
+}

@@ -1,10 +1,12 @@
 import hashlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from spindrift.llm import substrings as S
 from spindrift.llm.fm_index import FMIndex
@@ -48,15 +50,36 @@ def cases():
     return rows + [(308, same), (308, same), (309, same + " more"), (None, " ".join(word(50))), (None, passage and " ".join(passage)), (310, "one " * 34)]
 
 
-@pytest.mark.parametrize(("window", "shard_most"), [(35, 256), (35, 3), (12, 256)])
+@pytest.mark.parametrize(("window", "shard_most"), [(35, 256), (35, 3), (35, 0), (12, 256), (60, 2)])
 def test_against_brute_force(spark, window, shard_most):
     rows = cases()
     docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, n int")
-    got = [tuple(r) for r in S.remove_repeats(docs, window=window, shard_most=shard_most).collect()]
+    got = [tuple(r) for r in S.remove_repeats(docs.repartition(5), window=window, shard_most=shard_most).collect()]
     key = lambda r: (r[0] is None, r[0] or 0, *r[1:])
     assert sorted(got, key=key) == sorted(brute(rows, window), key=key)
 
 
+def test_the_index_decides(spark, monkeypatch):
+    """No repeat comes from digests alone: without what the indexes find, nothing is removed."""
+    docs = spark.createDataFrame([(i, t, 1) for i, t in cases()], "doc_id long, text string, n int")
+    none = lambda rows, window: rows.select("h", "d", F.lit(0).cast("long").alias("bits")).where("bits > 0")
+    monkeypatch.setattr(S, "_search", none)
+    assert S.remove_repeats(docs, shard_most=3).where("n_removed > 0").count() == 0
+
+
+def test_windows_that_no_index_takes(spark):
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    for window, gram in ((65, 8), (64, 2), (5, 8)):
+        with pytest.raises(ValueError, match="windows have"):
+            S.remove_repeats(docs, window=window, gram=gram)
+
+
+def test_ids_of_another_type(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([("a", text), ("b", f"x {text} y"), ("b", "x y")], "doc_id string, text string")
+    assert sorted((r.doc_id, r.kept) for r in S.remove_repeats(docs).collect()) == [("a", ""), ("b", "x y"), ("b", "x y")]
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert S.remove_repeats(docs).count() == 0
@@ -66,3 +89,6 @@ def test_query(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     want = sorted((i, n, k, hashlib.sha256(t.encode()).hexdigest()) for i, n, k, t in brute(rows, 35))
     assert sorted(tuple(r) for r in S.op6_substrings(spark, sf_dir).collect()) == want
+    with duckdb.connect() as own:
+        own.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+        assert sorted(own.execute(S.ORACLE["op6_substrings"]).fetchall()) == want
