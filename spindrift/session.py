@@ -20,18 +20,25 @@ def session(name: str = "spindrift", master: str | None = None, **conf: str) ->
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; that is set here only where it is unset (tests)."""
+    """A new folder below spark.checkpoint.dir, which driver and executors share.
+
+    Where that is unset, a local session (tests) gets a temporary folder of its own; on a cluster it is an error, as executors could not see it.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = f"file://{tempfile.mkdtemp(prefix='spindrift-')}"
         spark.conf.set("spark.checkpoint.dir", base)
+        spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/spindrift-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame, label: str = "step") -> DataFrame:
+def settle(df: DataFrame, label: str = "step", compression: str = "snappy") -> DataFrame:
     """Write to the shared folder and read again: cuts the lineage of loops, and survives lost executors."""
     path = f"{shared_folder(df.sparkSession)}/{label}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
