@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spindrift.llm.pieces import BYTE_CHARS, Pieces, cut, word_splitter
-from spindrift.llm.shared import annotate, chunks, documents, get_bytes, materialize, open_fs, put_bytes, shared_dir
+from spindrift.llm.shared import annotate, chunks, documents, get_bytes, held, materialize, open_fs, put_bytes, shared_dir
 from spindrift.llm.token_files import default_vocabulary
 
 #: Words in the lexicon, and counters that a task keeps (Misra-Gries: all words that are frequent enough survive).
@@ -274,42 +274,51 @@ class Coder:
         return data
 
 
-_coders: dict[tuple, Coder] = {}
-
-
 def coder(*key) -> Coder:
     """Coder(*key); a worker keeps one."""
-    if key not in _coders:
-        _coders.clear()
-        _coders[key] = Coder(*key)
-    return _coders[key]
+    return held(("coder", *key), lambda: Coder(*key))
+
+
+def splitter(path: str):
+    """The special tokens of a vocabulary, and its way to cut a text into words."""
+    from tokenizers import Tokenizer
 
+    with open(path, encoding="utf-8") as f:
+        specials = tuple(t["content"] for t in json.load(f)["added_tokens"])
+    return specials, word_splitter(Tokenizer.from_file(path))
 
-def frequent_words(docs: DataFrame, text: str = "text", most: int = LEXICON, specials: tuple[str, ...] = ()) -> list[bytes]:
-    """The most frequent space-delimited words (with their space) of all documents, as far as an approximate threshold tells; the driver gets `most` rows.
 
-    Each task keeps at most twice as many counters as it returns: beyond that it takes the count of the first one that it
+def frequent_words(docs: DataFrame, text: str = "text", most: int = LEXICON, path: str | None = None) -> list[bytes]:
+    """The most frequent words (with the space before them) of all documents, as far as an approximate threshold tells; the driver gets `most` rows.
+
+    Texts are cut at spaces where that is possible, else (indented lines, special tokens) as the split pattern cuts them. Each task keeps at most twice as many counters as it returns: beyond that it takes the count of the first one that it
     can't keep from all of them and drops those that reach zero.
     """
     schema = "word binary, n long"
+    path = path or default_vocabulary()
 
     def shrink(counts: Counter) -> Counter:
         cut_off = nlargest(most + 1, counts.values())[-1] if len(counts) > most else 0
         return Counter({w: n - cut_off for w, n in counts.items() if n > cut_off})
 
     def run(batches):
-        counts: Counter = Counter()
+        specials, split = held(("splitter", path), lambda: splitter(path))
+        spaced, words = Counter(), Counter()  # what stands after a space, without it; and words as they are
         for _, texts in chunks(batches, text):
             for t in texts:
-                pieces = cut(t.decode("utf-8", "replace"), specials) if t else None
-                if pieces:
-                    counts.update(pieces[1:])
-            if len(counts) > 4 * most:
-                counts = shrink(counts)
-        counts = shrink(counts)
-        if counts:
-            words, numbers = zip(*counts.items(), strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array([f" {w}".encode() for w in words], pa.binary()), pa.array(numbers, pa.int64())], names=["word", "n"])
+                own = t.decode("utf-8", "replace") if t else ""
+                pieces = cut(own, specials)
+                if pieces is None:
+                    words.update(split(own))
+                else:
+                    spaced.update(pieces[1:])
+                    words.update(split(pieces[0]))
+            if len(spaced) + len(words) > 4 * most:
+                spaced, words = shrink(spaced), shrink(words)
+        for counts, space in ((shrink(spaced), " "), (shrink(words), "")):
+            if counts:
+                found, numbers = zip(*counts.items(), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array([f"{space}{w}".encode() for w in found], pa.binary()), pa.array(numbers, pa.int64())], names=["word", "n"])
 
     rows = docs.select(text).mapInArrow(run, schema).groupBy("word").agg(F.sum("n").alias("n")).where(F.length("word") <= LONGEST)
     counted = materialize(rows, "words")
@@ -326,7 +335,7 @@ def build_lexicon(docs: DataFrame, text: str = "text", vocabulary: str | None =
     from tokenizers import Tokenizer
 
     own = Vocabulary(path)
-    words = frequent_words(docs, text, most, tuple(own.specials))
+    words = frequent_words(docs, text, most, path)
     folder = f"{shared_dir(docs.sparkSession)}/lexicon"
     save_arrays(folder, Lexicon.build(words, own, word_splitter(Tokenizer.from_file(path))))
     return folder
@@ -369,14 +378,13 @@ def bpe_decode(df: DataFrame, ids: str = "ids", text: str = "decoded", vocabular
     return df.mapInArrow(run, schema)
 
 
-_decoders: dict[str, Coder] = {}
-
-
 def decoder(path: str):
-    if path not in _decoders:
-        own = _decoders[path] = Coder.__new__(Coder)
+    def make() -> Coder:
+        own = Coder.__new__(Coder)
         own.vocabulary = Vocabulary(path)
-    return _decoders[path].decode
+        return own
+
+    return held(("decoder", path), make).decode
 
 
 def bpe_digests(docs: DataFrame, text: str = "text", vocabulary: str | None = None, lexicon: str | None = None, ids: str | None = None, remembered: int = REMEMBERED) -> DataFrame:

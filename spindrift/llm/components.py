@@ -6,22 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.llm.shared import materialize
+from spindrift.operators import graph
 
 
 def components(edges: DataFrame) -> DataFrame:
     """id and component (the smallest id that can be reached) of every end of the edges (a, b), whose nodes are longs.
 
-    Each round takes the smallest label among a node and its neighbours and then the label's own label, and is written to the
-    shared folder, so that a lost executor costs one round at most. Loops (a = b) and repeated edges do no harm; an empty
-    table gives an empty result.
+    Loops (a = b) and repeated edges do no harm, edges with a null end count for nothing, an empty table gives an empty result. Each round
+    of labels is written to the shared folder, so that a lost executor costs one round at most.
     """
-    both = materialize(edges.select("a", "b").union(edges.select("b", "a")).toDF("a", "b").where("a IS NOT NULL AND b IS NOT NULL").distinct(), "edges")
-    labels = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("component")), "labels")
-    while True:
-        around = both.join(labels.select(F.col("id").alias("b"), "component"), "b").groupBy("a").agg(F.min("component").alias("m"))
-        step = labels.join(around, labels["id"] == around["a"]).select("id", F.least("component", "m").alias("c"), F.col("component").alias("before"))
-        jump = labels.select(F.col("id").alias("c"), F.col("component").alias("j"))
-        new = materialize(step.join(jump, "c").select("id", F.least("c", "j").alias("component"), (F.least("c", "j") < F.col("before")).alias("changed")), "labels")
-        labels = new.select("id", "component")
-        if not new.agg(F.coalesce(F.max("changed"), F.lit(False))).first()[0]:
-            return labels
+    own = materialize(edges.select(F.col("a").alias("src"), F.col("b").alias("dst")).where("a IS NOT NULL AND b IS NOT NULL"), "edges")
+    ends = own.select(F.col("src").alias("id")).union(own.select("dst")).distinct()
+    return graph.components(ends, own)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spindrift.llm.shared import CHUNK_BYTES, annotate, chunks, documents, get_bytes, keep_rows, put_bytes, shared_dir
+from spindrift.llm.shared import CHUNK_BYTES, annotate, chunks, documents, get_bytes, held, keep_rows, put_bytes, shared_dir
 
 WINDOW = 13
 #: Bytes of item text in one block of test items: what a task holds at once.
@@ -233,9 +233,6 @@ def item_blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "tex
     return out
 
 
-_loaded: dict[str, Items] = {}
-
-
 def _chunk_bytes(paths: list[str]) -> int:
     """Text that meets the blocks at a time: the more blocks there are to load for it, the more, up to a bound."""
     return CHUNK_BYTES * min(8, len(paths))
@@ -243,10 +240,7 @@ def _chunk_bytes(paths: list[str]) -> int:
 
 def _load(path: str) -> Items:
     """One block stays loaded in a worker."""
-    if path not in _loaded:
-        _loaded.clear()
-        _loaded[path] = pickle.loads(get_bytes(path))
-    return _loaded[path]
+    return held(("items", path), lambda: pickle.loads(get_bytes(path)))
 
 
 def scan(texts: list[bytes | None], paths: list[str]) -> tuple[list[int], list[int], list[list[str]]]:

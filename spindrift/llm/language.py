@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spindrift.llm.shared import annotate, documents, drawn, get_bytes, put_bytes, shared_dir
+from spindrift.llm.shared import annotate, documents, drawn, get_bytes, held, put_bytes, shared_dir
 
 #: Bytes of normalised text in a language's sample at most, documents that it may come from, and pieces of each document's text.
 SAMPLE_BYTES = 60_000
@@ -214,17 +214,15 @@ def save_automata(automata: Automata, uri: str) -> str:
     return uri
 
 
-_loaded: dict[str, Automata] = {}
-
-
 def load_automata(uri: str) -> Automata:
-    if uri not in _loaded:
-        _loaded.clear()
-        own = _loaded[uri] = Automata.__new__(Automata)
+    def make() -> Automata:
+        own = Automata.__new__(Automata)
         with np.load(io.BytesIO(get_bytes(uri))) as data:
             own.table, own.classes, own.bits, own.starts, own.languages = data["table"], data["classes"], data["bits"], data["starts"].tolist(), data["languages"].tolist()
         own.width = int(own.classes.max()) + 1
-    return _loaded[uri]
+        return own
+
+    return held(("automata", uri), make)
 
 
 def fit_languages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample_bytes: int = SAMPLE_BYTES, sample_docs: int = SAMPLE_DOCS) -> str:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spindrift.llm.shared import annotate, by_hash, documents, drawn, get_bytes, keep_rows, put_bytes, shared_dir
+from spindrift.llm.shared import annotate, by_hash, documents, drawn, get_bytes, held, keep_rows, put_bytes, shared_dir
 
 VECTOR = 8
 WIDTH = 16
@@ -174,14 +174,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text
     return path
 
 
-_loaded: dict[str, Network] = {}
-
-
 def load_network(path: str) -> Network:
-    if path not in _loaded:
-        _loaded.clear()
-        _loaded[path] = Network.load(get_bytes(path))
-    return _loaded[path]
+    return held(("network", path), lambda: Network.load(get_bytes(path)))
 
 
 def _texts(texts: list) -> list[bytes]:

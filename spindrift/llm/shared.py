@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import gc
 import os
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -14,29 +13,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spindrift.session import settle as materialize
+from spindrift.session import shared_folder as shared_dir
+
+__all__ = ["annotate", "by_hash", "chunks", "documents", "drawn", "get_bytes", "held", "keep_rows", "materialize", "open_fs", "put_bytes", "release", "shared_dir", "texts_of"]
+
 #: Text bytes that one call of a batch function gets at most, unless one text alone is longer.
 CHUNK_BYTES = 4 << 20
 CHUNK_ROWS = 4096
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: below spark.checkpoint.dir, which is only set here where it is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='spindrift-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/spindrift-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
-    """Write to the shared folder and read again: cuts the lineage, so that a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}"
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def release(spark: SparkSession) -> None:
     """Let the driver's cleaner drop the shuffle files of plans that nothing refers to any more."""
     gc.collect()
@@ -70,6 +56,17 @@ def get_bytes(uri: str) -> bytes:
         return f.read()
 
 
+_held: dict = {}
+
+
+def held(key: tuple, make: Callable[[], object]):
+    """What make() gives for a key. A worker, which serves one operator after another, keeps one such thing at a time."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
 def texts_of(column: pa.Array) -> list:
     """UTF-8 bytes of a string column; None for null."""
     return column.cast(pa.binary() if not pa.types.is_large_string(column.type) else pa.large_binary()).to_pylist()
@@ -120,18 +117,6 @@ def keep_rows(df: DataFrame, text: str, make: Callable[[], Callable[[list], list
     return df.mapInArrow(run, df.schema)
 
 
-def replace_text(df: DataFrame, text: str, make: Callable[[], Callable[[list], list]]) -> DataFrame:
-    """df with each text replaced by what make()(texts) returns for it."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fn = make()
-        for batch, texts in chunks(batches, text):
-            at = batch.schema.get_field_index(text)
-            yield batch.set_column(at, batch.schema.field(at), pa.array(fn(texts), type=batch.schema.field(at).type))
-
-    return df.mapInArrow(run, df.schema)
-
-
 def by_hash(df: DataFrame, key: str, most: int) -> DataFrame:
     """The `most` rows with the smallest hashes of their keys.
 

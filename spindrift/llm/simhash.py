@@ -41,8 +41,8 @@ HELD_ROWS = 1 << 16
 #: For near copies: words of a shingle, their similarity, and the codes in which they are sought: tables of so many bits each.
 COPY_WORDS = 5
 COPY_SIMILARITY = 0.8
-COPY_TABLES = 16
-COPY_BITS = 40
+COPY_TABLES = 8
+COPY_BITS = 64
 COPY_BUDGET = 3
 COPY_HASHES = 4
 #: For pairs that no table finds: shingles known as frequent, the part of the documents they are counted in (one in so many; both only
@@ -91,6 +91,12 @@ def mixed(h: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def integer_ids(docs: DataFrame, doc_id: str) -> None:
+    """An error where ids are no integers, as labels are compared as numbers."""
+    if not isinstance(docs.schema[doc_id].dataType, T.IntegralType):
+        raise TypeError(f"{doc_id} must be an integer column, not {docs.schema[doc_id].dataType.simpleString()}")
+
+
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
     """doc_id and code, the 64-bit SimHash of each whole text's shingles; 0 without words (null and empty texts)."""
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("code", T.LongType())])
@@ -160,6 +166,21 @@ def walk(codes: np.ndarray, frontier: tuple[np.ndarray, ...], bits: int, budget:
             held.append(tuple(x[s : s + STEP] for x in following))
 
 
+def root(parent: np.ndarray, i: int) -> int:
+    """The smallest place of the component of i, in a forest of parents that are no larger; shortens the way there."""
+    while (p := int(parent[i])) != i:
+        parent[i] = parent[p]
+        i = p
+    return i
+
+
+def settled(parent: np.ndarray) -> np.ndarray:
+    """The same forest with each parent a root."""
+    while ((next_ := parent[parent]) != parent).any():
+        parent = next_
+    return parent
+
+
 def join_labels(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Labels (each the smallest place of its component) after linking i and j."""
     while True:
@@ -174,16 +195,18 @@ def join_labels(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 
 class Sets:
-    """Sorted shingle hashes of documents, read from the files that sketches() wrote."""
+    """Sorted shingle hashes of documents, read from the files that sketches() wrote; remembers some bytes of them."""
 
-    def __init__(self, folder: str, remembered: int = 20_000):
-        self.folder, self.remembered, self.files, self.known = folder, remembered, {}, {}
+    def __init__(self, folder: str, remembered: int = 32 << 20):
+        self.folder, self.remembered, self.files, self.known, self.size = folder, remembered, {}, {}, 0
 
     def get(self, part: int, at: int, n: int) -> np.ndarray:
         if (part, at) not in self.known:
-            if len(self.known) > self.remembered:
+            if self.size > self.remembered:
                 self.known.clear()
+                self.size = 0
             self.known[part, at] = self.read(part, at, n)
+            self.size += 4 * n + 200
         return self.known[part, at]
 
     def read(self, part: int, at: int, n: int) -> np.ndarray:
@@ -256,17 +279,18 @@ def trie_links(rows: DataFrame, bits: int = BITS, budget: int = BUDGET, block_ro
         apart = np.bitwise_count(p ^ q).astype(np.int64)
         depth = np.where(plain, width, width + split_bits)
         fit = (alo < ahi) & (blo < bhi)
-        label = None if lookup is None else lambda i: forest[local[i]]
+        label = None if lookup is None else lambda i: settled(forest)[local[i]]
         for i, j in walk_any(codes, tuple(x[fit] for x in (alo, ahi, blo, bhi, apart, depth)), bits, budget, label):
             a, b = local[i], local[j]
             if lookup is None:
                 forest = join_labels(forest, a, b)
                 continue
+            forest = settled(forest)
             for x in np.flatnonzero(forest[a] != forest[b]).tolist():
-                u, v = a[x], b[x]
-                if forest[u] != forest[v] and lookup.similar(*((int(got["part"][y]), int(got["at"][y]), int(got["n"][y])) for y in (i[x], j[x])), least):
-                    low, high = sorted((forest[u], forest[v]))
-                    forest[forest == high] = low
+                u, v = root(forest, a[x]), root(forest, b[x])
+                if u != v and lookup.similar(*((int(got["part"][y]), int(got["at"][y]), int(got["n"][y])) for y in (i[x], j[x])), least):
+                    forest[max(u, v)] = min(u, v)
+        forest = settled(forest)
         linked = np.flatnonzero(forest != np.arange(len(forest)))
         return pa.RecordBatch.from_arrays([pa.array(names[linked]), pa.array(names[forest[linked]])], names=["a", "b"]) if len(linked) else None
 
@@ -365,8 +389,10 @@ def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     """doc_id, fingerprint (16 hexadecimal digits) and component_id: the smallest doc_id that links lead to, itself included.
 
     Texts without words (null, empty) have fingerprint zero and are linked like any other. Rows with one doc_id are one document;
-    without a doc_id they have no component. One row comes out for each row of docs; an empty table gives an empty result.
+    without a doc_id they have no component. One row comes out for each row of docs; an empty table gives an empty result. doc_id must be of
+    an integer type.
     """
+    integer_ids(docs, doc_id)
     prints = materialize(fingerprints(docs, doc_id, text, words), "fingerprints")
     nodes = materialize(prints.groupBy("code").agg(F.min("doc_id").alias("node")), "codes")
     edges = trie_links(nodes.where("node IS NOT NULL").select("node", F.lit(0).alias("table"), "code"), 64, budget, block_rows)
@@ -478,17 +504,19 @@ def prefix_links(nodes: DataFrame, folder: str, least: float) -> DataFrame:
             i = np.searchsorted(ends, number, "right")
             j = i + 1 + number - (ends - c)[i]
             shared = np.minimum(n[i] - pos[i], n[j] - pos[j])
+            forest = settled(forest)
             fit = np.flatnonzero((forest[local[i]] != forest[local[j]]) & (shared >= least / (1 + least) * (n[i] + n[j]) - 1e-9))
             for i_, j_ in zip(i[fit].tolist(), j[fit].tolist(), strict=True):
-                u, v = forest[local[i_]], forest[local[j_]]
+                u, v = root(forest, local[i_]), root(forest, local[j_])
                 if u != v and lookup.similar(*((int(got["part"][y]), int(got["at"][y]), int(got["n"][y])) for y in (i_, j_)), least):
-                    forest[forest == max(u, v)] = min(u, v)
+                    forest[max(u, v)] = min(u, v)
+        forest = settled(forest)
         linked = np.flatnonzero(forest != np.arange(len(forest)))
         return pa.RecordBatch.from_arrays([pa.array(labels[linked]), pa.array(labels[forest[linked]])], names=["a", "b"]) if len(linked) else None
 
     def run(batches):
         """All rows of a shingle, as they come sorted, of some shingles at a time."""
-        lookup, held, size = Sets(folder, 2_000), [], 0
+        lookup, held, size = Sets(folder), [], 0
         for batch in batches:
             if batch.num_rows:
                 held.append({k: batch.column(k).to_numpy() for k in names})
@@ -510,10 +538,13 @@ def prefix_links(nodes: DataFrame, folder: str, least: float) -> DataFrame:
 def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = COPY_WORDS, least: float = COPY_SIMILARITY, tables: int = COPY_TABLES) -> DataFrame:
     """doc_id and component_id of the documents that are copies or near copies of one with a smaller doc_id, their component's smallest.
 
-    Near copies share at least `least` of their sets of `words`-word shingles. Pairs are sought in `tables` tables of COPY_BITS of a
-    256-bit SimHash, each joined with itself with COPY_BUDGET errors, and compared exactly; prefix_links() finds the rest. Texts of fewer words are one shingle;
-    those without words are copies of each other. Rows without a doc_id are never copies.
+    Near copies share at least `least` of their sets of `words`-word shingles (as 32-bit hashes, of which one text would need tens of thousands
+    for a chance collision to matter). Pairs are sought in `tables` tables of COPY_BITS of a 256-bit SimHash, each joined with itself with
+    COPY_BUDGET errors, and compared by their sets; prefix_links() finds the rest, so that no pair is lost. Texts of fewer words are one
+    shingle; those without words (null, empty) are copies of each other. Rows without a doc_id are never copies. Rows with one doc_id are one
+    document with several texts: it is linked through each of them. doc_id must be of an integer type; an empty table gives an empty result.
     """
+    integer_ids(docs, doc_id)
     rows, folder = sketches(docs, doc_id, text, words, COPY_HASHES)
     rows = rows.where("doc_id IS NOT NULL")
     nodes = materialize(rows.groupBy("whole", "n").agg(F.min_by(F.struct("doc_id", "part", "at", "codes"), "doc_id").alias("m")).select("whole", "n", "m.*"), "sets")
@@ -542,7 +573,10 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
 
 
 def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = COPY_WORDS, least: float = COPY_SIMILARITY) -> DataFrame:
-    """docs without those that near_copies() finds; the smallest doc_id of each group stays."""
+    """docs without those that near_copies() finds; the smallest doc_id of each group stays.
+
+    Rows with one doc_id are one document: they stay or go together, repeated rows among them.
+    """
     gone = near_copies(docs, doc_id, text, words, least).select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone.hint("shuffle_hash"), docs[doc_id].cast("long") == gone["_gone"], "left_anti")
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spindrift.llm.pieces import BYTE_CHARS, Pieces, word_splitter
-from spindrift.llm.shared import chunks, documents, open_fs, shared_dir
+from spindrift.llm.shared import chunks, documents, held, open_fs, shared_dir
 
 LENGTH = 2048
 SEQUENCES = 256
@@ -69,13 +69,8 @@ class Encoder:
         return list(map(b"".join, self.pieces.parts(texts)))
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return held(("encoder", path), lambda: Encoder(path))
 
 
 class PartWriter:
