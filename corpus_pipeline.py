@@ -58,7 +58,7 @@ def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     The workers, which serve other stages too, remember fewer words than where they do nothing else.
     """
-    return bpe_digests(docs.select("doc_id", "lang", "source", "text"), ids="ids", remembered=250_000).drop("text")
+    return bpe_digests(docs.select("doc_id", "lang", "source", "text"), ids="ids", remembered=120_000).drop("text")
 
 
 STAGES = [("quality_classifier", quality), ("line_dedup", line_dedup), ("simhash_near_dedup", near_dedup), ("benchmark_decontamination", decontamination), ("bpe_encoding_decoding", bpe)]
