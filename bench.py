@@ -7,15 +7,12 @@ import os
 import re
 import statistics
 import sys
+import tempfile
 import time
 
-from pyspark.sql import functions as F
-
-from spindrift.operators import anomaly, graph, resolution
 from spindrift.plans import catalog
+from spindrift.plans.experiments import experiment
 from spindrift.session import session
-from spindrift.sources import synthetic
-from spindrift.sources.store import Store
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "4")
@@ -32,24 +29,6 @@ def timed(run, times: int) -> float:
     return round(statistics.median(took), 3)
 
 
-def experiments(spark, size: int, folder: str) -> dict[str, float]:
-    """The stages of the published workload on a synthetic data set of `size` persons."""
-    out: dict[str, float] = {}
-    synthetic.write_dataset(synthetic.generate(spark, size), folder, size)
-    store, keys = Store(spark, f"{folder}/store"), []
-    out["load"] = timed(lambda: keys.append(store.load_dataset(folder, size)), 1)
-    t = store.entities(keys[0])
-    nodes, edges = graph.build_nodes(t["persons"], t["organizations"], t["locations"], t["events"]), graph.build_edges(*(t[k] for k in ("persons", "organizations", "locations", "events", "relationships", "transactions")))
-    out["graph_build"] = timed(lambda: (nodes.count(), edges.count()), 1)
-    out["graph_metrics"] = timed(lambda: graph.graph_metrics(nodes, edges).collect(), 1)
-    people = t["persons"].select(F.col("person_id").alias("id"), "name")
-    for method in resolution.METHODS:
-        out[f"er_{method}"] = timed(lambda m=method: resolution.resolve(people, m, 0.70).count(), 1)
-    out["anomaly_statistical"] = timed(lambda: anomaly.robust_z(t["transactions"]).count(), 1)
-    out["anomaly_isolation_forest"] = timed(lambda: anomaly.isolation_forest(t["transactions"]).count(), 1)
-    return {f"published_{size}_{k}": v for k, v in out.items()}
-
-
 def main() -> None:
     spark = session("bench", f"local[{CPUS}]", **{"spark.sql.shuffle.partitions": CPUS, "spark.ui.enabled": "false", "spark.driver.memory": "8g", "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
@@ -59,12 +38,13 @@ def main() -> None:
         run = lambda n=name: catalog.QUERIES[n](spark, SF_DIR).write.format("noop").mode("overwrite").save()
         run()  # warm
         found[name] = timed(run, RUNS)
-    if not sys.argv[1:] and (size := int(os.environ.get("BENCH_SIZE", "1000"))):
-        import tempfile
-
-        found |= experiments(spark, size, tempfile.mkdtemp())
+    quality = {}
+    for size in () if sys.argv[1:] else map(int, filter(None, os.environ.get("BENCH_SIZES", "1000,10000").split(","))):
+        for name, value in experiment(spark, size, tempfile.mkdtemp()).items():
+            (found if name.endswith("_seconds") else quality)[f"published_{size}_{name.removesuffix('_seconds')}"] = value
     scale = re.search(r"sf([\d.]+)", SF_DIR)
-    print(json.dumps({"metric": "total_seconds", "value": round(sum(found.values()), 3), "unit": "sec", "queries": found, "sf": float(scale[1]) if scale else None}))
+    print(json.dumps({"metric": "total_seconds", "value": round(sum(found.values()), 3), "unit": "sec", "queries": found, "quality": quality, "sf": float(scale[1]) if scale else None}))
+
 
 if __name__ == "__main__":
     main()

@@ -19,62 +19,91 @@ GATHERED = 50_000
 BINS = 1024
 
 
+def _at(values: np.ndarray, ends: np.ndarray, spot: float) -> float:
+    """The value at a place among sorted values with running counts, interpolated between neighbours."""
+    first, second = (float(values[np.searchsorted(ends, k, "right")]) for k in (math.floor(spot), math.ceil(spot)))
+    return first if first == second else first + (second - first) * (spot % 1)
+
+
+def _counted(values: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of a column v of few rows, sorted, and how many rows have up to each."""
+    rows = sorted((r.v, r.c) for r in values.groupBy("v").agg(F.count("*").alias("c")).collect())
+    return np.array([v for v, _ in rows]), np.cumsum([c for _, c in rows])
+
+
+def _ranked(values: DataFrame, k: int, low: float, high: float) -> float:
+    """The value of rank k of a column v that lies between two finite numbers.
+
+    Each round counts bins in one aggregation and goes on in the bin of the rank, until it holds GATHERED rows at most or one value.
+    """
+    before, inside = 0, values
+    while low < high:
+        width = (high - low) / BINS or math.inf
+        bins = sorted(tuple(r) for r in inside.groupBy(F.least(F.floor((F.col("v") - low) / width), F.lit(BINS - 1)).alias("b")).agg(F.count("*").alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect())
+        for _, count, a, b in bins:
+            if before + count > k:
+                low, high = a, b
+                break
+            before += count
+        inside = values.where(F.col("v").between(low, high))
+        if low < high and (count <= GATHERED or len(bins) == 1):
+            found, ends = _counted(inside)
+            return float(found[np.searchsorted(ends, k - before, "right")])
+    return low
+
+
 def exact_quantile(df: DataFrame, column: str, share: float = 0.5) -> float | None:
-    """The exact quantile, interpolated between neighbours. Each round counts bins in one aggregation and goes on in the bin of the
-    wanted rank, until few distinct values are left; no task and not the driver ever holds more than GATHERED of them."""
+    """The exact quantile, interpolated between neighbours; null and NaN don't count, None if nothing else is there.
+
+    Infinite values rank below and above all others. No task and not the driver ever holds more than GATHERED distinct values.
+    """
     values = df.select(F.col(column).cast("double").alias("v")).where("v IS NOT NULL AND NOT isnan(v)")
-    n, low, high = values.agg(F.count("*"), F.min("v"), F.max("v")).first()
+    inf = float("inf")
+    real = F.when((F.col("v") > -inf) & (F.col("v") < inf), F.col("v"))
+    n, below, above, low, high = values.agg(F.count("*"), F.count(F.when(F.col("v") == -inf, 1)), F.count(F.when(F.col("v") == inf, 1)), F.min(real), F.max(real)).first()
     if not n:
         return None
     spot = share * (n - 1)
-
-    def ranked(k: int) -> float:
-        lo, hi, before = low, high, 0
-        inside = values
-        while True:
-            few = inside.groupBy("v").agg(F.count("*").alias("c")).limit(GATHERED + 1).collect() if hi <= lo or before_small(inside, GATHERED) else None
-            if few is not None:
-                for v, c in sorted((r.v, r.c) for r in few):
-                    if before + c > k:
-                        return v
-                    before += c
-            width = (hi - lo) / BINS
-            bins = sorted((r.b, r.c, r.lo, r.hi) for r in inside.groupBy(F.least(F.floor((F.col("v") - lo) / width), F.lit(BINS - 1)).alias("b")).agg(F.count("*").alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect())
-            for _, c, a, b in bins:
-                if before + c > k:
-                    lo, hi = a, b
-                    inside = values.where(F.col("v").between(a, b))
-                    break
-                before += c
-            if lo == hi:
-                return lo
-
-    first = ranked(math.floor(spot))
-    second = ranked(math.ceil(spot)) if spot % 1 else first
-    return first + (second - first) * (spot % 1)
-
-
-def before_small(df: DataFrame, most: int) -> bool:
-    """Whether a table has no more than so many rows, without counting on."""
-    return df.limit(most + 1).count() <= most
+    if n <= GATHERED:
+        return _at(*_counted(values), spot)
+    finite = values.where(real.isNotNull())
+    rank = lambda k: -inf if k < below else inf if k >= n - above else _ranked(finite, k - below, low, high)
+    first = rank(math.floor(spot))
+    second = rank(math.ceil(spot)) if spot % 1 else first
+    return first if first == second else first + (second - first) * (spot % 1)
+
+
+def _middle_and_spread(amounts: DataFrame) -> tuple[float, float] | None:
+    """The median of a column `amount`, and the median distance from it; in one aggregation where the amounts are few."""
+    own = amounts.select(F.col("amount").alias("v")).where("v IS NOT NULL AND NOT isnan(v)")
+    few = own.limit(GATHERED + 1).groupBy("v").agg(F.count("*").alias("c")).collect()
+    n = sum(r.c for r in few)
+    if not n:
+        return None
+    if n <= GATHERED:
+        values, counts = np.array([r.v for r in few]), np.array([r.c for r in few])
+        order = np.argsort(values)
+        middle = _at(values[order], np.cumsum(counts[order]), 0.5 * (n - 1))
+        with np.errstate(invalid="ignore"):  # equal infinities are no distance apart
+            away = np.where(values == middle, 0.0, np.abs(values - middle))
+        order = np.argsort(away)
+        return middle, _at(away[order], np.cumsum(counts[order]), 0.5 * (n - 1))
+    middle = exact_quantile(amounts, "amount")
+    return middle, exact_quantile(amounts.select(F.abs(F.col("amount") - middle).alias("d")), "d")
 
 
 def robust_z(transactions: DataFrame, threshold: float = Z_THRESHOLD) -> DataFrame:
     """Transactions whose amount is at least `threshold` scaled median deviations from the median, farthest first; null amounts never.
 
-    Keeps all columns and adds anomaly_score, method, reason. Where over half the amounts are equal, any other stands out.
+    Keeps all columns and adds anomaly_score, method, reason. Where over half the amounts are equal, any other stands out. An infinite amount
+    is infinitely far from a finite median; NaN is far from nothing.
     """
     own = transactions.withColumn("amount", F.col("amount").cast("double"))
-    middle = exact_quantile(own, "amount")
-    if middle is None:
-        spread = 1e-9
-        middle = 0.0
-    else:
-        mad = exact_quantile(own.select(F.abs(F.col("amount") - middle).alias("d")), "d")
-        spread = mad * MAD_SCALE if mad > 0 else 1e-9
+    middle, mad = _middle_and_spread(own) or (0.0, 0.0)
+    spread = mad * MAD_SCALE if mad > 0 else 1e-9
     z = F.abs((F.col("amount") - F.lit(middle)) / F.lit(spread))
-    reason = F.format_string("Amount %,.2f is %.1f robust standard deviations from the dataset median (%,.2f).", F.col("amount"), z, F.lit(middle))
-    return own.where(z >= threshold).withColumns({"anomaly_score": F.round(z, 4), "method": F.lit("statistical"), "reason": reason}).orderBy(F.desc("anomaly_score"), "transaction_id")
+    reason = F.format_string("%,.2f lies %.1f scaled median deviations off the median %,.2f", F.col("amount"), z, F.lit(middle))
+    return own.where((z >= threshold) & ~F.isnan(z)).withColumns({"anomaly_score": F.round(z, 4), "method": F.lit("statistical"), "reason": reason}).orderBy(F.desc("anomaly_score"), "transaction_id")
 
 
 def _expected(n: int) -> float:
@@ -147,6 +176,6 @@ def isolation_forest(transactions: DataFrame, contamination: float = CONTAMINATI
                 break
     limit = ranks[math.floor(spot)] + (ranks[math.ceil(spot)] - ranks[math.floor(spot)]) * (spot % 1)
     score = (F.col("_raw") - low) / ((high - low) or 1e-9)
-    reason = F.format_string("Isolation Forest isolated this transaction (amount=%,.2f) in fewer partitions than typical; anomaly score %.2f.", F.col("amount"), score)
+    reason = F.format_string("%,.2f is cut off from the rest sooner than most amounts; score %.2f", F.col("amount"), score)
     found = scored.where(F.col("_raw") > F.lit(limit)).withColumns({"anomaly_score": F.round(score, 4), "method": F.lit("isolation_forest"), "reason": reason}).drop("_raw")
     return found.orderBy(F.desc("anomaly_score"), "transaction_id")

@@ -18,7 +18,7 @@ MONTHS = "January|February|March|April|May|June|July|August|September|October|No
 LEADING = ("the", "a", "an", "this", "that", "these", "those", "it", "he", "she", "they", "we", "i", "in", "on", "at", "after", "before", "during")
 DATE = rf"\b(?:{MONTHS})\.?\s+\d{{1,2}}(?:st|nd|rd|th)?,?\s*\d{{4}}\b|\b\d{{1,2}}\s+(?:{MONTHS})\.?,?\s*\d{{4}}\b|\b\d{{4}}-\d{{2}}-\d{{2}}\b"
 CAPITALISED = r"\b[A-Z][a-zA-Z]*(?:\s+[A-Z][a-zA-Z]*)*\b"
-#: Labels that a model's mentions are kept for.
+# Labels that a model's mentions are kept for.
 MODEL_LABELS = ("PERSON", "ORG", "GPE", "LOC", "DATE", "NORP", "FAC")
 METHODS = ("baseline", "spacy")
 

@@ -7,20 +7,20 @@ directions are kept. Loops write each round to the shared folder.
 from __future__ import annotations
 
 import heapq
-import io
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from spindrift.session import settle
+from spindrift.session import read_table, settle, shared_folder
 
 #: Nodes up to which betweenness is exact and communities are sought, and sources sampled beyond.
 EXACT_NODES = 3000
 SAMPLED_SOURCES = 500
-#: Edges (after merging parallel ones) that the betweenness kernel may hold in a worker.
-KERNEL_EDGES = 20_000_000
+#: Edges (after merging parallel ones) that the betweenness kernel may hold in a worker, and numbers in each of its arrays.
+KERNEL_EDGES = 10_000_000
+KERNEL_CELLS = 1 << 20
 NEIGHBORHOOD_NODES = 300
 TYPE_RANK = {"Person": 0, "Organization": 1, "Location": 2, "Event": 3}
 
@@ -120,88 +120,101 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, max_iter
     return state.select("id", "score")
 
 
-def _dijkstra_dependencies(n: int, starts: np.ndarray, heads: np.ndarray, weights: np.ndarray, source: int, total: dict[int, float]) -> None:
-    """Adds what one source gives each node on shortest paths."""
-    dist, seen, sigma, before, order = {}, {source: 0.0}, {source: 1.0}, {source: []}, []
-    heap, tick = [(0.0, 0, source, source)], 0
-    while heap:
-        d, _, parent, v = heapq.heappop(heap)
-        if v in dist:
-            continue
-        if v != source:
-            sigma[v] += sigma[parent]
-        else:
-            sigma[v] = 1.0
-        order.append(v)
-        dist[v] = d
-        for k in range(int(starts[v]), int(starts[v + 1])):
-            w, length = int(heads[k]), d + float(weights[k])
-            if w not in dist and (w not in seen or length < seen[w]):
-                seen[w] = length
-                tick += 1
-                heapq.heappush(heap, (length, tick, v, w))
-                sigma[w], before[w] = 0.0, [v]
-            elif w not in dist and length == seen[w]:
-                sigma[w] += sigma[v]
-                before[w].append(v)
-    gain = dict.fromkeys(order, 0.0)
-    for w in reversed(order):
-        share = (1 + gain[w]) / sigma[w]
-        for v in before[w]:
-            gain[v] += sigma[v] * share
-        if w != source:
-            total[w] = total.get(w, 0.0) + gain[w]
+class Kernel:
+    """Shortest paths and what they give the nodes between, from several sources at once, on arrays of directed edges a -> b of length w."""
+
+    def __init__(self, n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray):
+        order = np.lexsort((a, b))
+        self.n, self.a, self.b, self.w = n, a[order], b[order], w[order]
+        self.heads, self.into = np.unique(self.b, return_index=True)
+        self.by_tail = np.argsort(self.a, kind="stable")
+        self.tails, self.out_of = np.unique(self.a[self.by_tail], return_index=True)
+
+    def gains(self, sources: np.ndarray) -> np.ndarray:
+        """For each node the sum over the sources of the shares of shortest paths that lead through it."""
+        total = np.zeros(self.n)
+        many = max(1, KERNEL_CELLS // max(1, len(self.a)))
+        for at in range(0, len(sources) if len(self.a) else 0, many):
+            total += self._gains(sources[at : at + many])
+        return total
+
+    def _gains(self, sources: np.ndarray) -> np.ndarray:
+        a, b, w, row = self.a, self.b, self.w, np.arange(len(sources))
+        far = np.full((len(sources), self.n), np.inf)
+        far[row, sources] = 0.0
+        while True:  # lengths settle once no edge shortens any
+            now = np.minimum(far[:, self.heads], np.minimum.reduceat(far[:, a] + w, self.into, axis=1))
+            if (now == far[:, self.heads]).all():
+                break
+            far[:, self.heads] = now
+        tight = (far[:, a] + w == far[:, b]) & (far[:, a] < np.inf)  # edges on shortest paths; they form no circle, as lengths are positive
+        ways = np.zeros_like(far)
+        while True:
+            more = np.zeros_like(far)
+            more[:, self.heads] = np.add.reduceat(np.where(tight, ways[:, a], 0.0), self.into, axis=1)
+            more[row, sources] = 1.0
+            if (more == ways).all():
+                break
+            ways = more
+        part = np.divide(ways[:, a], ways[:, b], out=np.zeros(tight.shape), where=tight)[:, self.by_tail]
+        ends = b[self.by_tail]
+        gain = np.zeros_like(far)
+        while True:
+            more = np.zeros_like(far)
+            more[:, self.tails] = np.add.reduceat(part * (1 + gain[:, ends]), self.out_of, axis=1)
+            if (more == gain).all():
+                break
+            gain = more
+        gain[row, sources] = 0.0
+        return gain.sum(0)
+
+
+def numbered(nodes: DataFrame) -> DataFrame:
+    """id and place, from 0 on in the order of ids; a range partitioning and one count a partition, no task sees all ids."""
+    own = settle(nodes.select("id").distinct().orderBy("id").select("id", F.monotonically_increasing_id().alias("m")), "ids")
+    part = F.shiftright("m", 33)
+    sizes = own.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
+    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # a row for each partition
+    return settle(own.join(F.broadcast(before), part == before["part"]).select("id", (F.col("before") + F.expr("m & 8589934591")).alias("place")), "places")
 
 
 def betweenness(nodes: DataFrame, edges: DataFrame, exact_nodes: int = EXACT_NODES, sources: int = SAMPLED_SOURCES, inverted: bool = False) -> DataFrame:
     """id, score, approximated: weighted, directed betweenness, the weight taken as a length (or its inverse with `inverted`).
 
-    Beyond exact_nodes nodes it starts from the `sources` nodes with the smallest hashes and is scaled up. The compact graph lies in the
-    shared folder, where workers map or read it; it is refused beyond KERNEL_EDGES merged edges.
+    Beyond exact_nodes nodes it starts from the `sources` nodes with the smallest hashes and is scaled up. Nodes are numbered by Spark; the
+    merged edges go as numbers to the shared folder, from where each worker reads them. That is refused beyond KERNEL_EDGES edges, which
+    bounds what a worker holds; the driver holds none.
     """
-    from spindrift.session import shared_folder
-
-    spark = nodes.sparkSession
     weight = F.min(1 / F.col("weight") if inverted else F.col("weight"))
-    merged = settle(edges.where("src <> dst").groupBy("src", "dst").agg(weight.alias("w")), "merged")
-    if merged.count() > KERNEL_EDGES:
-        raise ValueError(f"betweenness holds at most {KERNEL_EDGES} edges in a worker")
-    ids = [r.id for r in nodes.select("id").distinct().orderBy("id").toLocalIterator()]
-    n = len(ids)
+    seen = Observation()
+    places = numbered(nodes)
+    n = places.count()
     if n < 3:
         return nodes.select("id", F.lit(0.0).alias("score"), F.lit(False).alias("approximated"))
-    place = {x: i for i, x in enumerate(ids)}
-    flat = merged.toPandas()
-    a, b = flat["src"].map(place).to_numpy(), flat["dst"].map(place).to_numpy()
-    order = np.lexsort((b, a))
-    starts = np.searchsorted(a[order], np.arange(n + 1))
-    np.savez(data := io.BytesIO(), starts=starts, heads=b[order].astype(np.int64), weights=flat["w"].to_numpy(float)[order])
-    graph = f"{shared_folder(spark)}/graph"
-    spark.createDataFrame([(bytearray(data.getvalue()),)], "data binary").coalesce(1).write.parquet(graph)
-    packed = spark.read.parquet(graph)
+    merged = edges.where("src <> dst").groupBy("src", "dst").agg(weight.cast("double").alias("w"))
+    a, b = places.select(F.col("id").alias("src"), F.col("place").alias("a")), places.select(F.col("id").alias("dst"), F.col("place").alias("b"))
+    folder = f"{shared_folder(nodes.sparkSession)}/links"
+    merged.join(a, "src").join(b, "dst").select("a", "b", "w").observe(seen, F.count(F.lit(1)).alias("edges")).write.parquet(folder)
+    if seen.get["edges"] > KERNEL_EDGES:
+        raise ValueError(f"betweenness holds at most {KERNEL_EDGES} edges in a worker")
     sampled = n > exact_nodes
     k = min(sources, n) if sampled else n
-    numbered = spark.createDataFrame(pd.DataFrame({"place": np.arange(n), "id": ids}))
-    chosen = numbered.orderBy(F.xxhash64("id"), "id").limit(k) if sampled else numbered
-    per = max(1, k // 64)
-    jobs = chosen.select("place").withColumn("job", F.pmod("place", F.lit(max(1, k // per)))).groupBy("job").agg(F.collect_list("place").alias("places"))
-    jobs = jobs.repartition(min(64, max(1, k // per)), "job").join(F.broadcast(packed))
+    chosen = places.orderBy(F.xxhash64("id"), "id").limit(k) if sampled else places
+    tasks = max(1, min(64, k // 8))
+    jobs = chosen.select("place", F.pmod("place", F.lit(tasks)).alias("job")).repartition(tasks, "job").select("place")
 
     def run(batches):
-        total: dict[int, float] = {}
-        arrays = None
-        for pdf in batches:
-            for places, raw in zip(pdf["places"], pdf["data"], strict=True):
-                if arrays is None:
-                    with np.load(io.BytesIO(bytes(raw))) as f:
-                        arrays = f["starts"], f["heads"], f["weights"]
-                for s in places:
-                    _dijkstra_dependencies(n, *arrays, int(s), total)
-        yield pd.DataFrame({"place": list(total), "gain": list(total.values())}).astype({"place": "int64", "gain": "float64"})
+        own = [x for pdf in batches for x in pdf["place"]]
+        if own:
+            t = read_table(folder)
+            kernel = Kernel(n, *(t[c].to_numpy() for c in ("a", "b", "w")))
+            total = kernel.gains(np.array(own, np.int64))
+            there = np.flatnonzero(total)
+            yield pd.DataFrame({"place": there, "gain": total[there]})
 
     gains = jobs.mapInPandas(run, "place long, gain double").groupBy("place").agg(F.sum("gain").alias("g"))
     scale = 1 / ((n - 1) * (n - 2)) * (n / k)
-    return numbered.join(gains, "place", "left").select("id", (F.coalesce("g", F.lit(0.0)) * scale).alias("score"), F.lit(sampled).alias("approximated"))
+    return places.join(gains, "place", "left").select("id", (F.coalesce("g", F.lit(0.0)) * scale).alias("score"), F.lit(sampled).alias("approximated"))
 
 
 def greedy_communities(n: int, links: list[tuple[int, int]]) -> list[list[int]]:
@@ -349,7 +362,7 @@ def graph_metrics(nodes: DataFrame, edges: DataFrame, top: int = 10) -> DataFram
 
 
 #: Fixed values of the drawing: colour by node type.
-COLOURS = {"Person": "#4C78A8", "Organization": "#F58518", "Location": "#54A24B", "Event": "#E45756"}
+COLOURS = {"Person": "#4C78A8", "Organization": "#F58518", "Location": "#54A24B", "Event": "#B279A2"}
 
 
 def node_styles(nodes: DataFrame, highlight: str | None = None) -> DataFrame:
@@ -360,6 +373,12 @@ def node_styles(nodes: DataFrame, highlight: str | None = None) -> DataFrame:
     return nodes.select("id", F.substring(F.coalesce("label", "id"), 1, 40).alias("label"), title.alias("title"), colour.alias("color"), F.when(on, 20).otherwise(12).alias("size"), F.when(on, 3).otherwise(1).alias("border_width"))
 
 
+def edge_styles(edges: DataFrame) -> DataFrame:
+    """What a drawing needs of each edge: both ends, label and title (its type, empty if unknown), and where its arrow points."""
+    kind = F.coalesce("edge_type", F.lit(""))
+    return edges.select("src", "dst", kind.alias("label"), kind.alias("title"), F.lit("to").alias("arrows"))
+
+
 def top_scores_with_labels(nodes: DataFrame, scores: DataFrame, n: int) -> DataFrame:
     """The best n scores with labels, best first."""
     best = top_n(scores.select("id", "score"), n)

@@ -23,19 +23,23 @@ def _sum(flags: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, (f.cast("long") for f in flags), F.lit(0).cast("long"))
 
 
-def row_groups(df: DataFrame) -> DataFrame:
-    """Equal rows once, with their number `_n`: one shuffle that every other figure is computed from."""
-    maps = [f.name for f in df.schema.fields if isinstance(f.dataType, T.MapType)]
-    plain = df.withColumns({m: F.to_json(df[m]) for m in maps}) if maps else df
-    return plain.groupBy(*plain.columns).agg(F.count("*").alias("_n"))
+def _kinds(df: DataFrame, figures: dict[str, Column], over: list[str] | None = None) -> DataFrame:
+    """One row: `rows`, `kinds` (rows that differ in the columns `over`, or in any) and the sums of some figures.
+
+    Rows are told apart by a 128-bit digest, so that only digests and partial sums are shuffled, however wide the table is. Each value goes in
+    with a mark for null, as hashes skip nulls.
+    """
+    fields = [df.schema[c] for c in over or df.columns]
+    cells = [x for f in fields for x in (F.to_json(df[f.name]) if isinstance(f.dataType, T.MapType) else df[f.name], df[f.name].isNull())]
+    digest = [F.xxhash64(F.lit(k), *cells).alias(f"_d{k}") for k in (1, 2)]
+    groups = df.select(*digest, *(c.alias(n) for n, c in figures.items())).groupBy("_d1", "_d2").agg(F.count("*").alias("_n"), *(F.sum(n).alias(n) for n in figures))
+    return groups.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"), F.count("*").alias("kinds"), *(F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in figures))
 
 
 def summarize(df: DataFrame) -> DataFrame:
     """One row: row_count, column_count, columns, dtypes, missing_value_pct, duplicate_row_count, duplicate_row_pct."""
     k = len(df.columns)
-    groups = row_groups(df)
-    flags = [missing(groups, c) for c in df.columns]
-    cells = groups.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"), F.count("*").alias("kinds"), F.coalesce(F.sum(_sum(flags) * F.col("_n")), F.lit(0)).alias("gaps"))
+    cells = _kinds(df, {"gaps": _sum([missing(df, c) for c in df.columns])})
     total = F.greatest(F.col("rows") * k, F.lit(1))
     twice = F.col("rows") - F.col("kinds")
     return cells.select(
@@ -68,9 +72,8 @@ def clean_report(df: DataFrame, drop_duplicates: bool = True, strip_whitespace:
     """original_row_count, cleaned_row_count, duplicate_rows_removed, whitespace_normalized_cells."""
     texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)] if strip_whitespace else []
     changed = _sum([F.coalesce(normalize_whitespace(df[c]) != df[c], F.lit(False)) for c in texts])
-    cells = df.select(*(normalize_whitespace(df[c]).alias(c) if c in texts else df[c] for c in df.columns), changed.alias("_c"))
-    groups = cells.groupBy(*df.columns).agg(F.count("*").alias("_n"), F.sum("_c").alias("_c"))
-    out = groups.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("original_row_count"), F.count("*").alias("kinds"), F.coalesce(F.sum("_c"), F.lit(0)).alias("whitespace_normalized_cells"))
+    cells = df.select(*(normalize_whitespace(df[c]).alias(c) if c in texts else df[c] for c in df.columns), changed.alias("_changed"))
+    out = _kinds(cells, {"whitespace_normalized_cells": cells["_changed"]}, df.columns).withColumnRenamed("rows", "original_row_count")
     kept = F.col("kinds") if drop_duplicates else F.col("original_row_count")
     return out.select("original_row_count", kept.alias("cleaned_row_count"), (F.col("original_row_count") - kept).alias("duplicate_rows_removed"), "whitespace_normalized_cells")
 
@@ -100,12 +103,12 @@ def validate_schema(df: DataFrame, required: list[str] | None = None) -> tuple[b
     """Whether the table is usable, what speaks against it, and the required columns that it lacks."""
     issues = []
     if not df.columns or df.isEmpty():
-        issues.append("Dataset has no rows.")
+        issues.append("the table is empty")
     if not df.columns:
-        issues.append("Dataset has no columns.")
+        issues.append("the table has no column")
     absent = [c for c in required or [] if c not in df.columns]
     if absent:
-        issues.append(f"Missing required columns: {', '.join(absent)}")
+        issues.append(f"required columns are absent: {', '.join(absent)}")
     return not issues, issues, absent
 
 
@@ -114,23 +117,20 @@ def validate(df: DataFrame, required: list[str] | None = None, rules: dict[str,
     valid, issues, absent = validate_schema(df, required)
     strings = lambda values: F.array(*map(F.lit, values)).cast("array<string>")
     totals = invalid_values(df, rules).agg(F.coalesce(F.sum("invalid_count"), F.lit(0)).alias("x"), F.coalesce(F.sum("checked"), F.lit(0)).alias("n"))
-    found = F.when(F.col("x") > 0, F.array(F.format_string("Found %d value(s) that don't match their expected type.", "x"))).otherwise(strings([]))
+    found = F.when(F.col("x") > 0, F.array(F.format_string("%d values are not of the type that a rule asks for", "x"))).otherwise(strings([]))
     return totals.select(F.lit(valid).alias("is_valid"), F.concat(strings(issues), found).alias("issues"), strings(absent).alias("missing_required_columns"), F.col("x").alias("invalid_value_count"), F.round(100 * F.col("x") / F.greatest("n", F.lit(1)), 2).alias("invalid_value_pct"))
 
 
 def quality(df: DataFrame, rules: dict[str, str] | None = None) -> DataFrame:
     """One row: completeness, uniqueness, validity, consistency, overall_score (0 to 100) and explanation."""
     known, k = _rules(df, rules), len(df.columns)
-    groups = row_groups(df)
-    n = F.col("_n")
-    share = lambda flag: F.coalesce(F.sum(flag.cast("long") * n), F.lit(0))
     texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    aggs = [F.coalesce(F.sum(n), F.lit(0)).alias("rows"), F.count("*").alias("kinds"), F.coalesce(F.sum(_sum([missing(groups, c) for c in df.columns]) * n), F.lit(0)).alias("gaps")]
+    figures = {"gaps": _sum([missing(df, c) for c in df.columns])}
     for i, c in enumerate(texts):
-        aggs += [share(groups[c].isNotNull()).alias(f"t{i}"), share(F.coalesce(is_number(groups[c]), F.lit(False))).alias(f"m{i}")]
+        figures |= {f"t{i}": df[c].isNotNull(), f"m{i}": F.coalesce(is_number(df[c]), F.lit(False))}
     for i, (c, r) in enumerate(known.items()):
-        aggs += [share(~missing(groups, c)).alias(f"v{i}"), share(_invalid(groups, c, r)).alias(f"x{i}")]
-    one = groups.agg(*aggs)
+        figures |= {f"v{i}": ~missing(df, c), f"x{i}": _invalid(df, c, r)}
+    one = _kinds(df, {n: c.cast("long") for n, c in figures.items()})
     cells = F.col("rows") * k
     mixed = _sum([(F.col(f"m{i}") > 0) & (F.col(f"m{i}") < F.col(f"t{i}")) for i in range(len(texts))])
     checked, invalid = _sum([F.col(f"v{i}") for i in range(len(known))]), _sum([F.col(f"x{i}") for i in range(len(known))])
@@ -141,6 +141,6 @@ def quality(df: DataFrame, rules: dict[str, str] | None = None) -> DataFrame:
         (1 - mixed / max(k, 1)).alias("consistency"),
     )
     overall = reduce(lambda a, b: a + b, (F.col(m) * w for m, w in WEIGHTS.items())) * 100
-    says = {"completeness": "of cells are populated", "uniqueness": "of rows are non-duplicate", "validity": "of type-checked values match their expected type", "consistency": "of columns use a single consistent representation"}
-    lines = [F.format_string(f"{m.capitalize()}: %.1f%% {says[m]} (weight {w:.0%}%).", F.col(m) * 100) for m, w in WEIGHTS.items()]
+    says = {"completeness": "cells with a value", "uniqueness": "rows that repeat no other", "validity": "checked values of the right type", "consistency": "columns that do not mix numbers with other text"}
+    lines = [F.format_string(f"{m}, {says[m]}: %.1f of 100, counts {w:.2f}", F.col(m) * 100) for m, w in WEIGHTS.items()]
     return parts.select(*(F.round(F.col(m) * 100, 2).alias(m) for m in WEIGHTS), F.round(overall, 2).alias("overall_score"), F.array(*lines).alias("explanation"))

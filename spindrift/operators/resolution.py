@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from spindrift.functions.text import normalize_string, ratio_bound, sequence_ratio, token_jaccard, tokens
@@ -10,8 +10,10 @@ from spindrift.session import settle
 
 MAX_CANDIDATE_PAIRS = 200_000
 METHODS = ("baseline", "multi_feature")
-#: Bands of the confidence label.
+# Bands of the confidence label, and the labels.
 HIGH, MEDIUM, LOW = 0.85, 0.70, 0.55
+BANDS = [(HIGH, "Potential match (high confidence)"), (MEDIUM, "Possible match (medium confidence)"), (LOW, "Weak possible match (low confidence)")]
+UNLIKELY = "Unlikely match"
 _STEP = 1_000_000_000_039  # a prime: its multiples visit each pair of a block at most once
 _SALTS = 64
 
@@ -30,19 +32,24 @@ def _ranked(keyed: DataFrame, sizes: DataFrame) -> DataFrame:
     return inner.join(before, ["key", "salt"]).select("key", "id", (F.col("r") + F.col("before")).alias("rank"))
 
 
-def candidate_pairs(records: DataFrame, max_pairs: int = MAX_CANDIDATE_PAIRS) -> DataFrame:
+def candidate_pairs(records: DataFrame, max_pairs: int | None = MAX_CANDIDATE_PAIRS) -> DataFrame:
     """id_a < id_b of records (id, name: normalised) that share a block key.
 
     Each block may give max_pairs over the number of blocks of two or more, one at least. A larger block gives that many distinct
     pairs, numbered evenly over all of its pairs; they are computed from their numbers, so that a block's pairs are never all built.
+    With max_pairs None nothing is left out: all pairs of all blocks come, from a join whose hot blocks AQE splits.
     """
     keyed = settle(records.select("id", F.explode(blocking_keys(F.col("name"))).alias("key")).distinct(), "keys")
-    blocks = settle(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").withColumn("p", F.expr("n * (n - 1) div 2")), "blocks")
-    count = blocks.count()
-    budget = max(1, max_pairs // max(1, count))
-    small = keyed.join(blocks.where(F.col("p") <= budget).select("key"), "key", "left_semi")
-    other = small.select("key", F.col("id").alias("id_b"))
-    full = small.join(other, "key").where(F.col("id") < F.col("id_b")).select(F.col("id").alias("id_a"), "id_b")
+    within = lambda own: own.join(own.select("key", F.col("id").alias("id_b")), "key").where(F.col("id") < F.col("id_b")).select(F.col("id").alias("id_a"), "id_b")
+    if max_pairs is None:
+        return within(keyed).distinct()
+    sizes = Observation()
+    counted = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").withColumn("p", F.expr("n * (n - 1) div 2"))
+    blocks = settle(counted.observe(sizes, F.count(F.lit(1)).alias("blocks"), F.max("p").alias("largest")), "blocks")
+    budget = max(1, max_pairs // max(1, sizes.get["blocks"]))
+    if (sizes.get["largest"] or 0) <= budget:
+        return within(keyed).distinct()
+    full = within(keyed.join(blocks.where(F.col("p") <= budget).select("key"), "key", "left_semi"))
     large = blocks.where(F.col("p") > budget)
     ranked = settle(_ranked(keyed, large.select("key")), "ranks")
     t = F.expr(f"pmod(pmod(k, p) * pmod({_STEP}, p) + pmod(xxhash64(key), p), p)")
@@ -65,7 +72,8 @@ def _grams(name: Column) -> Column:
 def tfidf(records: DataFrame) -> DataFrame:
     """id, gram, w: counts times ln((1 + records) / (1 + records with the gram)) + 1, each record's vector of length one."""
     tf = records.select("id", F.explode(_grams(F.col("name"))).alias("gram")).groupBy("id", "gram").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("gram").agg(F.count("*").alias("df"))
+    tf = settle(tf, "grams")
+    df = settle(tf.groupBy("gram").agg(F.count("*").alias("df")), "document_counts")  # written, so that the join below stands on exchanges and a hot gram can be split
     n = records.agg(F.count("*").alias("n"))
     raw = tf.join(df, "gram").join(F.broadcast(n)).select("id", "gram", (F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("v"))
     norm = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
@@ -80,13 +88,17 @@ def cosines(pairs: DataFrame, weights: DataFrame) -> DataFrame:
 
 
 def confidence_label(score: Column) -> Column:
-    return F.when(score >= HIGH, "Potential match (high confidence)").when(score >= MEDIUM, "Possible match (medium confidence)").when(score >= LOW, "Weak possible match (low confidence)").otherwise("Unlikely match")
+    out = F.when(score >= BANDS[0][0], BANDS[0][1])
+    for least, label in BANDS[1:]:
+        out = out.when(score >= least, label)
+    return out.otherwise(UNLIKELY)
 
 
-def resolve(records: DataFrame, method: str = "multi_feature", threshold: float = LOW, max_pairs: int = MAX_CANDIDATE_PAIRS) -> DataFrame:
+def resolve(records: DataFrame, method: str = "multi_feature", threshold: float = LOW, max_pairs: int | None = MAX_CANDIDATE_PAIRS) -> DataFrame:
     """Potential matches among (id, name), best first: both ids and names, similarity, confidence, reason.
 
-    The record with the smaller id comes first in the sequence ratio. Null names match nothing.
+    The record with the smaller id comes first in the sequence ratio. Null names match nothing. max_pairs bounds the pairs that are compared,
+    as candidate_pairs() says; None compares all pairs of all blocks.
     """
     if method not in METHODS:
         raise ValueError(f"unknown method {method!r}; known: {', '.join(METHODS)}")
@@ -98,13 +110,13 @@ def resolve(records: DataFrame, method: str = "multi_feature", threshold: float
     bound = ratio_bound(F.col("na"), F.col("nb"))
     if method == "baseline":
         scored = rows.where(bound >= threshold).withColumn("ratio", sequence_ratio("na", "nb")).withColumn("score", F.col("ratio"))
-        reason = F.format_string("Character-level similarity (sequence ratio): %.2f.", "ratio")
+        reason = F.format_string("names alike by %.2f (longest common blocks)", "ratio")
     else:
         near = cosines(pairs, tfidf(own.select("id", "name")))
         rows = rows.join(near, ["id_a", "id_b"], "left").withColumn("cosine", F.coalesce("cosine", F.lit(0.0))).withColumn("jaccard", token_jaccard(F.col("na"), F.col("nb")))
         rows = settle(rows.where(0.4 * bound + 0.3 * F.col("jaccard") + 0.3 * F.col("cosine") >= threshold - 1e-9), "features")
         scored = rows.withColumn("ratio", sequence_ratio("na", "nb")).withColumn("score", 0.4 * F.col("ratio") + 0.3 * F.col("jaccard") + 0.3 * F.col("cosine"))
-        reason = F.format_string("Sequence ratio %.2f, token overlap (Jaccard) %.2f, character n-gram cosine similarity %.2f -> weighted score %.2f.", "ratio", "jaccard", "cosine", "score")
+        reason = F.format_string("longest common blocks %.2f, shared words %.2f, shared character runs %.2f; weighted %.2f", "ratio", "jaccard", "cosine", "score")
     kept = scored.where(F.col("score") >= threshold)
     return kept.select("id_a", "name_a", "id_b", "name_b", F.round("score", 4).alias("similarity"), confidence_label(F.col("score")).alias("confidence"), reason.alias("reason")).orderBy(F.desc("similarity"), "id_a", "id_b")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spindrift import settings
 from spindrift.functions import text as tx
 from spindrift.operators import anomaly, assistant, evaluate, extraction, graph, profile, relational, resolution
 from spindrift.plans import views as v
@@ -65,7 +66,7 @@ def invalid_value_counts(spark, d):
     return profile.invalid_values(_dirty(spark, d), RULES)
 
 
-@query(_DIRTY + "SELECT FALSE AS is_valid, 'Missing required columns: owner' AS issue, 'owner' AS missing_required, CAST(x AS BIGINT) AS invalid_value_count, round(100.0 * x / n, 2) AS invalid_value_pct FROM (SELECT count(price) + count(day) AS n, count(*) FILTER (WHERE price IS NOT NULL AND NOT " + _NUMBER + ") + count(*) FILTER (WHERE day = 'someday') AS x FROM t)")
+@query(_DIRTY + "SELECT FALSE AS is_valid, 'required columns are absent: owner' AS issue, 'owner' AS missing_required, CAST(x AS BIGINT) AS invalid_value_count, round(100.0 * x / n, 2) AS invalid_value_pct FROM (SELECT count(price) + count(day) AS n, count(*) FILTER (WHERE price IS NOT NULL AND NOT " + _NUMBER + ") + count(*) FILTER (WHERE day = 'someday') AS x FROM t)")
 def validation_report(spark, d):
     r = profile.validate(_dirty(spark, d), ["status", "owner"], RULES)
     return r.select("is_valid", F.element_at("issues", 1).alias("issue"), F.array_join("missing_required_columns", ",").alias("missing_required"), "invalid_value_count", "invalid_value_pct")
@@ -103,7 +104,7 @@ def normalize_names(spark, d):
     return v.table(spark, d, "customer").select("c_custkey", tx.normalize_string(F.col("c_name")).alias("name"))
 
 
-@query()
+@query(r"SELECT doc_id, trim(regexp_replace(regexp_replace(lower(strip_accents(text)), '[^\pL\pM\pN_\s]', '', 'g'), '\s+', ' ', 'g'), ' ') AS normalized FROM documents")
 def normalize_accents_documents(spark, d):
     return v.table(spark, d, "documents").select("doc_id", tx.normalize_string(F.col("text")).alias("normalized"))
 
@@ -212,37 +213,34 @@ def top_degree(spark, d):
     return relational.top_scores(graph.degree_centrality(nodes, edges), nodes)
 
 
-def _components_graph(spark, d):
-    nodes, edges = v.small_graph(spark, d)
-    return nodes, edges.where("edge_type = 'WORKS_FOR'")
+#: Rounds of labels in SQL; the graph's paths are shorter.
+_LABEL_ROUNDS = 10
+_COMPONENTS = ", c0 AS MATERIALIZED (SELECT id, id AS m FROM nodes)" + "".join(f", c{i + 1} AS MATERIALIZED (SELECT c.id, least(c.m, coalesce(n.m, c.m)) AS m FROM c{i} c LEFT JOIN (SELECT src, min(o.m) AS m FROM pairs JOIN c{i} o ON o.id = dst GROUP BY 1) n ON n.src = c.id)" for i in range(_LABEL_ROUNDS))
 
 
-@query(", org AS (SELECT dst, min(least(src, dst)) AS m FROM sedges WHERE edge_type = 'WORKS_FOR' GROUP BY dst) SELECT id, coalesce(a.m, b.m, id) AS component FROM snodes LEFT JOIN org a ON a.dst = id LEFT JOIN (SELECT src, dst FROM sedges WHERE edge_type = 'WORKS_FOR') e ON e.src = id LEFT JOIN org b ON b.dst = e.dst", True)
+@query(_COMPONENTS + f" SELECT id, m AS component FROM c{_LABEL_ROUNDS}", True)
 def connected_components(spark, d):
-    return graph.components(*_components_graph(spark, d))
-
-
-@query()
-def connected_components_full(spark, d):
     return graph.components(*v.full_graph(spark, d))
 
 
-_PR = ", w AS MATERIALIZED (SELECT src, dst, sum(weight) AS w FROM sedges GROUP BY 1, 2), o AS MATERIALIZED (SELECT src, sum(w) AS o FROM w GROUP BY 1), l AS MATERIALIZED (SELECT w.src, dst, w / o AS p FROM w JOIN o ON w.src = o.src), c AS MATERIALIZED (SELECT count(*) AS n FROM snodes), r0 AS MATERIALIZED (SELECT id, 1.0::DOUBLE / n AS s FROM snodes, c)" + "".join(f", r{i + 1} AS MATERIALIZED (SELECT id, 0.15::DOUBLE / n + 0.85::DOUBLE * (coalesce(f, 0) + lost / n) AS s FROM snodes LEFT JOIN (SELECT dst, sum(p * s) AS f FROM l JOIN r{i} ON l.src = r{i}.id GROUP BY 1) ON id = dst, c, (SELECT coalesce(sum(s), 0) AS lost FROM r{i} WHERE id NOT IN (SELECT src FROM o)))" for i in range(10)) + " SELECT id, round(s, 9) AS score FROM r10"
+def _ranks(rounds: int) -> str:
+    """SQL of the PageRank scores r0, r1, ... of so many rounds."""
+    one = lambda i: f", r{i + 1} AS MATERIALIZED (SELECT id, 0.15::DOUBLE / n + 0.85::DOUBLE * (coalesce(f, 0) + lost / n) AS s FROM nodes LEFT JOIN (SELECT dst, sum(p * s) AS f FROM l JOIN r{i} ON l.src = r{i}.id GROUP BY 1) ON id = dst, c, (SELECT coalesce(sum(s), 0) AS lost FROM r{i} WHERE id NOT IN (SELECT src FROM o)))"
+    return ", w AS MATERIALIZED (SELECT src, dst, sum(weight) AS w FROM edges GROUP BY 1, 2), o AS MATERIALIZED (SELECT src, sum(w) AS o FROM w GROUP BY 1), l AS MATERIALIZED (SELECT w.src, dst, w / o AS p FROM w JOIN o ON w.src = o.src), c AS MATERIALIZED (SELECT count(*) AS n FROM nodes), r0 AS MATERIALIZED (SELECT id, 1.0::DOUBLE / n AS s FROM nodes, c)" + "".join(map(one, range(rounds)))
 
 
-@query(_PR, True)
+@query(_ranks(10) + " SELECT id, round(s, 9) AS score FROM r10", True)
 def pagerank_10_rounds(spark, d):
-    return graph.pagerank(*v.small_graph(spark, d), fixed=10).select("id", F.round("score", 9).alias("score"))
+    return graph.pagerank(*v.full_graph(spark, d), fixed=10).select("id", F.round("score", 9).alias("score"))
 
 
-@query(_PR.replace("sedges", "edges").replace("snodes", "nodes"), True)
-def pagerank_10_rounds_full(spark, d):
-    return graph.pagerank(*v.full_graph(spark, d), fixed=10).select("id", F.round("score", 9).alias("score"))
+#: Rounds in SQL, of which the first that moves little enough counts.
+_STOP_ROUNDS = 40
 
 
-@query()
+@query(_ranks(_STOP_ROUNDS) + ", e AS (" + " UNION ALL ".join(f"SELECT {i} AS k, sum(abs(a.s - b.s)) AS moved FROM r{i} a JOIN r{i - 1} b ON a.id = b.id" for i in range(1, _STOP_ROUNDS + 1)) + "), stop AS (SELECT min(k) AS k FROM e, c WHERE moved < n * 1e-6::DOUBLE) SELECT id, round(s, 9) AS score FROM (" + " UNION ALL ".join(f"SELECT {i} AS k, id, s FROM r{i}" for i in range(1, _STOP_ROUNDS + 1)) + ") WHERE k = (SELECT k FROM stop) ORDER BY s DESC, id LIMIT 10", True)
 def pagerank_top(spark, d):
-    return graph.top_n(graph.pagerank(*v.full_graph(spark, d)))
+    return graph.top_n(graph.pagerank(*v.full_graph(spark, d))).select("id", F.round("score", 9).alias("score"))
 
 
 @query()
@@ -252,6 +250,11 @@ def betweenness_top(spark, d):
     return graph.top_n(graph.betweenness(nodes, both))
 
 
+@query()
+def betweenness_sampled(spark, d):
+    return graph.betweenness(*v.full_graph(spark, d), exact_nodes=0, sources=50).select("id", F.round("score", 9).alias("score"), "approximated")
+
+
 @query()
 def communities(spark, d):
     nodes, edges = v.full_graph(spark, d)
@@ -259,22 +262,17 @@ def communities(spark, d):
     return nodes.sparkSession.createDataFrame([], "community long, id string") if found is None else found
 
 
-@query(", h1 AS MATERIALIZED (SELECT DISTINCT dst AS id FROM spairs WHERE src = 'C1'), h2 AS MATERIALIZED (SELECT DISTINCT dst AS id FROM spairs WHERE src IN (SELECT id FROM h1) AND dst <> 'C1' AND dst NOT IN (SELECT id FROM h1)), k AS (SELECT 'C1' AS id, 0 AS hop UNION ALL SELECT id, 1 FROM h1 UNION ALL SELECT id, 2 FROM h2 ORDER BY hop, id LIMIT 300) SELECT n.id, node_type, label, hop FROM snodes n JOIN k ON n.id = k.id", True)
+@query(", h1 AS MATERIALIZED (SELECT DISTINCT dst AS id FROM pairs WHERE src = 'C1'), h2 AS MATERIALIZED (SELECT DISTINCT dst AS id FROM pairs WHERE src IN (SELECT id FROM h1) AND dst <> 'C1' AND dst NOT IN (SELECT id FROM h1)), k AS (SELECT 'C1' AS id, 0 AS hop UNION ALL SELECT id, 1 FROM h1 UNION ALL SELECT id, 2 FROM h2 ORDER BY hop, id LIMIT 300) SELECT n.id, node_type, label, hop FROM nodes n JOIN k ON n.id = k.id", True)
 def neighborhood_k2(spark, d):
     return graph.neighborhood(*v.full_graph(spark, d), "C1", 2)[0]
 
 
-@query(", h1 AS (SELECT DISTINCT dst AS id FROM (SELECT src, dst FROM sedges WHERE edge_type = 'KNOWS' UNION ALL SELECT dst, src FROM sedges WHERE edge_type = 'KNOWS') WHERE src = 'S1'), k AS (SELECT 'S1' AS id, 0 AS hop UNION ALL SELECT id, 1 FROM h1 ORDER BY hop, id LIMIT 300) SELECT src, dst, edge_type, weight FROM sedges WHERE src IN (SELECT id FROM k) AND dst IN (SELECT id FROM k)", True)
-def neighborhood_edges_filtered(spark, d):
-    return graph.neighborhood(*v.small_graph(spark, d), "S1", 1, ["KNOWS"])[1].select("src", "dst", "edge_type", "weight")
-
-
 @query(", h1 AS (SELECT DISTINCT dst AS id FROM (SELECT src, dst FROM edges WHERE edge_type = 'KNOWS' UNION ALL SELECT dst, src FROM edges WHERE edge_type = 'KNOWS') WHERE src = 'S1'), k AS (SELECT 'S1' AS id, 0 AS hop UNION ALL SELECT id, 1 FROM h1 ORDER BY hop, id LIMIT 300) SELECT src, dst, edge_type, weight FROM edges WHERE src IN (SELECT id FROM k) AND dst IN (SELECT id FROM k)", True)
-def neighborhood_edges_filtered_full(spark, d):
+def neighborhood_edges_filtered(spark, d):
     return graph.neighborhood(*v.full_graph(spark, d), "S1", 1, ["KNOWS"])[1].select("src", "dst", "edge_type", "weight")
 
 
-@query(", RECURSIVE_MARK AS (SELECT 1) SELECT CAST(min(h) AS BIGINT) AS hops FROM (SELECT 1 AS h FROM spairs WHERE src = 'C1' AND dst = 'C2' UNION ALL SELECT 2 FROM spairs a JOIN spairs b ON a.dst = b.src WHERE a.src = 'C1' AND b.dst = 'C2' UNION ALL SELECT 4 FROM (SELECT DISTINCT c.dst AS x FROM spairs a JOIN spairs b ON a.dst = b.src JOIN spairs c ON b.dst = c.src WHERE a.src = 'C1') JOIN spairs e ON e.src = x WHERE e.dst = 'C2')".replace(", RECURSIVE_MARK AS (SELECT 1)", ""), True)
+@query(" SELECT CAST(min(h) AS BIGINT) AS hops FROM (SELECT 1 AS h FROM pairs WHERE src = 'C1' AND dst = 'C2' UNION ALL SELECT 2 FROM pairs a JOIN pairs b ON a.dst = b.src WHERE a.src = 'C1' AND b.dst = 'C2' UNION ALL SELECT 4 FROM (SELECT DISTINCT c.dst AS x FROM pairs a JOIN pairs b ON a.dst = b.src JOIN pairs c ON b.dst = c.src WHERE a.src = 'C1') JOIN pairs e ON e.src = x WHERE e.dst = 'C2')", True)
 def shortest_path_hops(spark, d):
     return graph.render_path(graph.shortest_path(*v.full_graph(spark, d), "C1", "C2")).select("hops")
 
@@ -289,14 +287,14 @@ def neighbors_of_entity(spark, d):
     return graph.neighbors(*v.full_graph(spark, d), "C3")
 
 
-@query("SELECT id, substr(label, 1, 40) AS label, CASE node_type WHEN 'Person' THEN '#4C78A8' WHEN 'Organization' THEN '#F58518' ELSE '#54A24B' END AS color, CASE WHEN id = 'C1' THEN 20 ELSE 12 END AS size, CASE WHEN id = 'C1' THEN 3 ELSE 1 END AS border_width FROM snodes", True)
+@query("SELECT id, substr(label, 1, 40) AS label, 'node_type: ' || node_type || chr(10) || 'label: ' || label AS title, CASE node_type WHEN 'Person' THEN '#4C78A8' WHEN 'Organization' THEN '#F58518' WHEN 'Location' THEN '#54A24B' ELSE '#B279A2' END AS color, CASE WHEN id = 'C1' THEN 20 ELSE 12 END AS size, CASE WHEN id = 'C1' THEN 3 ELSE 1 END AS border_width FROM nodes", True)
 def node_styles(spark, d):
-    return graph.node_styles(v.small_graph(spark, d)[0], "C1").drop("title")
+    return graph.node_styles(v.full_graph(spark, d)[0], "C1")
 
 
-@query("SELECT id, substr(label, 1, 40) AS label, CASE node_type WHEN 'Person' THEN '#4C78A8' WHEN 'Organization' THEN '#F58518' WHEN 'Location' THEN '#54A24B' ELSE '#E45756' END AS color, CASE WHEN id = 'C1' THEN 20 ELSE 12 END AS size, CASE WHEN id = 'C1' THEN 3 ELSE 1 END AS border_width FROM nodes", True)
-def node_styles_full(spark, d):
-    return graph.node_styles(v.full_graph(spark, d)[0], "C1").drop("title")
+@query("SELECT src, dst, edge_type AS label, edge_type AS title, 'to' AS arrows FROM edges", True)
+def edge_styles(spark, d):
+    return graph.edge_styles(v.full_graph(spark, d)[1])
 
 
 _KEYS = "names AS (SELECT 'P' || lpad(CAST(min(p_partkey) AS VARCHAR), 8, '0') AS id, trim(regexp_replace(lower(p_name), '\\s+', ' ', 'g')) AS name FROM part GROUP BY p_name), keyed AS (SELECT DISTINCT id, unnest([substr(name, 1, 1), string_split(name, ' ')[-1]]) AS key FROM names)"
@@ -397,6 +395,15 @@ def _note_mentions(spark, d):
     return extraction.extract_for_texts(v.order_notes(spark, d), "event_id", "description")
 
 
+_NOTE_TEXT = _NOTES.replace("FROM orders", ", 'the buyer Rosa Lindqvist of ' || upper(substr(n_name, 1, 1)) || lower(substr(n_name, 2)) || ' ordered on ' || strftime(o_orderdate, '%B ') || day(o_orderdate) || strftime(o_orderdate, ', %Y') || ' from Harbor Mills.' AS note FROM orders")
+_NOTE_MENTIONS = "(SELECT source_id, note, day AS entity_text, 'DATE' AS label FROM notes UNION ALL SELECT source_id, note, 'Rosa Lindqvist', 'PROPER_NOUN' FROM notes UNION ALL SELECT source_id, note, 'Harbor Mills', 'PROPER_NOUN' FROM notes)"
+
+
+@query(_NOTE_TEXT + f"SELECT source_id, entity_text, label, CAST(strpos(note, entity_text) - 1 AS INTEGER) AS start_char, CAST(strpos(note, entity_text) - 1 + length(entity_text) AS INTEGER) AS end_char, 'baseline' AS method FROM {_NOTE_MENTIONS}")
+def mention_offsets(spark, d):
+    return extraction.extract(v.order_notes(spark, d), "description").select(F.col("event_id").alias("source_id"), "entity_text", "label", "start_char", "end_char", "method")
+
+
 @query(_NOTES + "SELECT source_id, day AS entity_text FROM notes")
 def date_mentions(spark, d):
     return _note_mentions(spark, d).where("label = 'DATE'").select("source_id", "entity_text")
@@ -412,7 +419,7 @@ def proper_noun_mentions(spark, d):
     return extraction.extract_for_texts(v.table(spark, d, "conversations"), "conv_id", "text")
 
 
-@query()
+@query(_NOTE_TEXT + f"SELECT source_id, entity_text, label, 'baseline' AS method, substr(note, 1, 40) || '...' AS description FROM {_NOTE_MENTIONS}")
 def mentions_with_description(spark, d):
     notes = v.order_notes(spark, d)
     return relational.with_description(_note_mentions(spark, d), notes, 40)
@@ -423,14 +430,20 @@ def sentence_counts(spark, d):
     return v.table(spark, d, "documents").select("doc_id", F.size(extraction.split_sentences(F.col("text"))).cast("long").alias("sentences"))
 
 
-QUESTIONS = ["Tell me about this dataset", "Who is most connected to Alice?", "How is Alice connected to Bob?", "Are there any suspicious transactions?", "Are there any duplicate person records?", "What is the data quality score?", "Who is most central?"]
+QUESTIONS = ["What is in here?", "Which firm has the most connections?", "Is there a path between Dora and Emil?", "List unusual payments", "Show potential matches among customers", "How clean are the tables?", "Who is most central?", "Who links Customer and Supplier?"]
 
 
-@query("SELECT question, CASE WHEN regexp_matches(question, '(?i)\\bconnect(ed|ion)?\\b.*\\band\\b|\\bhow (is|are)\\b.*\\bconnected\\b|\\bpath between\\b') THEN 'shortest_path' WHEN regexp_matches(question, '(?i)\\bmost connected\\b|\\bcentral\\b') THEN 'most_connected' WHEN regexp_matches(question, '(?i)\\bsuspicious\\b') THEN 'anomalies' WHEN regexp_matches(question, '(?i)\\bduplicate\\w*\\b') THEN 'duplicates' WHEN regexp_matches(question, '(?i)\\bdata quality\\b') THEN 'quality' ELSE 'overview' END AS intent FROM (VALUES " + ", ".join(f"('{q}')" for q in QUESTIONS) + ") AS t(question)")
+@query("SELECT question, CASE WHEN regexp_matches(question, '(?i)\\bconnect(ed|ion)?\\b.*\\band\\b|\\bhow (is|are)\\b.*\\bconnected\\b|\\bpath between\\b') THEN 'shortest_path' WHEN regexp_matches(question, '(?i)\\bmost connect(ed|ions?)\\b|\\bcentral\\b') THEN 'most_connected' WHEN regexp_matches(question, '(?i)\\bunusual\\b') THEN 'anomalies' WHEN regexp_matches(question, '(?i)\\bpotential match\\w*\\b') THEN 'duplicates' WHEN regexp_matches(question, '(?i)\\bhow clean\\b') THEN 'quality' ELSE 'overview' END AS intent FROM (VALUES " + ", ".join(f"('{q}')" for q in QUESTIONS) + ") AS t(question)")
 def intent_detection(spark, d):
     return spark.createDataFrame([(q,) for q in QUESTIONS], "question string").select("question", assistant.intent(F.col("question")).alias("intent"))
 
 
+@query(", hits AS (SELECT * FROM (SELECT person_id AS id, name, 'Person' AS type, 0 AS r FROM persons WHERE lower(name) LIKE '%customer%' ORDER BY 1 LIMIT 3) UNION ALL SELECT * FROM (SELECT organization_id, name, 'Organization', 1 FROM organizations WHERE lower(name) LIKE '%supplier%' ORDER BY 1 LIMIT 3)) SELECT 'who links Customer and Supplier?' AS question, CAST(row_number() OVER (ORDER BY r, id) AS INTEGER) AS position, id, name, type FROM hits", True)
+def mentioned_entities(spark, d):
+    asked = spark.createDataFrame([("who links Customer and Supplier?",), ("nobody is named here",)], "question string")
+    return assistant.mentioned_entities(asked, v.persons(spark, d), v.organizations(spark, d))
+
+
 def _data(spark, d):
     t = v.entity_tables(spark, d)
     t["transactions"] = v.amounts(spark, d)
@@ -438,36 +451,40 @@ def _data(spark, d):
     return assistant.Dataset("star schema", one.row_count, t, 88.0, one.missing_value_pct, one.duplicate_row_pct)
 
 
-@query("SELECT 'overview' AS intent, 'Dataset ''star schema'' contains ' || format('{:,}', n) || ' total rows across its tables.' AS first_line FROM (SELECT count(*) AS n FROM customer)")
+def _told(answer):
+    return answer.select("intent", F.array_join("evidence", "\n").alias("facts"), F.element_at("sources", 1).alias("source"), "mode")
+
+
+@query(", n AS (SELECT 1 AS k, 'persons' AS t, count(*) AS n FROM persons UNION ALL SELECT 2, 'organizations', count(*) FROM organizations UNION ALL SELECT 3, 'locations', count(*) FROM locations UNION ALL SELECT 4, 'events', count(*) FROM evs UNION ALL SELECT 5, 'relationships', count(*) FROM relationships UNION ALL SELECT 6, 'transactions', count(*) FROM events) SELECT 'overview' AS intent, 'star schema holds ' || format('{:,}', (SELECT count(*) FROM customer)) || ' rows in all' || chr(10) || string_agg(t || ': ' || format('{:,}', n) || ' rows', chr(10) ORDER BY k) || chr(10) || 'Its quality score is 88 of 100' AS facts, 'count_entities' AS source, 'fallback' AS mode FROM n", True)
 def assistant_overview(spark, d):
-    return assistant.answer(QUESTIONS[0], _data(spark, d)).select("intent", F.element_at("evidence", 1).alias("first_line"))
+    return _told(assistant.answer(QUESTIONS[0], _data(spark, d)))
 
 
-@query("SELECT 'quality' AS intent, 'Data Quality Score: 88/100.' AS first_line")
+@query("SELECT 'quality' AS intent, 'The quality score is 88 of 100' || chr(10) || '0.00 % of the cells are empty' || chr(10) || format('{:.2f} % of the rows repeat another', 100.0 * (count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM customer))) / count(*)) AS facts, 'datasets' AS source, 'fallback' AS mode FROM customer")
 def assistant_quality(spark, d):
-    return assistant.answer(QUESTIONS[5], _data(spark, d)).select("intent", F.element_at("evidence", 1).alias("first_line"))
+    return _told(assistant.answer(QUESTIONS[5], _data(spark, d)))
 
 
-@query()
+@query(", moves AS (SELECT 'C' || user_id AS src, event_type AS dst FROM events), own AS (SELECT src, dst FROM edges WHERE edge_type <> 'TRANSFERRED_TO' UNION ALL SELECT src, dst FROM moves WHERE src IN (SELECT id FROM nodes) AND dst IN (SELECT id FROM nodes)), k AS (SELECT id, count(*) AS k FROM (SELECT src AS id FROM own UNION ALL SELECT dst FROM own) GROUP BY 1), best AS (SELECT n.id, label, k / ((SELECT count(*) FROM nodes) - 1) AS score FROM nodes n JOIN k ON k.id = n.id ORDER BY k DESC, n.id LIMIT 5) SELECT 'most_connected' AS intent, string_agg(label || ' has degree centrality ' || format('{:.4f}', score), chr(10) ORDER BY score DESC, id) || CASE WHEN (SELECT count(*) FROM nodes) > 3000 THEN chr(10) || 'Degrees are exact; betweenness would be sampled for a graph of this size' ELSE '' END AS facts, 'build_edges' AS source, 'fallback' AS mode FROM best", True)
 def assistant_most_connected(spark, d):
-    return assistant.answer(QUESTIONS[6], _data(spark, d))
+    return _told(assistant.answer(QUESTIONS[6], _data(spark, d)))
 
 
 @query()
 def assistant_shortest_path(spark, d):
-    return assistant.answer("How is Customer#000000001 connected to Customer#000000002?", _data(spark, d))
+    return _told(assistant.answer("How is Customer#000000001 connected to Customer#000000002?", _data(spark, d)))
 
 
-@query()
+@query(_Z + ", found AS (SELECT * FROM z WHERE z >= 3), best AS (SELECT row_number() OVER (ORDER BY round(z, 4) DESC, transaction_id) AS k, 'Potential anomaly ' || transaction_id || ': an amount of ' || format('{:,.2f}', round(amount, 2)) || ' scores ' || format('{:.2f}', round(round(z, 4), 2)) AS fact FROM found ORDER BY k LIMIT 5), told AS (SELECT 0 AS k, format('{:,} of {:,} transactions are potential anomalies', (SELECT count(*) FROM found), (SELECT count(*) FROM events)) AS fact UNION ALL SELECT k, fact FROM best) SELECT 'anomalies' AS intent, string_agg(fact, chr(10) ORDER BY k) AS facts, 'robust_z' AS source, 'fallback' AS mode FROM told")
 def assistant_anomalies(spark, d):
-    return assistant.answer(QUESTIONS[3], _data(spark, d))
+    return _told(assistant.answer(QUESTIONS[3], _data(spark, d)))
 
 
 @query()
 def assistant_duplicates(spark, d):
     data = _data(spark, d)
     data.tables["persons"] = v.part_names(spark, d).select(F.col("id").alias("person_id"), "name", F.lit(None).cast("string").alias("organization_id"), F.lit("").alias("country"), F.lit("").alias("city"))
-    return assistant.answer(QUESTIONS[4], data)
+    return _told(assistant.answer(QUESTIONS[4], data))
 
 
 @query("SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment FROM customer")
@@ -485,17 +502,8 @@ def json_roundtrip(spark, d):
     return readers.load(spark, path)
 
 
-@query("SELECT CAST(s_suppkey AS BIGINT) AS s_suppkey, s_name, CAST(s_nationkey AS BIGINT) AS s_nationkey FROM supplier WHERE s_suppkey <= 10")
-def xlsx_roundtrip(spark, d):
-    from spindrift.sources.xlsx import write_xlsx
-
-    rows = v.table(spark, d, "supplier").where("s_suppkey <= 10").select("s_suppkey", "s_name", "s_nationkey").orderBy("s_suppkey").collect()
-    write_xlsx(path := f"{shared_folder(spark)}/supplier.xlsx", ["s_suppkey", "s_name", "s_nationkey"], [tuple(r) for r in rows])
-    return readers.load(spark, path)
-
-
 @query("SELECT CAST(s_suppkey AS BIGINT) AS s_suppkey, s_name, CAST(s_nationkey AS BIGINT) AS s_nationkey FROM supplier")
-def xlsx_roundtrip_full(spark, d):
+def xlsx_roundtrip(spark, d):
     from spindrift.sources.xlsx import write_workbooks
 
     return readers.load_workbooks(spark, write_workbooks(v.table(spark, d, "supplier").select("s_suppkey", "s_name", "s_nationkey"), shared_folder(spark)))
@@ -507,6 +515,102 @@ def typed_load_orders(spark, d):
     return raw.select("o_orderkey", readers.to_date(F.col("day")).alias("day"), readers.to_number(F.col("price"), 1.0).alias("confidence"))
 
 
+def _csv_folder(spark, d) -> str:
+    """The entity tables as the CSV files that a data set is loaded from, and two tables of truth."""
+    folder = shared_folder(spark)
+    pairs = v.table(spark, d, "customer").where("c_custkey % 50 = 0").select(F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("person_id"), F.concat(F.lit("C"), (F.col("c_custkey") + 1).cast("string")).alias("true_identity_id"))
+    odd = v.table(spark, d, "events").where("event_type = 'error'").select(F.concat(F.lit("V"), F.col("event_id").cast("string")).alias("transaction_id"))
+    synthetic.write_dataset(v.entity_tables(spark, d) | {"ground_truth_entity_resolution": pairs, "ground_truth_anomalies": odd}, folder, "star")
+    return folder
+
+
+def _stored(spark, d) -> store.Store:
+    """A store with two data sets: `star`, loaded from CSV files, and `suppliers`, put in table by table."""
+    own = store.Store(spark, f"{shared_folder(spark)}/store")
+    own.load_dataset(_csv_folder(spark, d), "star", "star")
+    firms = v.organizations(spark, d)
+    key = own.create_dataset("suppliers", firms.count(), 2, 0.0, 0.0, None, "one table")
+    own.append("organizations", firms.withColumn("dataset_id", F.lit(key)))
+    own.add_source(key, "supplier.parquet", file_type="parquet")
+    return own
+
+
+def _key(own: store.Store, name: str) -> str:
+    return own.datasets().where(F.col("name") == name).first().dataset_id
+
+
+_ENTITY_COUNTS = "SELECT 'star' AS name, 'persons' AS table_name, count(*) AS record_count FROM persons UNION ALL SELECT 'star', 'organizations', count(*) FROM organizations UNION ALL SELECT 'star', 'locations', count(*) FROM locations UNION ALL SELECT 'star', 'events', count(*) FROM evs UNION ALL SELECT 'star', 'relationships', count(*) FROM relationships UNION ALL SELECT 'star', 'transactions', count(*) FROM transactions"
+
+
+@query(f", k AS ({_ENTITY_COUNTS}), p AS (SELECT count(*) AS n, count(*) - count(organization_id) AS gaps FROM persons) SELECT 'star' AS name, 'scale=star' AS description, CAST((SELECT sum(record_count) FROM k) AS INTEGER) AS row_count, CAST(5 AS INTEGER) AS column_count, round(100.0 * gaps / (n * 5), 2) AS missing_value_pct, CAST(0 AS DOUBLE) AS duplicate_row_pct, round(((1 - gaps / (n * 5)) * 0.40::DOUBLE + 0.25::DOUBLE + 0.20::DOUBLE + 0.15::DOUBLE) * 100, 2) AS quality_score FROM p", True)
+def store_load_dataset(spark, d):
+    own = _stored(spark, d)
+    return own.dataset(_key(own, "star")).select("name", "description", "row_count", "column_count", "missing_value_pct", "duplicate_row_pct", "quality_score")
+
+
+@query(f", k AS ({_ENTITY_COUNTS}) SELECT * FROM k UNION ALL SELECT 'suppliers', 'organizations', count(*) FROM organizations", True)
+def store_counts_by_dataset(spark, d):
+    own = _stored(spark, d)
+    counts = relational.counts_by_dataset({t: own.table(t) for t in store.ENTITIES})
+    return counts.join(F.broadcast(own.datasets().select("dataset_id", "name")), "dataset_id").select("name", "table_name", "record_count")
+
+
+@query("SELECT 'star' AS name, t || '_star.csv' AS original_filename, 'csv' AS file_type FROM (VALUES ('persons'), ('organizations'), ('locations'), ('events'), ('relationships'), ('transactions')) AS v(t) UNION ALL SELECT 'suppliers', 'supplier.parquet', 'parquet'")
+def store_sources(spark, d):
+    own = _stored(spark, d)
+    return own.table("data_sources").join(F.broadcast(own.datasets().select("dataset_id", "name")), "dataset_id").select("name", "original_filename", "file_type")
+
+
+@query("SELECT transaction_id, source, destination, amount, CAST(timestamp AS TIMESTAMP) AS timestamp FROM transactions", True)
+def store_list_transactions(spark, d):
+    own = _stored(spark, d)
+    return own.entities(_key(own, "star"))["transactions"].select("transaction_id", "source", "destination", "amount", F.col("timestamp").cast("timestamp_ntz").alias("timestamp"))
+
+
+@query("SELECT event_id, event_type, date, location_id FROM evs", True)
+def store_list_events(spark, d):
+    own = _stored(spark, d)
+    return own.entities(_key(own, "star"))["events"].select("event_id", "event_type", "date", "location_id")
+
+
+@query(_Z + "SELECT 'anomaly_detection' AS run_type, '{\"z\": 3.0}' AS parameters, TRUE AS finished, 'transaction' AS entity_type, transaction_id AS entity_id, round(z, 4) AS anomaly_score FROM z WHERE z >= 3")
+def store_anomaly_runs(spark, d):
+    own = store.Store(spark, f"{shared_folder(spark)}/store")
+    key = own.create_dataset("amounts", 0, 5)
+    run = own.record_anomalies(key, anomaly.robust_z(v.amounts(spark, d)), {"z": 3.0})
+    own.start_run(own.create_dataset("other", 0, 5), "entity_resolution")
+    runs = own.runs(key).select("run_id", "run_type", "parameters", F.col("finished_at").isNotNull().alias("finished"))
+    return own.anomalies(run).join(F.broadcast(runs), "run_id").select("run_type", "parameters", "finished", "entity_type", "entity_id", "anomaly_score")
+
+
+@query("SELECT least('C' || c_custkey, 'C' || (c_custkey + 1)) AS id_a, greatest('C' || c_custkey, 'C' || (c_custkey + 1)) AS id_b FROM customer WHERE c_custkey % 50 = 0")
+def truth_pairs(spark, d):
+    return store.true_pairs(spark, _csv_folder(spark, d), "star")
+
+
+@query("SELECT 'V' || event_id AS transaction_id FROM events WHERE event_type = 'error'")
+def truth_anomalies(spark, d):
+    return store.true_anomalies(spark, _csv_folder(spark, d), "star")
+
+
+@query(_ENTITY_COUNTS.replace("'star' AS name, ", "").replace("'star', ", ""), True)
+def dataset_csv_files(spark, d):
+    folder = _csv_folder(spark, d)
+    return relational.count_entities({t: readers.load(spark, f"{folder}/{t}_star.csv") for t in store.ENTITIES})
+
+
+@query()
+def er_method_comparison(spark, d):
+    t = synthetic.generate(spark, 1000)
+    truth = t["ground_truth_entity_resolution"].select(F.col("person_id").alias("id_a"), F.col("true_identity_id").alias("id_b"))
+    return resolution.compare_methods(t["persons"].select(F.col("person_id").alias("id"), "name"), truth, 0.70)
+
+
+@query("SELECT 'spindrift' AS app, 'development' AS environment, 'ok' AS status")
+def health(spark, d):
+    return settings.health(spark)
+
+
 @query()
 def synthetic_dataset(spark, d):
     t = synthetic.generate(spark, 1000)
@@ -521,3 +625,19 @@ def synthetic_persons(spark, d):
 @query()
 def graph_metrics(spark, d):
     return graph.graph_metrics(*v.full_graph(spark, d), top=5)
+
+
+#: The pages of a front end, and the queries that each one shows.
+PAGES = {
+    "Overview": ["overview_kpis", "entity_counts", "datasets_latest_first"],
+    "Upload": ["csv_roundtrip", "json_roundtrip", "xlsx_roundtrip", "profile_summary", "preview_head", "validation_report", "quality_breakdown", "clean_report"],
+    "Synthetic data": ["synthetic_dataset", "dataset_csv_files", "store_load_dataset"],
+    "Data sets": ["selector_labels", "dataset_by_id", "store_counts_by_dataset", "store_sources"],
+    "Graph": ["search_entities", "neighborhood_k2", "neighborhood_edges_filtered", "edge_types", "shortest_path_hops", "node_styles", "edge_styles", "graph_metrics"],
+    "Timeline": ["event_types", "event_date_range", "timeline_filter"],
+    "Map": ["map_event_counts"],
+    "Entity resolution": ["er_baseline", "er_multi_feature", "er_evaluation", "er_method_comparison", "truth_pairs"],
+    "Anomalies": ["anomalies_robust_z", "anomalies_isolation_forest", "anomaly_evaluation", "false_positive_rate", "store_anomaly_runs", "truth_anomalies"],
+    "Text": ["mentions_by_label", "mentions_with_description", "mention_offsets", "proper_noun_mentions"],
+    "Assistant": ["intent_detection", "mentioned_entities", "assistant_overview", "assistant_most_connected", "assistant_shortest_path", "assistant_anomalies", "assistant_duplicates", "assistant_quality"],
+}

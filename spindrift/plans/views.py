@@ -60,13 +60,6 @@ def entity_tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     return {f.__name__: f(spark, d) for f in (persons, organizations, locations, events, relationships, transactions)}
 
 
-def small_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Persons, organizations and locations with the relationships, without events and transactions: for queries whose SQL knows no others."""
-    t = entity_tables(spark, d)
-    no_events, no_moves = t["events"].limit(0), t["transactions"].limit(0)
-    return graph.build_nodes(t["persons"], t["organizations"], t["locations"], no_events), graph.build_edges(t["persons"], t["organizations"], t["locations"], no_events, t["relationships"], no_moves)
-
-
 def full_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     t = entity_tables(spark, d)
     return graph.build_nodes(t["persons"], t["organizations"], t["locations"], t["events"]), graph.build_edges(*t.values())
@@ -81,7 +74,7 @@ def order_notes(spark: SparkSession, d: str) -> DataFrame:
     """A sentence with names and a date for each order."""
     o, c, n = table(spark, d, "orders"), table(spark, d, "customer"), table(spark, d, "nation")
     j = o.join(c, o["o_custkey"] == c["c_custkey"]).join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey"))
-    return j.select(F.concat(F.lit("O"), F.col("o_orderkey").cast("string")).alias("event_id"), F.concat(F.lit("the buyer Alice Johnson of "), F.initcap(F.lower("n_name")), F.lit(" ordered on "), F.date_format("o_orderdate", "MMMM d, yyyy"), F.lit(" from Acme Corp.")).alias("description"))
+    return j.select(F.concat(F.lit("O"), F.col("o_orderkey").cast("string")).alias("event_id"), F.concat(F.lit("the buyer Rosa Lindqvist of "), F.initcap(F.lower("n_name")), F.lit(" ordered on "), F.date_format("o_orderdate", "MMMM d, yyyy"), F.lit(" from Harbor Mills.")).alias("description"))
 
 
 SQL = """
@@ -92,9 +85,8 @@ evs AS (SELECT 'E' || event_id AS event_id, event_type, CAST(ts AS DATE) AS date
 trades AS (SELECT * FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 relationships AS (SELECT 'C' || o_custkey AS source_entity, 'S' || l_suppkey AS target_entity, CASE min(l_returnflag) WHEN 'A' THEN 'ASSOCIATED_WITH' WHEN 'N' THEN 'KNOWS' ELSE 'PARTICIPATED_IN' END AS relationship_type, 1 - min(l_discount) AS confidence FROM trades GROUP BY o_custkey, l_suppkey),
 transactions AS (SELECT 'T-' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS transaction_id, 'C' || o_custkey AS source, 'S' || l_suppkey AS destination, l_extendedprice AS amount, l_shipdate AS timestamp FROM trades),
-snodes AS (SELECT person_id AS id, 'Person' AS node_type, name AS label FROM persons UNION ALL SELECT organization_id, 'Organization', name FROM organizations UNION ALL SELECT location_id, 'Location', city || ', ' || country FROM locations),
-nodes AS (SELECT * FROM snodes UNION ALL SELECT event_id, 'Event', event_type FROM evs),
-sedges AS (SELECT person_id AS src, p.organization_id AS dst, 'WORKS_FOR' AS edge_type, CAST(1 AS DOUBLE) AS weight FROM persons p JOIN organizations o ON p.organization_id = o.organization_id UNION ALL SELECT source_entity, target_entity, relationship_type, CASE WHEN confidence = 0 THEN 1 ELSE confidence END FROM relationships),
-edges AS (SELECT * FROM sedges UNION ALL SELECT event_id, location_id, 'OCCURRED_AT', CAST(1 AS DOUBLE) FROM evs WHERE location_id IS NOT NULL UNION ALL SELECT source, destination, 'TRANSFERRED_TO', CAST(1 AS DOUBLE) FROM transactions),
-spairs AS MATERIALIZED (SELECT DISTINCT src, dst FROM (SELECT src, dst FROM sedges UNION ALL SELECT dst, src FROM sedges) WHERE src <> dst)
+nodes AS (SELECT person_id AS id, 'Person' AS node_type, name AS label FROM persons UNION ALL SELECT organization_id, 'Organization', name FROM organizations UNION ALL SELECT location_id, 'Location', city || ', ' || country FROM locations UNION ALL SELECT event_id, 'Event', event_type FROM evs),
+edges AS (SELECT person_id AS src, p.organization_id AS dst, 'WORKS_FOR' AS edge_type, CAST(1 AS DOUBLE) AS weight FROM persons p JOIN organizations o ON p.organization_id = o.organization_id UNION ALL SELECT source_entity, target_entity, relationship_type, CASE WHEN confidence = 0 THEN 1 ELSE confidence END FROM relationships
+  UNION ALL SELECT event_id, location_id, 'OCCURRED_AT', CAST(1 AS DOUBLE) FROM evs WHERE location_id IS NOT NULL UNION ALL SELECT source, destination, 'TRANSFERRED_TO', CAST(1 AS DOUBLE) FROM transactions),
+pairs AS MATERIALIZED (SELECT DISTINCT src, dst FROM (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges) WHERE src <> dst)
 """

@@ -42,6 +42,25 @@ def settle(df: DataFrame, label: str = "step", compression: str = "snappy") -> D
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def open_fs(uri: str):
+    """Arrow's file system and path of a URI or a plain local path."""
+    from pyarrow import fs
+
+    if "://" not in uri:
+        if not uri.startswith("file:"):
+            return fs.LocalFileSystem(), uri
+        uri = "file://" + uri[5:]
+    return fs.FileSystem.from_uri(uri)
+
+
+def read_table(uri: str):
+    """A Parquet folder below the shared folder as an Arrow table, for workers that need all of it."""
+    from pyarrow import parquet
+
+    files, path = open_fs(uri)
+    return parquet.read_table(path, filesystem=files)
+
+
 _shipped: set[str] = set()
 
 

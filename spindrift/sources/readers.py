@@ -15,6 +15,10 @@ from spindrift.operators.profile import summarize
 NO_VALUE = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 
 
+#: Bytes from which a file is worth splitting.
+SPLIT_BYTES = 64 << 20
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
@@ -45,15 +49,34 @@ def infer(df: DataFrame) -> DataFrame:
     return df.select(*(out[c].alias(c) if c in out else df[c] for c in df.columns))
 
 
+def largest_file(spark: SparkSession, path: str) -> int:
+    """Bytes of the largest file of a path."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [s for top in files.globStatus(place) for s in (files.listStatus(top.getPath()) if top.isDirectory() else [top])]
+    return max((s.getLen() for s in found if s.isFile()), default=0)
+
+
+def quoted_line_breaks(spark: SparkSession, path: str) -> bool:
+    """Whether a cell of a CSV file may hold a line break: some line has an odd number of quotes."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+
+
 def load_csv(spark: SparkSession, path: str, strings: bool = False) -> DataFrame:
-    """A CSV file with a header; `strings` keeps all cells as text, empty ones as null."""
+    """A CSV file with a header; `strings` keeps all cells as text, empty ones as null.
+
+    A file whose cells hold line breaks is read by one task, as only its beginning tells where rows begin. Files larger than SPLIT_BYTES are
+    looked through for such cells first, and split where there are none; smaller ones are one task's work anyway.
+    """
     _need(spark, path)
-    df = spark.read.csv(path, header=True, inferSchema=False, multiLine=True, escape='"')
+    whole = largest_file(spark, path) <= SPLIT_BYTES or quoted_line_breaks(spark, path)
+    df = spark.read.csv(path, header=True, inferSchema=False, multiLine=whole, escape='"')
     return df if strings else infer(df)
 
 
 def load_json(spark: SparkSession, path: str) -> DataFrame:
-    """An array of records, or an object with them under `records`."""
+    """An array of records, or an object with them under `records`; each file is one JSON value, and so one task's work."""
     _need(spark, path)
     df = spark.read.json(path, multiLine=True)
     if df.columns == ["records"] and isinstance(df.schema["records"].dataType, T.ArrayType):

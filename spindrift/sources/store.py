@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import json
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spindrift.operators.profile import quality, summarize
@@ -33,14 +34,15 @@ class Store:
         writer = df.select(*columns).write.mode("append")
         (writer.partitionBy("dataset_id") if name in ENTITIES else writer).parquet(f"{self.folder}/{name}")
 
-    def create_dataset(self, name: str, row_count: int, column_count: int, missing_value_pct: float = 0.0, duplicate_row_pct: float = 0.0, quality_score: float | None = None, description: str | None = None) -> str:
-        dataset_id = str(uuid.uuid4())
+    def create_dataset(self, name: str, row_count: int, column_count: int, missing_value_pct: float = 0.0, duplicate_row_pct: float = 0.0, quality_score: float | None = None, description: str | None = None, dataset_id: str | None = None) -> str:
+        dataset_id = dataset_id or str(uuid.uuid4())
         row = (dataset_id, name, description, row_count, column_count, missing_value_pct, duplicate_row_pct, quality_score, datetime.now(UTC))
         self.append("datasets", self.spark.createDataFrame([row], TABLES["datasets"]))
         return dataset_id
 
-    def add_source(self, dataset_id: str, filename: str, file_type: str) -> None:
-        self.append("data_sources", self.spark.createDataFrame([(str(uuid.uuid4()), dataset_id, filename, file_type, datetime.now(UTC))], TABLES["data_sources"]))
+    def add_source(self, dataset_id: str, *filenames: str, file_type: str = "csv") -> None:
+        rows = [(str(uuid.uuid4()), dataset_id, name, file_type, datetime.now(UTC)) for name in filenames]
+        self.append("data_sources", self.spark.createDataFrame(rows, TABLES["data_sources"]))
 
     def dataset(self, dataset_id: str) -> DataFrame:
         return self.table("datasets").where(F.col("dataset_id") == dataset_id)
@@ -81,16 +83,25 @@ class Store:
         return run_id
 
     def load_dataset(self, folder: str, size: int | str, name: str | None = None) -> str:
-        """The six CSV files `<table>_<size>.csv` of a folder, cast, stamped and stored; figures come from persons, as does the score."""
+        """The six CSV files `<table>_<size>.csv` of a folder, cast, stamped and stored; figures come from persons, as does the score.
+
+        The tables are written side by side, each counted while it is written. The row in `datasets` comes last: a load that fails leaves no
+        data set, and what it wrote carries an id that no data set has.
+        """
+        dataset_id = str(uuid.uuid4())
         raw = {t: load_csv(self.spark, f"{folder}/{t}_{size}.csv", strings=True) for t in ENTITIES}
-        person = summarize(raw["persons"]).first()
-        score = quality(raw["persons"]).first().overall_score
-        rows = sum(df.count() for df in raw.values())
-        dataset_id = self.create_dataset(name or f"synthetic_{size}", rows, person.column_count, person.missing_value_pct, person.duplicate_row_pct, score, f"scale={size}")
-        for t, df in raw.items():
-            self.append(t, typed(t, df).withColumn("dataset_id", F.lit(dataset_id)))
-            self.add_source(dataset_id, f"{t}_{size}.csv", "csv")
-        return dataset_id
+
+        def put(t: str) -> int:
+            seen = Observation()
+            self.append(t, typed(t, raw[t]).withColumn("dataset_id", F.lit(dataset_id)).observe(seen, F.count(F.lit(1)).alias("n")))
+            return seen.get["n"]
+
+        with ThreadPoolExecutor(len(ENTITIES) + 2) as pool:
+            person, score = pool.submit(lambda: summarize(raw["persons"]).first()), pool.submit(lambda: quality(raw["persons"]).first().overall_score)
+            rows = sum(pool.map(put, ENTITIES))
+            person, score = person.result(), score.result()
+        self.add_source(dataset_id, *(f"{t}_{size}.csv" for t in ENTITIES))
+        return self.create_dataset(name or f"synthetic_{size}", rows, person.column_count, person.missing_value_pct, person.duplicate_row_pct, score, f"scale={size}", dataset_id)
 
 
 DATES = {"date", "start_date", "end_date"}
