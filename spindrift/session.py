@@ -61,11 +61,18 @@ def read_table(uri: str):
     return parquet.read_table(path, filesystem=files)
 
 
+MOST_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 _shipped: set[str] = set()
 
 
+#: Bytes of rows that go to a Python worker at a time, where the session doesn't say.
+BATCH_BYTES = "8m"
+
+
 def ship(spark: SparkSession) -> None:
-    """Hand the package to the Python workers, once a session, unless PYTHONPATH leads them to it."""
+    """Hand the package to the Python workers, once a session, unless PYTHONPATH leads them to it; and rows in batches of bounded bytes."""
+    if not spark.sparkContext.getConf().contains(MOST_BYTES):
+        spark.conf.set(MOST_BYTES, BATCH_BYTES)
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     context = spark.sparkContext
     if root in os.environ.get("PYTHONPATH", "").split(os.pathsep) or context.applicationId in _shipped:
