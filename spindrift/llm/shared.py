@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -73,18 +74,17 @@ def texts_of(column: pa.Array) -> list:
 
 
 def chunks(batches: Iterator[pa.RecordBatch], text: str, most: int = CHUNK_BYTES, rows: int = CHUNK_ROWS) -> Iterator[tuple[pa.RecordBatch, list]]:
-    """Slices of the batches with their texts, each of about `most` bytes."""
+    """Slices of the batches with their texts, each of about `most` bytes; what they took goes back to the system at the end."""
     for batch in batches:
-        texts = texts_of(batch.column(text))
-        if not texts:
-            continue
-        ends = np.cumsum([len(t) if t else 0 for t in texts])
+        column = batch.column(text)
+        ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
         at = 0
-        while at < len(texts):
+        while at < len(ends):
             base = int(ends[at - 1]) if at else 0
             to = max(at + 1, min(at + rows, int(np.searchsorted(ends, base + most, "right"))))
-            yield batch.slice(at, to - at), texts[at:to]
+            yield batch.slice(at, to - at), texts_of(column.slice(at, to - at))
             at = to
+    pa.default_memory_pool().release_unused()
 
 
 def annotate(df: DataFrame, text: str, make: Callable[[], Callable[[list], list]], fields: list[T.StructField], most: int = CHUNK_BYTES) -> DataFrame:
