@@ -322,7 +322,33 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op10_decontamination": op10_decontamination}
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op10_decontamination": r"""
+WITH docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents
+), items AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL
+), cut AS (
+  SELECT item, words, least(13, len(words)) AS n, unnest(range(1, len(words) - least(13, len(words)) + 2)) AS pos FROM items WHERE len(words) > 0
+), windows AS (
+  SELECT DISTINCT item, n, array_to_string(words[pos:pos + n - 1], ' ') AS w FROM cut
+), sizes AS (
+  SELECT DISTINCT n FROM windows
+), places AS (
+  SELECT doc_id, sizes.n AS n, words, unnest(range(1, len(words) - sizes.n + 2)) AS pos FROM docs, sizes WHERE len(words) >= sizes.n
+), found AS (
+  SELECT doc_id, pos, f.n AS n, item FROM (SELECT doc_id, pos, n, array_to_string(words[pos:pos + n - 1], ' ') AS w FROM places) f JOIN windows USING (n, w)
+), hit AS (
+  SELECT doc_id, count(DISTINCT at_word) AS n_hit FROM (SELECT doc_id, unnest(range(pos, pos + n)) AS at_word FROM (SELECT DISTINCT doc_id, pos, n FROM found)) GROUP BY doc_id
+), own AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM found) GROUP BY doc_id
+)
+SELECT docs.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
+FROM docs LEFT JOIN hit ON hit.doc_id = docs.doc_id LEFT JOIN own ON own.doc_id = docs.doc_id
+""",
+}
 
 
 def brute(text: bytes | None, items: list[tuple[str, bytes]], window: int = WINDOW) -> tuple[int, int, list[str]]:

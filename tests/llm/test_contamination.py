@@ -1,3 +1,4 @@
+import duckdb
 import numpy as np
 import pytest
 
@@ -115,3 +116,7 @@ def test_query_against_brute_force(spark, sf_dir):
         assert (r.n_words, r.n_hit, r.n_items, r.items_sha256) == (n, h, len(names), C.items_digest(names))
         hit += h > 0
     assert hit
+    with duckdb.connect() as own:
+        for t in ("documents", "benchmark"):
+            own.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+        assert sorted(own.execute(C.ORACLE["op10_decontamination"]).fetchall()) == sorted(tuple(r) for r in C.op10_decontamination(spark, sf_dir).collect())
