@@ -109,11 +109,6 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wo
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
-def node_pairs(bits: int, budget: int) -> list[list[tuple[int, int]]]:
-    """For each node `bits` down, the pairs of nodes (smaller first) that it is in and whose labels differ in at most budget bits."""
-    return [[(min(p, q), max(p, q)) for q in range(1 << bits) if (p ^ q).bit_count() <= budget] for p in range(1 << bits)]
-
-
 def _halves(codes: np.ndarray, lo: np.ndarray, hi: np.ndarray, depth: np.ndarray) -> np.ndarray:
     """Where in each sorted range the bit at depth turns to 1."""
     lo, hi = lo.copy(), hi.copy()
@@ -234,6 +229,21 @@ class Sets:
         return shared >= least * (len(both) - shared)
 
 
+def _split(rows: DataFrame, keep: list[str], depth: int, split_bits: int, budget: int) -> DataFrame:
+    """Rows of groups that are too large, dealt to the pairs of trie nodes split_bits further down that the budget still allows.
+
+    A group is a node with itself (side 0), or a pair of nodes (sides 1 and 2) that differ in `spent` bits so far; `pair` is the way there.
+    """
+    own = F.expr(f"CAST(shiftrightunsigned(shiftleft(code, {depth}), {64 - split_bits}) AS INT)")
+    others = F.filter(F.sequence(F.lit(0), F.lit((1 << split_bits) - 1)), lambda y: F.bit_count(F.col("_own").bitwiseXOR(y)) <= budget - F.col("spent"))
+    met = rows.withColumn("_own", own).withColumn("_other", F.explode(others))
+    side, mine, other = F.col("side"), F.col("_own"), F.col("_other")
+    new_side = F.when(side > 0, side).when(mine == other, 0).when(mine < other, 1).otherwise(2).cast("byte")
+    first, second = (F.when(side == 1, a).when(side == 2, b).otherwise(c) for a, b, c in ((mine, other, F.least(mine, other)), (other, mine, F.greatest(mine, other))))
+    new = {"pair": F.col("pair") * (1 << 2 * split_bits) + first * (1 << split_bits) + second, "side": new_side, "spent": (F.col("spent") + F.bit_count(mine.bitwiseXOR(other))).cast("byte"), "level": (F.col("level") + 1).cast("byte")}
+    return met.withColumns(new).select(keep)
+
+
 def trie_links(rows: DataFrame, bits: int = BITS, budget: int = BUDGET, block_rows: int = BLOCK_ROWS, split_bits: int = SPLIT_BITS, sets: str | None = None, least: float = COPY_SIMILARITY, held_rows: int = HELD_ROWS) -> DataFrame:
     """A spanning forest (a, b) of the links between rows (node, table, code) of one table whose codes differ in at most budget bits.
 
@@ -249,35 +259,36 @@ def trie_links(rows: DataFrame, bits: int = BITS, budget: int = BUDGET, block_ro
     else:
         turned = f"shiftleft(code, turn * {width}) | CASE WHEN turn = 0 THEN 0L ELSE shiftrightunsigned(code, 64 - turn * {width}) END"
     place = place.withColumn("code", F.expr(turned)).withColumn("block", F.shiftrightunsigned("code", 64 - width).cast("int"))
-    hot = place.groupBy("table", "turn", "block").agg(F.count("*").alias("_n")).where(F.col("_n") > block_rows).drop("_n").withColumn("hot", F.lit(True))
-    labels = F.array([F.array([F.lit(p * (1 << split_bits) + q) for p, q in pairs]) for pairs in node_pairs(split_bits, budget)])
-    label = F.shiftrightunsigned(F.shiftleft("code", width), 64 - split_bits).cast("int")
-    dealt = place.join(hot, ["table", "turn", "block"], "left").withColumn("pair", F.explode(F.when(F.col("hot"), labels[label]).otherwise(F.array(F.lit(-1)))))
-    keep = ["table", "turn", "block", "pair", "node", "code"] + (["part", "at", "n"] if sets else [])
+    group = ["table", "turn", "block", "level", "pair"]
+    keep = [*group, "side", "spent", "node", "code", *(["part", "at", "n"] if sets else [])]
+    now = place.withColumns({"level": F.lit(0).cast("byte"), "pair": F.lit(0).cast("long"), "side": F.lit(0).cast("byte"), "spent": F.lit(0).cast("byte")}).select(keep)
+    dealt, level = None, 0
+    while True:
+        depth = width + split_bits * level
+        deeper = depth + split_bits <= bits and 2 * split_bits * (level + 1) < 63
+        hot = materialize(now.groupBy(*group).agg(F.count("*").alias("_n")).where(F.col("_n") > block_rows).drop("_n"), "hot") if deeper else None
+        if hot is None or hot.isEmpty():
+            dealt = now if dealt is None else dealt.unionByName(now)
+            break
+        part = now.join(hot, group, "left_anti").select(keep)
+        dealt = part if dealt is None else dealt.unionByName(part)
+        now, level = _split(now.join(hot, group, "left_semi"), keep, depth, split_bits, budget), level + 1
     schema = "a long, b long"
 
-    group = ["table", "turn", "block", "pair"]
-
     def forest_of(got: dict[str, np.ndarray], lookup: Sets | None) -> pa.RecordBatch | None:
         key = (got["table"].astype(np.int64) << 48) | (got["turn"].astype(np.int64) << 40) | got["block"].astype(np.int64)
         codes = got["code"].view(np.uint64)
-        order = np.lexsort((got["node"], codes, got["pair"], key))
-        got = {k: v[order] for k, v in got.items() if k in ("pair", "node", "part", "at", "n")}
+        order = np.lexsort((got["node"], codes, got["side"], got["pair"], got["level"], key))
+        got = {k: v[order] for k, v in got.items() if k in ("level", "pair", "side", "spent", "node", "part", "at", "n")}
         key, codes = key[order], codes[order]
         names, local = np.unique(got["node"], return_inverse=True)
         forest = np.arange(len(names))
-        starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (got["pair"][1:] != got["pair"][:-1])]))
+        starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (got["level"][1:] != got["level"][:-1]) | (got["pair"][1:] != got["pair"][:-1])]))
         ends = np.append(starts[1:], len(key))
-        pair = got["pair"][starts]
-        plain = pair < 0
-        p, q = np.where(plain, 0, pair >> split_bits), np.where(plain, 0, pair & (1 << split_bits) - 1)
-        alo, ahi, blo, bhi = starts.copy(), ends.copy(), starts.copy(), ends.copy()
-        for i in np.flatnonzero(~plain & (p != q)):
-            inner = codes[starts[i] : ends[i]] << np.uint64(width) >> np.uint64(64 - split_bits)
-            cut = starts[i] + int(np.searchsorted(inner, q[i]))
-            ahi[i], blo[i] = cut, cut
-        apart = np.bitwise_count(p ^ q).astype(np.int64)
-        depth = np.where(plain, width, width + split_bits)
+        plain = got["side"][starts] == 0  # a node with itself; else the rows of the pair's first node come before those of its second
+        cut = starts + np.add.reduceat((got["side"] == 1).astype(np.int64), starts)
+        alo, ahi, blo, bhi = starts, np.where(plain, ends, cut), np.where(plain, starts, cut), ends
+        apart, depth = got["spent"][starts].astype(np.int64), width + split_bits * got["level"][starts].astype(np.int64)
         fit = (alo < ahi) & (blo < bhi)
         label = None if lookup is None else lambda i: settled(forest)[local[i]]
         for i, j in walk_any(codes, tuple(x[fit] for x in (alo, ahi, blo, bhi, apart, depth)), bits, budget, label):
