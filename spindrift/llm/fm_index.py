@@ -7,6 +7,8 @@ shorter match. Suffixes are sorted by their first DEPTH words, which is enough f
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 
 DEPTH = 64
@@ -31,13 +33,15 @@ class _Bits:
 
 class FMIndex:
     def __init__(self, sequences: list[list[bytes]]):
-        number: dict[bytes, int] = {}
-        get = number.setdefault
-        self.lengths = np.array([len(s) for s in sequences], np.int64)
+        flat = list(chain.from_iterable(sequences))
+        number = {w: i for i, w in enumerate(dict.fromkeys(flat), 1)}
+        self.lengths = np.fromiter(map(len, sequences), np.int64, len(sequences))
         self.starts = np.cumsum(self.lengths + 1) - (self.lengths + 1)
-        flat = [get(w, len(number) + 1) for s in sequences for w in (*s, None) if w is not None or not number.setdefault(None, 0)]
-        self.text = np.array(flat, np.int64)
-        self.n = n = len(self.text)
+        self.n = n = len(flat) + len(sequences)
+        words = np.ones(n, bool)
+        words[self.starts + self.lengths] = False
+        self.text = np.zeros(n, np.int64)
+        self.text[words] = np.fromiter(map(number.__getitem__, flat), np.int64, len(flat))
         symbols = len(number) + 1
         ranks, order = self._sort()
         bwt = self.text[order - 1]
@@ -54,21 +58,27 @@ class FMIndex:
         self._prefixes(ranks, order)
 
     def _sort(self) -> tuple[list[np.ndarray], np.ndarray]:
-        """Ranks of the suffixes by their first 1, 2, 4, ... words, and their order by the first DEPTH words."""
-        rank, width, ranks = self.text, 1, []
-        while True:
-            ranks.append(rank)
-            if width >= DEPTH:
-                break
+        """Ranks of the suffixes by their first 1, 2, 4, ... words, and their order by the first DEPTH words.
+
+        Each round sorts what the last one left in order, so that only suffixes that were equal so far move.
+        """
+        order = np.argsort(self.text, kind="stable")
+        ranks, width = [self._ranks(order, self.text[order])], 1
+        while width < DEPTH:
+            rank = ranks[-1].astype(np.int64)
             after = np.zeros(self.n, np.int64)
             after[: max(0, self.n - width)] = rank[width:] + 1
-            key = rank * (int(after.max(initial=0)) + 1) + after
-            order = np.argsort(key, kind="stable")
-            fresh = np.concatenate([[0], (np.diff(key[order]) != 0).astype(np.int64)]) if self.n else np.zeros(0, np.int64)
-            rank = np.empty(self.n, np.int64)
-            rank[order] = np.cumsum(fresh)
+            key = (rank * (self.n + 1) + after)[order]
+            step = np.argsort(key, kind="stable")
+            order = order[step]
+            ranks.append(self._ranks(order, key[step]))
             width *= 2
-        return ranks[:-1], np.argsort(rank, kind="stable")
+        return ranks[:-1], order
+
+    def _ranks(self, order: np.ndarray, key: np.ndarray) -> np.ndarray:
+        rank = np.empty(self.n, np.int32)
+        rank[order] = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]])) if self.n else 0
+        return rank
 
     def _prefixes(self, ranks: list[np.ndarray], order: np.ndarray) -> None:
         """Words that each suffix shares with the one before it in the order, and the smallest of 1, 2, 4, ... of these."""

@@ -29,16 +29,15 @@ GRAM = 8
 #: Different segments with one hash that one index takes, and words from which an index takes no further hash.
 SHARD_MOST = 256
 SHARD_WORDS = 400_000
-#: Word hashes that a worker remembers.
-REMEMBERED = 1_000_000
+#: Word hashes that a task remembers.
+REMEMBERED = 250_000
 
 _ODD = 0x9E3779B97F4A7C15
 _INVERSE = pow(_ODD, -1, 1 << 64)
-_known: dict[bytes, int] = {}
 
 
-def _hashes(words: list[bytes]) -> np.ndarray:
-    digest, known = xxhash.xxh64_intdigest, _known
+def _hashes(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
+    digest = xxhash.xxh64_intdigest
     if len(known) > REMEMBERED:
         known.clear()
     for w in set(words).difference(known):
@@ -76,12 +75,12 @@ def _smallest(values: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
     return join(span - width, values, places) if span > width else (values, places)
 
 
-def segments(words: list[list[bytes]], window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Owner, first word, windows, hash and digest of each segment of some documents."""
+def segments(words: list[list[bytes]], window: int = WINDOW, gram: int = GRAM, known: dict[bytes, int] | None = None) -> tuple[np.ndarray, ...]:
+    """Owner, first word, windows, hash and digest of each segment of some documents; known: hashes of words so far."""
     sizes = np.array([len(w) for w in words], np.int64)
     if not (sizes >= window).any():
         return tuple(np.zeros(0, np.int64) for _ in range(5))
-    flat = _hashes([w for own in words for w in own])
+    flat = _hashes([w for own in words for w in own], {} if known is None else known)
     value, place = _smallest(_grams(flat, gram), window - gram + 1)
     starts = np.cumsum(sizes) - sizes
     counts = np.maximum(0, sizes - window + 1)
@@ -203,8 +202,9 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window
     schema = "did long, th long, at int, n int, h long, d long"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, int] = {}
         for batch, texts in chunks(batches, "text"):
-            owner, at, n, h, d = segments([t.split() if t else [] for t in texts], window, gram)
+            owner, at, n, h, d = segments([t.split() if t else [] for t in texts], window, gram, known)
             if len(owner):
                 rows = pa.array(owner)
                 yield pa.RecordBatch.from_arrays([batch.column("did").take(rows), batch.column("th").take(rows), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(h), pa.array(d)], names=["did", "th", "at", "n", "h", "d"])
