@@ -101,6 +101,16 @@ def test_longest_match_of_every_offset(spark):
     assert all(texts[r.doc_id][r.word_offset : r.word_offset + r.n_words] == own[int(r.item_id)][r.item_offset : r.item_offset + r.n_words] for r in found)
 
 
+@pytest.mark.parametrize("block_bytes", [1 << 20, 60])
+def test_longest_match_of_odd_rows(spark, block_bytes):
+    """Null and empty texts, nulls among ids, repeated rows and items, empty tables."""
+    docs, bench = rows(spark, [*ITEMS, (1, None), (7, "")], [*TEXTS[:8], TEXTS[0], TEXTS[0]])
+    found = {(r.item_id, r.item_offset): r for r in C.longest_matches(docs, bench, block_bytes=block_bytes).collect()}
+    assert found["1", 0].n_words == 13 and found["1", 0].doc_id in (0, 8, 9) and found["2", 0].n_words == 1
+    assert {k for k, _ in found} == {"1", "10", "2"} and [found["10", i].n_words for i in range(2)] == [3, 2]
+    assert C.longest_matches(docs.limit(0), bench).count() == 0 and C.longest_matches(docs, bench.limit(0)).count() == 0
+
+
 def test_empty_tables(spark):
     docs, bench = rows(spark, ITEMS, TEXTS)
     assert C.contamination(docs.limit(0), bench).count() == 0

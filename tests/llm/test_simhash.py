@@ -124,6 +124,18 @@ def test_near_copies(spark):
     assert S.drop_near_copies(docs).columns == docs.columns and S.drop_near_copies(docs.limit(0)).count() == 0
 
 
+def test_repeated_ids_and_rows(spark):
+    """Rows with one doc_id are one document with several texts: they stay or go together; ids must be integers."""
+    word = lambda s: " ".join(f"{s}{i}" for i in range(40))
+    rows = [(1, word("a")), (2, word("a") + " end"), (2, word("b")), (3, word("c")), (3, word("c")), (4, word("b")), (None, word("a")), (5, word("d")), (5, word("e"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in S.near_copies(docs).collect()} == {2: 1, 4: 1}
+    assert sorted((r.doc_id for r in S.drop_near_copies(docs).collect()), key=str) == [1, 3, 3, 5, 5, None]
+    for run in (S.simhash_components, S.near_copies):
+        with pytest.raises(TypeError, match="integer"):
+            run(docs.select(docs["doc_id"].cast("string").alias("doc_id"), "text"))
+
+
 @pytest.mark.parametrize("held", [S.PREFIX_ROWS, 30])
 def test_all_near_copies(spark, monkeypatch, held):
     """Short texts, and texts whose repeats differ: none may be lost."""
