@@ -414,7 +414,14 @@ def mentions_by_label(spark, d):
     return relational.mentions_by_label(_note_mentions(spark, d))
 
 
-@query()
+#: Capitalised runs between characters that are no word characters. SQL's expressions can't look ahead, so each such character stands twice: one
+#: ends a run, the other may begin the next. The conversations hold no dates.
+_RUNS = r"""SELECT source_id, regexp_replace(run, ' +', ' ', 'g') AS entity_text, 'PROPER_NOUN' AS label, 'baseline' AS method FROM (
+  SELECT conv_id AS source_id, unnest(regexp_extract_all(regexp_replace(' ' || trim(regexp_replace(text, '\s+', ' ', 'g')) || ' ', '([^\pL\pN_])', '\1\1', 'g'), '[^\pL\pN_]([A-Z][a-zA-Z]*(?: +[A-Z][a-zA-Z]*)*)[^\pL\pN_]', 1)) AS run FROM conversations)
+WHERE length(run) > 1 AND lower(run) NOT IN (""" + ", ".join(f"'{w}'" for w in extraction.LEADING) + ")"
+
+
+@query(_RUNS)
 def proper_noun_mentions(spark, d):
     return extraction.extract_for_texts(v.table(spark, d, "conversations"), "conv_id", "text")
 
