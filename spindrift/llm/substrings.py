@@ -5,8 +5,8 @@ have equal hashes, and consecutive windows with the same run make a segment. A h
 repeat. Segments with one hash meet in a shard: the different ones, and of equal ones (by digest) the first and the last
 occurrence, each with the words of its own document. The shard builds an FM-index of them and gets each one's matching
 statistics, words from each place on that stand twice at least, by backward search; intervals of WINDOW words or more are
-repeats. A hash with over SHARD_MOST different segments is split by content: windows of it whose digests occur several times
-go on, the first and the last occurrence of each, to shards by those digests, and are searched there in the same way.
+repeats. A hash whose segments are more than one index holds is split by content: windows of it whose digests occur several
+times go on, the first and the last occurrence of each, to shards by those digests, and are searched there in the same way.
 """
 
 from __future__ import annotations
@@ -26,8 +26,7 @@ from spindrift.llm.shared import chunks, documents, materialize, release
 
 WINDOW = 35
 GRAM = 8
-#: Different segments with one hash that one index takes, and words from which an index takes no further hash.
-SHARD_MOST = 256
+#: Words of the segments with one hash that one index takes, and from which it takes no further hash.
 SHARD_WORDS = 400_000
 #: Word hashes that a task remembers.
 REMEMBERED = 250_000
@@ -193,7 +192,7 @@ def _search_windows(hot: DataFrame, window: int) -> DataFrame:
     return windows.join(found, ["w1", "w2"], "left_semi").groupBy("h", "d").agg(F.bit_or(F.expr("shiftleft(1L, j)")).alias("bits"))
 
 
-def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM, shard_most: int = SHARD_MOST) -> tuple[DataFrame, DataFrame]:
+def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM, shard_words: int = SHARD_WORDS) -> tuple[DataFrame, DataFrame]:
     """did, th and spans (first window, bits of those that repeat) of each document with repeats, and the packed source."""
     if not gram <= window <= DEPTH or window - gram > 61:
         raise ValueError(f"windows have {gram} to {min(DEPTH, gram + 61)} words")
@@ -216,7 +215,8 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window
     place = F.struct("did", "th", "at", "n")
     distinct = materialize(found.groupBy("h", "d").agg((F.count("*") > 1).alias("many"), F.min(place).alias("one"), F.max(place).alias("other")), "distinct")
     release(spark)
-    kinds = materialize(distinct.groupBy("h").agg(F.count("*").alias("k")).where(F.col("k") > shard_most).select("h", F.lit(True).alias("hot")), "kinds")
+    words = (F.col("one.n") + (window - 1)).cast("long") * F.when(F.col("many"), 2).otherwise(1)
+    kinds = materialize(distinct.groupBy("h").agg(F.sum(words).alias("words")).where(F.col("words") > shard_words).select("h", F.lit(True).alias("hot")), "kinds")
     # the first and the last occurrence, or the one place of several rows that agree in id and text, as two copies
     alone = F.col("one") == F.col("other")
     part = lambda k, of: F.struct(F.col(of).alias("p"), F.lit(k).cast("long").alias("o"))
@@ -265,7 +265,7 @@ def covered(n: int, spans: list[dict], window: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM, shard_most: int = SHARD_MOST) -> DataFrame:
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM, shard_words: int = SHARD_WORDS) -> DataFrame:
     """doc_id, n_words, n_removed and kept: the words outside windows that stand several times anywhere, joined by spaces.
 
     All occurrences go. Null and empty texts have no words and keep an empty text, shorter ones than a window stay whole.
@@ -273,7 +273,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     doc_id. Ids of any type will do. Other columns are not kept; an empty table gives an empty result. Windows have gram to DEPTH words,
     else it is an error.
     """
-    spans, packed = repeated(docs, doc_id, text, window, gram, shard_most)
+    spans, packed = repeated(docs, doc_id, text, window, gram, shard_words)
     release(docs.sparkSession)
     schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
 

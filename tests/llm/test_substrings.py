@@ -50,11 +50,11 @@ def cases():
     return rows + [(308, same), (308, same), (309, same + " more"), (None, " ".join(word(50))), (None, passage and " ".join(passage)), (310, "one " * 34)]
 
 
-@pytest.mark.parametrize(("window", "shard_most"), [(35, 256), (35, 3), (35, 0), (12, 256), (60, 2)])
-def test_against_brute_force(spark, window, shard_most):
+@pytest.mark.parametrize(("window", "shard_words"), [(35, S.SHARD_WORDS), (35, 200), (35, 0), (12, S.SHARD_WORDS), (60, 150)])
+def test_against_brute_force(spark, window, shard_words):
     rows = cases()
     docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, n int")
-    got = [tuple(r) for r in S.remove_repeats(docs.repartition(5), window=window, shard_most=shard_most).collect()]
+    got = [tuple(r) for r in S.remove_repeats(docs.repartition(5), window=window, shard_words=shard_words).collect()]
     key = lambda r: (r[0] is None, r[0] or 0, *r[1:])
     assert sorted(got, key=key) == sorted(brute(rows, window), key=key)
 
@@ -64,7 +64,7 @@ def test_the_index_decides(spark, monkeypatch):
     docs = spark.createDataFrame([(i, t, 1) for i, t in cases()], "doc_id long, text string, n int")
     none = lambda rows, window: rows.select("h", "d", F.lit(0).cast("long").alias("bits")).where("bits > 0")
     monkeypatch.setattr(S, "_search", none)
-    assert S.remove_repeats(docs, shard_most=3).where("n_removed > 0").count() == 0
+    assert S.remove_repeats(docs, shard_words=200).where("n_removed > 0").count() == 0
 
 
 def test_windows_that_no_index_takes(spark):
