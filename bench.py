@@ -38,12 +38,17 @@ def main() -> None:
         run = lambda n=name: catalog.QUERIES[n](spark, SF_DIR).write.format("noop").mode("overwrite").save()
         run()  # warm
         found[name] = timed(run, RUNS)
-    quality = {}
+    quality, errors = {}, {}
     for size in () if sys.argv[1:] else map(int, filter(None, os.environ.get("BENCH_SIZES", "1000,10000").split(","))):
-        for name, value in experiment(spark, size, tempfile.mkdtemp()).items():
+        try:
+            got = experiment(spark, size, tempfile.mkdtemp())
+        except Exception as e:  # the other figures still count
+            errors[f"published_{size}"] = f"{type(e).__name__}: {str(e)[:300]}"
+            continue
+        for name, value in got.items():
             (found if name.endswith("_seconds") else quality)[f"published_{size}_{name.removesuffix('_seconds')}"] = value
     scale = re.search(r"sf([\d.]+)", SF_DIR)
-    print(json.dumps({"metric": "total_seconds", "value": round(sum(found.values()), 3), "unit": "sec", "queries": found, "quality": quality, "sf": float(scale[1]) if scale else None}))
+    print(json.dumps({"metric": "total_seconds", "value": round(sum(found.values()), 3), "unit": "sec", "queries": found, "quality": quality, "errors": errors, "sf": float(scale[1]) if scale else None}))
 
 
 if __name__ == "__main__":
