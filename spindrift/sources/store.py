@@ -145,8 +145,8 @@ def true_anomalies(spark: SparkSession, folder: str, size: int | str) -> DataFra
     return df.select("transaction_id").distinct() if "transaction_id" in df.columns else spark.createDataFrame([], "transaction_id string")
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").csv(path, header=True, timestampFormat="yyyy-MM-dd'T'HH:mm:ss", emptyValue="", nullValue="")
+def write_csv(df: DataFrame, path: str, compression: str | None = None) -> None:
+    df.write.mode("overwrite").csv(path, header=True, compression=compression, timestampFormat="yyyy-MM-dd'T'HH:mm:ss", emptyValue="", nullValue="")
 
 
 def write_json(df: DataFrame, path: str) -> None:
