@@ -24,7 +24,11 @@ def entity_ids(persons: DataFrame, organizations: DataFrame) -> DataFrame:
 
 
 def dangling(edges: DataFrame, ends: list[str], ids: DataFrame) -> DataFrame:
-    """Rows of which an end is not among ids, with the name of that end."""
+    """Rows of which an end is not among ids, with the name of that end.
+
+    The rows stream past the ids, which are hashed: an end that most rows share is not sorted in one task.
+    """
+    ids = ids.hint("SHUFFLE_HASH")
     parts = [edges.join(ids, edges[e] == ids["id"], "left_anti").withColumn("dangling_end", F.lit(e)) for e in ends]
     out = parts[0]
     for p in parts[1:]:
