@@ -127,34 +127,28 @@ class FMIndex:
         return np.where(none, 0, lo), np.where(none, self.n, hi), np.maximum(words, 0)
 
     def statistics(self, which: np.ndarray, least: int = 2) -> list[np.ndarray]:
-        """For each word of the chosen sequences, how many words from there on stand `least` times in the index at least."""
-        order = which[np.argsort(-self.lengths[which], kind="stable")]
-        sizes, starts = self.lengths[order], self.starts[order]
-        out = np.zeros((len(order), int(sizes.max(initial=0))), np.int16)
-        lo, hi, words = np.zeros(len(order), np.int64), np.full(len(order), self.n, np.int64), np.zeros(len(order), np.int64)
-        for step in range(out.shape[1]):
-            live = int(np.searchsorted(-sizes, -step, "left"))
-            at = sizes[:live] - 1 - step
-            symbol = self.text[starts[:live] + at]
-            new_lo, new_hi = self.extend(symbol, lo[:live], hi[:live])
-            bad = np.flatnonzero(new_hi - new_lo < least)
-            a, b, n = lo[:live][bad], hi[:live][bad], words[:live][bad]
-            while len(bad):
-                empty = n == 0
-                done = bad[empty]
-                new_lo[done], new_hi[done], words[done] = 0, self.n, -1
-                bad, a, b = bad[~empty], a[~empty], b[~empty]
-                if not len(bad):
-                    break
-                a, b, n = self.shorten(a, b)
-                words[bad] = n
-                x, y = self.extend(symbol[bad], a, b)
-                good = y - x >= least
-                new_lo[bad[good]], new_hi[bad[good]] = x[good], y[good]
-                bad, a, b, n = bad[~good], a[~good], b[~good], n[~good]
-            words[:live] += 1
-            lo[:live], hi[:live] = new_lo, new_hi
-            out[np.arange(live), at] = words[:live]
-        back = np.empty(len(order), np.int64)
-        back[np.argsort(-self.lengths[which], kind="stable")] = np.arange(len(order))
-        return [out[back[i], : self.lengths[w]] for i, w in enumerate(which.tolist())]
+        """For each word of the chosen sequences, how many words from there on stand `least` times in the index at least.
+
+        Each sequence goes at its own pace: in a round its match grows by a word, or is shortened where it can't.
+        """
+        sizes, starts = self.lengths[which], self.starts[which]
+        out = np.zeros((len(which), int(sizes.max(initial=0))), np.int16)
+        rows = np.flatnonzero(sizes)
+        at, lo, hi, words = sizes[rows] - 1, np.zeros(len(rows), np.int64), np.full(len(rows), self.n, np.int64), np.zeros(len(rows), np.int64)
+        while len(rows):
+            x, y = self.extend(self.text[starts[rows] + at], lo, hi)
+            longer = y - x >= least
+            bad = np.flatnonzero(~longer)
+            if len(bad):
+                none = words[bad] == 0
+                skip, bad = bad[none], bad[~none]
+                x[skip], y[skip], words[skip], longer[skip] = 0, self.n, -1, True
+                x[bad], y[bad], words[bad] = self.shorten(lo[bad], hi[bad])
+            lo, hi = x, y
+            words += longer
+            out[rows[longer], at[longer]] = words[longer]
+            at = at - longer
+            on = at >= 0
+            if not on.all():
+                rows, at, lo, hi, words = rows[on], at[on], lo[on], hi[on], words[on]
+        return [out[i, :k] for i, k in enumerate(sizes.tolist())]

@@ -21,6 +21,14 @@ def test_statistics_against_brute_force(sequences):
         assert row.tolist() == [max([n for n in range(1, len(s) - i + 1) if grams[tuple(s[i : i + n])] > 1], default=0) for i in range(len(s))]
 
 
+def test_all_sequences_search_in_shared_rounds(monkeypatch):
+    """A round grows or shortens every match, so that rounds follow the longest sequence, not the number of sequences."""
+    rng, rounds, own = np.random.default_rng(4), [], FMIndex.extend
+    monkeypatch.setattr(FMIndex, "extend", lambda self, symbol, lo, hi: rounds.append(len(lo)) or own(self, symbol, lo, hi))
+    FMIndex([[b"%d" % x for x in rng.integers(0, 30, 60)] for _ in range(400)]).statistics(np.arange(400))
+    assert rounds[0] == 400 and len(rounds) <= 2 * 60
+
+
 def brute(rows, window):
     """In the order of rows: words, removed, kept."""
     words = [(t or "").encode().split() for _, t in rows]
